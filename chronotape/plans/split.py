@@ -278,11 +278,6 @@ def following(
     return previous(turned, split, values, reverse).drop("_neg", *reverse)
 
 
-def rows_in_order(df: DataFrame, keys: Sequence[str], at: str) -> Split:
-    """Shorthand for plan_split, read as 'rows of keys in order of at'."""
-    return plan_split(df, keys, at)
-
-
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
