@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is full."""
 
-from queries import features, windows  # noqa: F401
+from queries import checks, features, sources, windows  # noqa: F401
 from queries.registry import ORACLES, QUERIES  # noqa: F401
