@@ -46,16 +46,26 @@ def split_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_CONF, str(LIMIT_ROWS)))
 
 
+# Splits already planned in this process. A split only says how to spread the work:
+# the rows come out the same under any split, so an old one is never wrong.
+_PLANNED: dict[tuple, Split] = {}
+
+
 def plan_split(df: DataFrame, keys: Sequence[str], at: str) -> Split:
     """Count rows per key and cut the heavy keys by `at` (a number, never null)."""
-    keys = tuple(keys)
-    limit = split_limit(df)
     slim = df.select(*keys, at)
+    known = (df.sparkSession.sparkContext.applicationId, slim.semanticHash(), tuple(keys), at, split_limit(df))
+    if known not in _PLANNED:
+        _PLANNED[known] = _plan_split(slim, tuple(keys), at, split_limit(df))
+    return _PLANNED[known]
+
+
+def _plan_split(slim: DataFrame, keys: tuple[str, ...], at: str, limit: int) -> Split:
     counted = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     heavy = counted.orderBy(F.col("_n").desc()).limit(MAX_HEAVY).select(*keys).collect()
     if not heavy:
         return Split(keys, at, None)
-    spark = df.sparkSession
+    spark = slim.sparkSession
     probabilities = [i / SLICES for i in range(1, SLICES)]
     if keys:
         chosen = spark.createDataFrame(heavy, counted.select(*keys).schema)
@@ -91,6 +101,15 @@ def _slice_of(at: Column) -> Column:
     )
 
 
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys that may be null on both sides; the keys appear once."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
 @dataclass(frozen=True)
 class Measure:
     """One accumulated column: how is 'sum', 'max' or 'min' of value."""
@@ -302,7 +321,7 @@ def quantiles(
         counts, plan_split(counts, keys, value), [Measure("_below", "sum", F.col("_n"))], then_by=[]
     )
     if keys:
-        joined = below.join(totals, keys)
+        joined = match(below, totals, keys, "inner")
     else:
         joined = below.withColumn("_total", totals.scalar())
     found = []
