@@ -7,8 +7,8 @@ window then runs per (key, slice), and the small table of per-slice totals,
 accumulated over the earlier slices, is joined back as the carry. The result
 is the same as that of the plain window.
 
-The count is one aggregate over the key column and needs an action; it brings
-at most MAX_HEAVY keys to the driver. A key outside the MAX_HEAVY largest has
+The count is one aggregate over the key column and needs an action; inputs of
+a few megabytes skip it. It brings at most MAX_HEAVY keys to the driver. A key outside the MAX_HEAVY largest has
 at most 1/MAX_HEAVY of all rows.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 LIMIT_CONF = "spark.chronotape.splitRows"
 LIMIT_ROWS = 1_000_000
+SMALL_CONF = "spark.chronotape.smallInputBytes"
+SMALL_BYTES = 64 * 1024 * 1024
 MAX_HEAVY = 10_000
 SLICES = 256
 
@@ -46,6 +48,24 @@ def split_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_CONF, str(LIMIT_ROWS)))
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether all inputs together are so small that one task could take any key: then nothing is counted.
+
+    A session that sets the row limit itself asks for the count.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(LIMIT_CONF, None) is not None:
+        return False
+    limit = int(conf.get(SMALL_CONF, str(SMALL_BYTES)))
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        total += int(leaves.apply(i).stats().sizeInBytes())
+        if total > limit:
+            return False
+    return True
+
+
 # Splits already planned in this process. A split only says how to spread the work:
 # the rows come out the same under any split, so an old one is never wrong.
 _PLANNED: dict[tuple, Split] = {}
@@ -53,6 +73,8 @@ _PLANNED: dict[tuple, Split] = {}
 
 def plan_split(df: DataFrame, keys: Sequence[str], at: str) -> Split:
     """Count rows per key and cut the heavy keys by `at` (a number, never null)."""
+    if is_small(df):
+        return Split(tuple(keys), at, None)
     slim = df.select(*keys, at)
     known = (df.sparkSession.sparkContext.applicationId, slim.semanticHash(), tuple(keys), at, split_limit(df))
     if known not in _PLANNED:
