@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotape.functions.clock import DAY, local_day
+from chronotape.functions.hashing import joined, sha_number
 from chronotape.operators import predicates as p
 from chronotape.operators.predicates import kind, sure
 
@@ -340,3 +341,18 @@ def label_distribution(rows: DataFrame, dims: Sequence[str], label: str = "y") -
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(label).cast("bigint").alias("positive"),
     )
+
+
+def sampled_negatives(rows: DataFrame, row: str, one_of: int, seed: str = "negatives") -> DataFrame:
+    """Every positive and one of N negatives by a hash of the row, with the weight that makes up for it."""
+    kept = (F.col("y") == 1) | (F.pmod(sha_number(joined(seed, F.col(row))), F.lit(one_of)) == 0)
+    return rows.filter(kept).withColumn("weight", F.when(F.col("y") == 1, 1).otherwise(one_of))
+
+
+def valid_window() -> Column:
+    """The target window lies inside the history window and is not empty."""
+    return (
+        (F.col("history_start") <= F.col("target_start"))
+        & (F.col("target_start") < F.col("target_end"))
+        & (F.col("target_end") <= F.col("final_cutoff"))
+    )
