@@ -1,0 +1,478 @@
+"""Joins (J1-J14), metrics and models (E1-E16, A42, F10, F15) and their SQL."""
+
+from pyspark.sql import functions as F
+
+from chronotape.operators import evaluate as ev
+from chronotape.operators import features as fx
+from chronotape.operators import joins as jx
+from chronotape.operators import models as ml
+from chronotape.operators import operations as ops
+from chronotape.operators import predicates as p
+from chronotape.operators.predicates import kind
+from chronotape.plans.shared import written
+from queries.features import ACTS, OPERATION_SQL
+from queries.registry import query
+from queries.tables import CUTOFF, DAY, END, FAMILIES, LOCAL, SNAPSHOT, families, read, snapshot, tape, with_tape
+
+# --- joins ----------------------------------------------------------------------------
+
+
+@query("J1_snapshot_join", with_tape("select t.id, t.client, s.gender, s.region from tape t left join snap s on s.client = t.client", SNAPSHOT))
+def j1(spark, sf):
+    return jx.with_snapshot(tape(spark, sf).select("id", "client"), snapshot(spark, sf), ["gender", "region"])
+
+
+@query("J6_product_family", with_tape("select t.id, t.product_id, f.family from tape t left join families f using (product_id) where t.product_id is not null", FAMILIES))
+def j6(spark, sf):
+    rows = tape(spark, sf).filter("product_id is not null").select("id", "product_id")
+    return jx.with_family(rows, families(spark, sf))
+
+
+MARKS = """marks as (select id as mark, client, t, type, amount from tape where k % 10 = 3 union all select -id, client, t + 1, type, amount from tape where k = 44)"""
+
+
+@query(
+    "J7_exact_row_match",
+    with_tape(
+        """select m.mark, count(r.id) as n_rows, min(r.id) as id from marks m left join tape r on r.client = m.client and r.t = m.t and r.type = m.type
+ and r.amount is not distinct from m.amount group by m.mark""",
+        MARKS,
+    ),
+)
+def j7(spark, sf):
+    rows = tape(spark, sf)
+    fields = ["client", "t", "type", "amount"]
+    marks = rows.filter("k % 10 = 3").select(F.col("id").alias("mark"), *fields).unionByName(
+        rows.filter("k = 44").select((-F.col("id")).alias("mark"), *fields).withColumn("t", F.col("t") + 1)
+    )
+    return jx.match_marks(marks, rows, fields, "mark", "id")
+
+
+@query(
+    "J8_vectors_as_columns",
+    "select c_custkey, embedding[1] as usr_0, embedding[2] as usr_1, embedding[64] as usr_63 from customer left join embeddings on vec_id = c_custkey",
+)
+def j8(spark, sf):
+    rows = read(spark, sf, "customer").select("c_custkey")
+    vectors = read(spark, sf, "embeddings").withColumnRenamed("vec_id", "c_custkey")
+    wide = jx.with_vectors(rows, vectors, "c_custkey", "embedding", 64)
+    return wide.select("c_custkey", "usr_0", "usr_1", "usr_63")
+
+
+@query("J8_vector_problems", "select c_custkey, 'missing' as problem from customer where c_custkey not in (select vec_id from embeddings)")
+def j8_problems(spark, sf):
+    vectors = read(spark, sf, "embeddings").withColumnRenamed("vec_id", "c_custkey")
+    return jx.vector_problems(read(spark, sf, "customer"), vectors, "c_custkey", "embedding", 64)
+
+
+@query("J9_known_clients", with_tape("select count(*) as n, count(distinct client) as clients from tape where client in (select client from snap where gender = 'F')", SNAPSHOT))
+def j9(spark, sf):
+    rows = jx.known_clients(tape(spark, sf), snapshot(spark, sf).filter("gender = 'F'"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("client").alias("clients"))
+
+
+@query(
+    "J10_never_closed",
+    with_tape("select distinct client, contract_id from tape where type='product_opened' and contract_id not in (select contract_id from tape where type='product_closed')"),
+)
+def j10(spark, sf):
+    rows = tape(spark, sf)
+    opened = rows.filter(kind("product_opened")).select("client", "contract_id").distinct()
+    return jx.without(opened, rows.filter(kind("product_closed")), ["contract_id"])
+
+
+@query(
+    "J11_followed_within",
+    with_tape(
+        f"""select d.id, d.client, count(c.id) as reminders from (select * from tape where type='installment_missed') d left join (select * from tape where type='communication_sent') c
+ on c.client = d.client and c.t >= d.t and c.t <= d.t + {7 * DAY} group by 1, 2"""
+    ),
+)
+def j11(spark, sf):
+    rows = tape(spark, sf)
+    spans = rows.filter(kind("installment_missed")).select(
+        "id", "client", F.col("t").alias("start"), (F.col("t") + 7 * DAY + 1).alias("stop")
+    )
+    return jx.counts_between(spans, rows.select("client", "t", "type"), ["client"], {"reminders": kind("communication_sent")}, "id").select(
+        "id", "client", "reminders"
+    )
+
+
+@query(
+    "J12_offers_until_stop",
+    with_tape(
+        f"""select d.id, d.stop, count(c.id) as offers from (select *, least(coalesce((select min(s.t) from tape s where s.client = x.client and s.type='loan_payment' and s.t > x.t), {END}), t + {60 * DAY}, {END}) as stop
+ from tape x where type='installment_missed') d left join (select * from tape where type='communication_sent') c on c.client = d.client and c.t >= d.t and c.t < d.stop group by 1, 2"""
+    ),
+)
+def j12(spark, sf):
+    rows = tape(spark, sf)
+    missed = rows.filter(kind("installment_missed")).select("id", "client", "t")
+    stopped = jx.first_after(missed, rows.filter(kind("loan_payment")), ["client"])
+    spans = stopped.select(
+        "id",
+        "client",
+        F.col("t").alias("start"),
+        F.least(F.coalesce("stopped_at", F.lit(END)), F.col("t") + 60 * DAY, F.lit(END)).alias("stop"),
+    )
+    found = jx.counts_between(spans, rows.select("client", "t", "type"), ["client"], {"offers": kind("communication_sent")}, "id")
+    return found.select("id", "stop", "offers")
+
+
+# --- predictions: quality and toxic labels with scores drawn from the document id --------
+
+U = "cast('0x' || substr(sha256(concat_ws(chr(31), '{s}', cast(doc_id as varchar))), 1, 13) as bigint) / 4503599627370496.0"
+PREDICTED = f"""predicted as (select doc_id, toxic, source, quality as y, (floor({U.format(s='a')} * 70) + quality * 25 + 1) / 100.0::double as score_a,
+ (floor({U.format(s='b')} * 80) + quality * 12 + 1) / 100.0::double as score_b from labels join documents using (doc_id)),
+pred as (select *, score_a as score from predicted)"""
+
+
+def predicted(spark, sf):
+    from chronotape.functions.hashing import uniform
+
+    rows = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    a, b = uniform("a", F.col("doc_id")), uniform("b", F.col("doc_id"))
+    return rows.select(
+        "doc_id",
+        "toxic",
+        "source",
+        F.col("quality").alias("y"),
+        ((F.floor(a * 70) + F.col("quality") * 25 + 1) / 100.0).alias("score_a"),
+        ((F.floor(b * 80) + F.col("quality") * 12 + 1) / 100.0).alias("score_b"),
+    ).withColumn("score", F.col("score_a"))
+
+
+COUNTED = "counted as (select score, count(*) filter (where y = 1) as pos, count(*) filter (where y = 0) as neg from pred group by score)"
+AUC_SQL = """(select sum(pos * (2 * coalesce(below, 0) + neg))::double / (2.0 * sum(pos) * sum(neg)) from (select *, sum(neg) over (order by score rows between unbounded preceding and 1 preceding) as below from counted))"""
+AP_SQL = """(select sum(pos / (select sum(pos) from counted) * (tp / (tp + fp))) from (select *, sum(pos) over (order by score desc) as tp, sum(neg) over (order by score desc) as fp from counted))"""
+LOSS_SQL = "(select avg(-case when y = 1 then ln(least(1 - 2.220446049250313e-16::double, greatest(2.220446049250313e-16::double, score))) else ln(1 - least(1 - 2.220446049250313e-16::double, greatest(2.220446049250313e-16::double, score))) end) from pred)"
+
+
+@query("E1_roc_auc", f'with {PREDICTED}, {COUNTED} select sum(pos)::bigint as "P", sum(neg)::bigint as "N", {AUC_SQL} as auc from counted')
+def e1(spark, sf):
+    return ev.auc(ev.score_counts(predicted(spark, sf)))
+
+
+@query("E2_average_precision", f"with {PREDICTED}, {COUNTED} select round({AP_SQL}, 9) as pr_auc")
+def e2(spark, sf):
+    return ev.average_precision(ev.score_counts(predicted(spark, sf))).select(F.round("pr_auc", 9).alias("pr_auc"))
+
+
+@query("E3_log_loss", f"with {PREDICTED} select round({LOSS_SQL}, 9) as log_loss")
+def e3(spark, sf):
+    return ev.log_loss(predicted(spark, sf)).select(F.round("log_loss", 9).alias("log_loss"))
+
+
+CONFUSION = """count(*) filter (where score >= 0.5 and y = 1) as tp, count(*) filter (where score >= 0.5 and y = 0) as fp, count(*) filter (where score < 0.5 and y = 1) as fn, count(*) filter (where score < 0.5 and y = 0) as tn"""
+RATES = """*, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as recall, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end as f1"""
+
+
+@query("E4_confusion", f"with {PREDICTED} select {RATES} from (select {CONFUSION} from pred)")
+def e4(spark, sf):
+    return ev.at_threshold(predicted(spark, sf), 0.5)
+
+
+BEST = """select score as threshold, f1 from (select score, 2 * tp / (tp + fp + (select sum(pos) from counted)) as f1 from (select *, sum(pos) over (order by score desc) as tp, sum(neg) over (order by score desc) as fp from counted)) order by f1 desc, score limit 1"""
+
+
+@query("E5_best_threshold", f"with {PREDICTED}, {COUNTED} {BEST}")
+def e5(spark, sf):
+    return ev.best_threshold(ev.score_counts(predicted(spark, sf)))
+
+
+DRAWS = 40
+DU = "cast('0x' || substr(sha256(concat_ws(chr(31), '0', cast(draw as varchar), cast(doc_id as varchar))), 1, 13) as bigint) / 4503599627370496.0"
+WSQL = "case " + " ".join(f"when u < {edge!r}::double then {i}" for i, edge in enumerate(ev.POISSON_ONE)) + f" else {len(ev.POISSON_ONE)} end"
+
+
+def _drawn(name):
+    return f"""c{name} as (select draw, score_{name} as score, sum(w) filter (where y = 1) as p0, sum(w) filter (where y = 0) as n0 from drawn group by 1, 2),
+d{name} as (select draw, score, coalesce(p0, 0) as pos, coalesce(n0, 0) as neg from c{name}),
+a{name} as (select draw, case when sum(pos) > 0 and sum(neg) > 0 then sum(pos * (2 * coalesce(below, 0) + neg))::double / (2.0 * sum(pos) * sum(neg)) end as auc_{name} from
+ (select *, sum(neg) over (partition by draw order by score rows between unbounded preceding and 1 preceding) as below from d{name}) group by draw),
+p{name} as (select draw, sum(pos / total * (tp / (tp + fp))) as pr_auc_{name} from (select *, sum(pos) over (partition by draw order by score desc) as tp, sum(neg) over (partition by draw order by score desc) as fp,
+ sum(pos) over (partition by draw) as total from d{name}) group by draw)"""
+
+
+BOOT = f"""drawn as (select * from (select *, {WSQL} as w from (select *, {DU} as u from (select p.*, unnest(range({DRAWS})) as draw from predicted p))) where w > 0), {_drawn('a')}, {_drawn('b')},
+boots as (select draw, auc_a, auc_b, pr_auc_a, pr_auc_b from aa join pa using (draw) join ab using (draw) join pb using (draw) where auc_a is not null and auc_b is not null)"""
+
+
+def drawn(spark, sf):
+    # One row per draw: written once, read by the mean and the quantiles.
+    return written(ev.paired_draws(written(predicted(spark, sf), "predicted"), "doc_id", DRAWS), "draws")
+
+
+@query(
+    "E6_bootstrap_draws",
+    f"with {PREDICTED}, {BOOT} select draw::int as draw, round(auc_a, 9) as auc_a, round(auc_b, 9) as auc_b, round(pr_auc_a, 9) as pr_auc_a, round(pr_auc_b, 9) as pr_auc_b from boots",
+)
+def e6(spark, sf):
+    found = ev.paired_draws(written(predicted(spark, sf), "predicted"), "doc_id", DRAWS)
+    return found.select("draw", *[F.round(c, 9).alias(c) for c in ("auc_a", "auc_b", "pr_auc_a", "pr_auc_b")])
+
+
+@query(
+    "E6_paired_difference",
+    f"""with {PREDICTED}, {BOOT} select count(*) as draws, round(avg(gap), 9) as mean, avg((gap <= 0)::int) as not_better, round(quantile_cont(gap, 0.025), 9) as low, round(quantile_cont(gap, 0.975), 9) as high
+ from (select auc_b - auc_a as gap from boots)""",
+)
+def e6_summary(spark, sf):
+    found = ev.paired_summary(drawn(spark, sf), "auc")
+    return found.select("draws", F.round("mean", 9).alias("mean"), "not_better", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+PLACED = """placed as (select *, row_number() over (partition by y order by cast('0x' || substr(sha256(concat_ws(chr(31), '0', cast(doc_id as varchar))), 1, 13) as bigint), doc_id) - 1 as place, count(*) over (partition by y) as n from pred)"""
+
+
+@query("E7_stratified_holdout", f"with {PREDICTED}, {PLACED} select doc_id, y, place < floor(n * 0.2::double) as held_out from placed")
+def e7(spark, sf):
+    return ev.holdout(predicted(spark, sf), "doc_id", 0.2).select("doc_id", "y", "held_out")
+
+
+@query("E7_stratified_folds", f"with {PREDICTED}, {PLACED} select doc_id, y, (place % 5)::int as fold from placed")
+def e7_folds(spark, sf):
+    return ev.folds(predicted(spark, sf), "doc_id", 5).select("doc_id", "y", "fold")
+
+
+def vectors(spark, sf):
+    return read(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 3).cast("int").alias("y"))
+
+
+@query("E8_logistic_probe")
+def e8(spark, sf):
+    parted = ev.holdout(vectors(spark, sf), "vec_id", 0.3)
+    scores, strength, threshold = ml.probe(
+        parted.filter("not held_out"), parted.filter("held_out"), "embedding", "vec_id", (0.01, 1.0)
+    )
+    found = ev.metrics(scores)
+    return found.select("*", F.lit(strength).alias("strength"), F.lit(threshold).alias("threshold"))
+
+
+NUMERIC = ("act_count_30", "act_count_90", "act_days_since_last", "purchase_sum_90", "app_login_count_30", "comm_count_90", "balance_total")
+CATEGORICAL = ("gender", "region")
+
+
+def model_rows(spark, sf):
+    """Client features at an earlier T, with an action in the next days as the label."""
+    rows = tape(spark, sf)
+    table = fx.client_features(rows, CUTOFF)
+    labels = fx.churn_labels(rows, CUTOFF, horizon_days=7).select("client", F.col("churned").alias("y"))
+    snap = snapshot(spark, sf).select("client", *CATEGORICAL)
+    found = labels.join(table, "client").join(snap, "client", "left").select("client", "y", *NUMERIC, *CATEGORICAL)
+    return written(found, "rows")
+
+
+@query("E9_boosted_trees")
+def e9(spark, sf):
+    rows = model_rows(spark, sf)
+    model, threshold, trees = ml.boosted(rows, NUMERIC, CATEGORICAL, "client", trees=5, depth=3)
+    scores = ml.scored(model.transform(ml.prepared(rows, NUMERIC, CATEGORICAL)), "client")
+    return ev.metrics(scores).select("*", F.lit(threshold).alias("threshold"), F.lit(trees).alias("trees"))
+
+
+@query("E9_feature_importance")
+def e9_importance(spark, sf):
+    model, _, _ = ml.boosted(model_rows(spark, sf), NUMERIC, CATEGORICAL, "client", trees=5, depth=3)
+    return spark.createDataFrame(ml.importance(model, NUMERIC, CATEGORICAL), "feature string, importance double")
+
+
+@query("E10_features_plus_vectors")
+def e10(spark, sf):
+    rows = model_rows(spark, sf)
+    vectors = read(spark, sf, "embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("client"), "embedding")
+    names = [f"usr_{i}" for i in range(8)]
+    wide = jx.with_vectors(rows, vectors, "client", "embedding", 8)
+    found = None
+    for scenario, columns in (("features", NUMERIC), ("features_vectors", (*NUMERIC, *names))):
+        model, threshold, _ = ml.boosted(wide, columns, CATEGORICAL, "client", trees=5, depth=3)
+        scores = ml.scored(model.transform(ml.prepared(wide, columns, CATEGORICAL)), "client")
+        one = ev.metrics(scores).select(F.lit(scenario).alias("scenario"), "*", F.lit(threshold).alias("threshold"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+SLICES = f"""sliced as (select 'all' as slice, y, score from pred union all select 'toxic', y, score from pred where toxic = 1
+ union all select 'hard', y, score from pred where y = 1 or score >= 0.5)"""
+
+
+def sliced(spark, sf):
+    rows = predicted(spark, sf)
+    hard = (F.col("y") == 1) | (F.col("score") >= 0.5)
+    marks = F.array(
+        F.lit("all"), F.when(F.col("toxic") == 1, F.lit("toxic")), F.when(hard, F.lit("hard"))
+    )
+    return rows.select(F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("slice"), "y", "score")
+
+
+@query(
+    "E11_slice_metrics",
+    f"with {PREDICTED}, {SLICES} select {RATES} from (select slice, {CONFUSION} from sliced group by slice)",
+)
+def e11(spark, sf):
+    return ev.at_threshold(sliced(spark, sf), 0.5, ["slice"])
+
+
+@query(
+    "E11_slice_auc",
+    f"""with {PREDICTED}, {SLICES}, counted as (select slice, score, count(*) filter (where y = 1) as pos, count(*) filter (where y = 0) as neg from sliced group by 1, 2)
+ select slice, sum(pos)::bigint as "P", sum(neg)::bigint as "N", sum(pos * (2 * coalesce(below, 0) + neg))::double / (2.0 * sum(pos) * sum(neg)) as auc
+ from (select *, sum(neg) over (partition by slice order by score rows between unbounded preceding and 1 preceding) as below from counted) group by slice""",
+)
+def e11_auc(spark, sf):
+    return ev.auc(ev.score_counts(sliced(spark, sf), ["slice"]), ["slice"])
+
+
+@query(
+    "E12_top_hits",
+    """select type, count(*) as n, count(*) filter (where p = 1) as top1, count(*) filter (where p between 1 and 5) as top5, sum(loss) / count(*) as mean_loss from
+ (select e.event_type as type, list_position([(e.event_id + i) % 10 for i in range(7)], e.user_id % 10) as p, cast(props->>'$.k' as bigint) as loss from events e) group by type""",
+)
+def e12(spark, sf):
+    rows = read(spark, sf, "events").select(
+        F.col("event_type").alias("type"),
+        (F.col("user_id") % 10).alias("target"),
+        F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: (F.col("event_id") + i) % 10).alias("ranked"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("loss"),
+    )
+    return ev.hits(rows, ["type"])
+
+
+BANDS = [("declined", 0.1, 0.5, None, None), ("purchases", None, None, 0.3, 0.9), ("transfers", 0.05, 0.2, None, None)]
+
+
+@query(
+    "E13_calibration_band",
+    with_tape(
+        """select metric, value, coalesce(target * (1 - tolerance), low) as band_low, coalesce(target * (1 + tolerance), high) as band_high,
+ value between coalesce(target * (1 - tolerance), low) and coalesce(target * (1 + tolerance), high) as ok from
+ (select 'declined' as metric, avg((coalesce(status,'')='declined')::int) as value from tape union all select 'purchases', avg((type='purchase')::int) from tape union all select 'transfers', avg((type='transfer_out')::int) from tape) m
+ join (values ('declined', 0.1::double, 0.5::double, null::double, null::double), ('purchases', null, null, 0.3::double, 0.9::double), ('transfers', 0.05::double, 0.2::double, null, null)) t(metric, target, tolerance, low, high) using (metric)"""
+    ),
+)
+def e13(spark, sf):
+    rates = tape(spark, sf).agg(
+        F.avg(p.sure(F.col("status") == "declined").cast("int")).alias("declined"),
+        F.avg(kind("purchase").cast("int")).alias("purchases"),
+        F.avg(kind("transfer_out").cast("int")).alias("transfers"),
+    )
+    measured = rates.unpivot([], ["declined", "purchases", "transfers"], "metric", "value")
+    targets = spark.createDataFrame(BANDS, "metric string, target double, tolerance double, low double, high double")
+    return ev.in_band(measured, targets)
+
+
+SINGLE = f"""feats as (select client, (count(*) filter (where action and t > {CUTOFF} and t <= {CUTOFF + 7 * DAY}) = 0)::int as y,
+ count(*) filter (where action and t < {CUTOFF} and t >= {CUTOFF - 30 * DAY}) as act_30, count(*) filter (where type='fraud_alert' and t < {CUTOFF}) as alerts,
+ ({CUTOFF} - max(t) filter (where type='purchase' and t < {CUTOFF})) / {float(DAY)!r} as purchase_age, 1 as constant from acts group by client),
+longf as (select y, 'act_30' as feature, act_30::double as score from feats union all select y, 'alerts', alerts::double from feats union all select y, 'purchase_age', purchase_age from feats where purchase_age is not null),
+countf as (select feature, score, count(*) filter (where y = 1) as pos, count(*) filter (where y = 0) as neg from longf group by 1, 2)"""
+
+
+@query(
+    "E14_single_feature_auc",
+    with_tape(
+        """select feature, sum(pos)::bigint as "P", sum(neg)::bigint as "N", sum(pos * (2 * coalesce(below, 0) + neg))::double / (2.0 * sum(pos) * sum(neg)) as auc
+ from (select *, sum(neg) over (partition by feature order by score rows between unbounded preceding and 1 preceding) as below from countf) group by feature""",
+        ACTS, SINGLE,
+    ),
+)
+def e14(spark, sf):
+    t, act = F.col("t"), F.col("action")
+    rows = fx.with_actions(tape(spark, sf)).groupBy("client").agg(
+        (F.count_if(act & (t > CUTOFF) & (t <= CUTOFF + 7 * DAY)) == 0).cast("int").alias("y"),
+        F.count_if(act & (t < CUTOFF) & (t >= CUTOFF - 30 * DAY)).alias("act_30"),
+        F.count_if(kind("fraud_alert") & (t < CUTOFF)).alias("alerts"),
+        ((F.lit(CUTOFF) - F.max(F.when(kind("purchase") & (t < CUTOFF), t))) / F.lit(float(DAY))).alias("purchase_age"),
+        F.lit(1).alias("constant"),
+    )
+    return ev.feature_aucs(rows, ["act_30", "alerts", "purchase_age", "constant"])
+
+
+GROUPS = {"act": ("act_count_30", "act_count_90"), "money": ("purchase_sum_90", "balance_total"), "app": ("app_login_count_30",)}
+
+
+@query("E15_group_ablation")
+def e15(spark, sf):
+    rows = model_rows(spark, sf)
+    found = None
+    for name, columns in GROUPS.items():
+        stages = ml.mixed_features(columns, ())
+        ready = ml.Pipeline(stages=stages).fit(ml.prepared(rows, columns, (), log=True))
+        vectors = ready.transform(ml.prepared(rows, columns, (), log=True)).select("client", "y", "features")
+        strength, means, scores = ml.choose_strength(vectors, "client", (0.1,))
+        one = ev.metrics(scores).select(F.lit(name).alias("features"), "*", F.lit(strength).alias("strength"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+RUNS = """runs as (select seed, scenario, sum(cents) / count(*) as value from (select o_orderkey // 4 % 50 as seed, case when o_orderkey % 2 = 0 then 'a' else 'b' end as scenario, round(o_totalprice * 100)::bigint as cents from orders) group by 1, 2)"""
+
+
+@query(
+    "E16_seed_noise",
+    f"""with {RUNS}, gaps as (select seed, max(value) filter (where scenario='b') - max(value) filter (where scenario='a') as gap from runs group by seed)
+ select count(gap) as seeds, round(avg(gap), 6) as mean, round(max(gap) - min(gap), 6) as spread, round(stddev_samp(gap), 6) as deviation from gaps""",
+)
+def e16(spark, sf):
+    runs = read(spark, sf, "orders").groupBy(
+        (F.floor(F.col("o_orderkey") / 4) % 50).alias("seed"),
+        F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b").alias("scenario"),
+    ).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / F.count(F.lit(1))).alias("value"))
+    found = ev.seed_noise(runs)
+    return found.select("seeds", *[F.round(c, 6).alias(c) for c in ("mean", "spread", "deviation")])
+
+
+@query(
+    "J14_prediction_alignment",
+    f"""with {PREDICTED}, a as (select doc_id, y from pred union all select doc_id, y from pred where toxic = 1), b as (select doc_id, case when doc_id % 11 = 0 then 1 - y else y end as y from pred where source <> 'src3')
+ select coalesce(x.doc_id, z.doc_id) as doc_id, coalesce(left_rows, 0) as left_rows, left_y, coalesce(right_rows, 0) as right_rows, right_y from (select doc_id, count(*) as left_rows, min(y) as left_y from a group by 1) x
+ full outer join (select doc_id, count(*) as right_rows, min(y) as right_y from b group by 1) z on x.doc_id = z.doc_id
+ where coalesce(left_rows, 0) <> 1 or coalesce(right_rows, 0) <> 1 or left_y is distinct from right_y""",
+)
+def j14(spark, sf):
+    rows = predicted(spark, sf)
+    left = rows.select("doc_id", "y").unionByName(rows.filter("toxic = 1").select("doc_id", "y"))
+    flipped = F.when(F.col("doc_id") % 11 == 0, 1 - F.col("y")).otherwise(F.col("y"))
+    right = rows.filter("source <> 'src3'").select("doc_id", flipped.alias("y"))
+    return ev.aligned(left, right, "doc_id")
+
+
+@query(
+    "A42_segment_metrics",
+    f"""with {PREDICTED}, seg as (select 'all' as source, y, score from pred union all select source, y, score from pred),
+counted as (select source, score, count(*) filter (where y = 1) as pos, count(*) filter (where y = 0) as neg from seg group by 1, 2),
+areas as (select source, sum(pos)::bigint as p, sum(neg)::bigint as n, sum(pos * (2 * coalesce(below, 0) + neg))::double / (2.0 * nullif(sum(pos), 0) * nullif(sum(neg), 0)) as auc
+ from (select *, sum(neg) over (partition by source order by score rows between unbounded preceding and 1 preceding) as below from counted) group by source),
+precisions as (select source, sum(pos / total * (tp / (tp + fp))) as pr_auc from (select *, sum(pos) over (partition by source order by score desc) as tp, sum(neg) over (partition by source order by score desc) as fp,
+ sum(pos) over (partition by source) as total from counted) where total > 0 group by source)
+ select a.source, p as "P", n as "N", case when p >= 4 and n >= 4 then auc end as auc, case when p >= 4 and n >= 4 then round(pr_auc, 9) end as pr_auc from areas a left join precisions using (source)""",
+)
+def a42(spark, sf):
+    found = ev.with_support(predicted(spark, sf), ["source"], 4)
+    return found.withColumn("pr_auc", F.round("pr_auc", 9))
+
+
+@query(
+    "F10_row_features",
+    with_tape(
+        f"""select id, (coalesce(original_currency,'KZT')<>'KZT')::int as foreign_currency, coalesce(is_online,false)::int as is_online, (coalesce(merchant_country,'KZ')<>'KZ')::int as is_foreign,
+ round(ln(1 + amount::double), 9) as log_amount, hour(x)::int as hour, (isodow(x) - 1)::int as weekday, day(x)::int as day_of_month from (select *, make_timestamp(t + {LOCAL}) as x from tape where {OPERATION_SQL})"""
+    ),
+)
+def f10(spark, sf):
+    wanted = ("foreign_currency", "is_online", "is_foreign", "log_amount", "hour", "weekday", "day_of_month")
+    columns = ops.row_features()
+    return tape(spark, sf).filter(p.is_operation()).select("id", *[columns[n].alias(n) for n in wanted])
+
+
+@query(
+    "F15_hand_features",
+    with_tape(
+        """select id, round(coalesce(x, (select median(x) from logged), 0.0), 9) as balance_after, (x is null)::int as balance_after_missing from logged""",
+        "logged as (select id, sign(balance_after) * ln(1 + abs(balance_after::double)) as x from tape)",
+    ),
+)
+def f15(spark, sf):
+    filled = ml.fill_hand_features(tape(spark, sf), ["balance_after"], "id")
+    return filled.select("id", F.round("balance_after", 9).alias("balance_after"), "balance_after_missing")
+
