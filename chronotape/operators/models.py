@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotape.operators.evaluate import best_threshold, folds, holdout, score_counts
+from chronotape.plans.split import quantiles
 
 # Inverse regularisation strengths tried, and folds.
 STRENGTHS = (0.001, 0.01, 0.1, 1.0, 10.0)
@@ -107,10 +108,10 @@ def prepared(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 def fill_hand_features(rows: DataFrame, numeric: Sequence[str], row: str) -> DataFrame:
     """Signed logs with the median in place of a gap, and a flag for it."""
     logged = rows.select(row, *[signed_log(F.col(c).cast("double")).alias(c) for c in numeric])
-    medians = logged.agg(*[F.median(c).alias(c) for c in numeric])
+    medians = {c: quantiles(logged, [], c, {"median": 0.5}) for c in numeric}
     return logged.select(
         row,
-        *[F.coalesce(F.col(c), medians.select(c).scalar(), F.lit(0.0)).alias(c) for c in numeric],
+        *[F.coalesce(F.col(c), medians[c].scalar(), F.lit(0.0)).alias(c) for c in numeric],
         *[F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in numeric],
     )
 

@@ -137,10 +137,11 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def tape(spark: SparkSession, sf: str) -> DataFrame:
-    """The derived tape: id, client, t (microseconds), type and its fields."""
+def tape(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    """The derived tape: id, client, t (microseconds), type and its fields; of a stream when one is given."""
     moment = F.unix_micros(F.col("ts").cast("timestamp"))
-    base = read(spark, sf, "events").select(
+    events = read(spark, sf, "events") if events is None else events
+    base = events.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("u"),
         F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("client"),
@@ -210,10 +211,10 @@ RAW = f"""raw as (select id, case when k=98 then ' ' when k=99 then null else cl
  case when k=90 then 'unknown_system' else source end as source, {_payload} as payload from tape)"""
 
 
-def raw(spark: SparkSession, sf: str) -> DataFrame:
+def raw(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """The raw export of the tape: row id, client_id, event_time, source, payload as text."""
     text = "date_format(timestamp_micros(t + 18000000000), \"yyyy-MM-dd'T'HH:mm:ss.SSS\")"
-    return tape(spark, sf).selectExpr(
+    return tape(spark, sf, events).selectExpr(
         "id",
         "case when k=98 then ' ' when k=99 then null else client end as client_id",
         f"{_bad_time.format(x=text)} as event_time",
