@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotape.functions.clock import DAY, LOCAL_OFFSET, end_of_day, local_day, monday, month_number
+from chronotape.functions.clock import DAY, LOCAL_OFFSET, end_of_day, local_day, month_number
 from chronotape.operators import predicates as p
 from chronotape.operators.features import with_actions
 from chronotape.operators.predicates import kind
 from chronotape.operators.profile import milestone_moment
-from chronotape.operators.windows import run_lengths, spine, trailing_flag
+from chronotape.operators.windows import spine
 from chronotape.plans.split import plan_split, previous
 
 # Event types that change which contracts a client holds, and two product families.
@@ -107,64 +107,67 @@ def daily_facts(
         F.max(_flag(held.isNull() & before["premium"] & after)).alias("premium_closed"),
     )
     days = spine(known.withColumns({"lo": F.col("first_day") - 1, "hi": last_day}), "lo", "hi", "day")
-    facts = days.join(acts, ["client", "day"], "left").join(deltas, ["client", "day"], "left").fillna(
-        0, subset=["visits", "d_held", "d_debit", "d_premium", "premium_closed"]
-    )
-
-    # One row per day from here on: the windows of a client are bounded by the calendar.
-    so_far = Window.partitionBy("client").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("client")
-    in_month = Window.partitionBy("client", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    # Days, acts and changes are at most a few rows per client and day: they meet in one exchange
+    # by client, which every window below and the walk itself reuse.
+    stacked = days.unionByName(acts, allowMissingColumns=True).unionByName(deltas, allowMissingColumns=True)
+    sums = ("visits", "d_held", "d_debit", "d_premium", "premium_closed")
+    # The number of partitions is named, so that small facts still spread over the walkers.
+    parts = int(tape.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    facts = stacked.repartition(parts, "client").groupBy("client", "day").agg(
+        F.max("registered").alias("registered"),
+        F.max("first_day").alias("first_day"),
+        *[F.max(c).alias(c) for c in ("action_t", "visit_t")],
+        F.min("target_t").alias("target_t"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
+    ).filter("registered is not null")
+
+    order = Window.partitionBy("client").orderBy("day")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     midnight = end_of_day(F.col("day"))
-    facts = facts.withColumn("month", month_number(midnight - 1))
+    first_week = F.floor((F.col("first_day") + 3) / 7).cast("bigint")
+    own_day = F.col("day") >= F.col("first_day")
+    sunday = own_day & (F.pmod(F.col("day") + 3, F.lit(7)) == 6)
+    facts = facts.withColumns({"month": month_number(midnight - 1), "sunday": sunday, "first_week": first_week})
     facts = facts.withColumns(
         {
             "last_action": F.greatest("registered", F.max("action_t").over(so_far)),
             "last_visit": F.coalesce(F.max("visit_t").over(so_far), F.lit(-1)),
-            "activated_t": F.min("target_t").over(whole),
+            "activated_t": F.min("target_t").over(so_far),
             "held": F.sum("d_held").over(so_far),
             "debit": F.sum("d_debit").over(so_far) > 0,
             "premium": F.sum("d_premium").over(so_far) > 0,
-            "month_visits": F.sum("visits").over(in_month),
+            "visit_month": F.max(F.when(F.col("visits") > 0, F.col("month"))).over(so_far),
+            "weeks": F.count_if("sunday").over(so_far),
+            "high_sum": F.sum("visits").over(order.rowsBetween(1 - 7 * rules.high_weeks, 0)),
+            "low_sum": F.sum("visits").over(order.rowsBetween(1 - 7 * rules.low_weeks, 0)),
         }
     )
-    first_week = F.floor((F.col("first_day") + 3) / 7).cast("bigint")
-    weeks = _weekly(facts.filter(F.col("day") >= F.col("first_day")), last_day, rules)
-    sunday = facts.join(weeks, ["client", "day"], "left")
-    carried = lambda c: F.last(c, ignorenulls=True).over(so_far)
-    return sunday.withColumns(
+    # Closed weeks are numbered by their Sundays: a run is as long as the weeks since the last week outside it.
+    high = (F.col("weeks") >= rules.high_weeks) & (F.col("high_sum") >= rules.high_visits)
+    low = (F.col("weeks") >= rules.low_weeks) & (F.col("low_sum") <= rules.low_visits)
+    facts = facts.withColumns(
         {
-            "high_length": F.coalesce(carried("high_length"), F.lit(0)),
-            "high_start": carried("high_start"),
-            "declined": F.coalesce("declined", F.lit(False)),
-            "calm": F.coalesce(~F.col("low"), F.lit(False)),
-            "month_empty": (F.col("month_visits") == 0) & (month_number(midnight) != F.col("month")),
-            "moment": midnight,
-            "activated_month": month_number(F.col("activated_t")),
-            "visit_day": F.col("visits") > 0,
-            "first_week": first_week,
+            "low": low,
+            "not_high": F.coalesce(F.max(F.when(F.col("sunday") & ~high, F.col("weeks"))).over(so_far), F.lit(0)),
+            "not_low": F.coalesce(F.max(F.when(F.col("sunday") & ~low, F.col("weeks"))).over(so_far), F.lit(0)),
         }
-    ).filter(F.col("day") >= F.col("first_day")).select(
-        "client", "day", "moment", "month", "registered", "last_action", "last_visit", "activated_t", "activated_month",
-        "visit_day", "month_empty", "premium", "premium_closed", "declined", "calm", "high_start",
-        ((F.col("high_length") >= rules.high_run) & (F.col("held") >= rules.core_products) & F.col("debit")).alias("core"),
-    )
-
-
-def _weekly(facts: DataFrame, last_day: Column, rules: Rules) -> DataFrame:
-    """Runs of busy and quiet ISO weeks, on the Sunday that closes each."""
-    weeks = facts.groupBy("client", F.floor((F.col("day") + 3) / 7).cast("bigint").alias("week")).agg(
-        F.sum("visits").alias("n")
     )
-    weeks = weeks.withColumn("day", monday(F.col("week") * 7) + 6).filter(F.col("day") <= last_day)
-    weeks = trailing_flag(weeks, rules.high_weeks, rules.high_visits, "high")
-    weeks = trailing_flag(weeks, rules.low_weeks, rules.low_visits, "low", at_most=True)
-    weeks = run_lengths(run_lengths(weeks, "high", "high"), "low", "low")
-    so_far = Window.partitionBy("client").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.max(F.when(F.col("high_length") == rules.high_run, F.col("high_start"))).over(so_far)
-    return weeks.select(
-        "client", "day", "high_length", "high_start", "low",
-        ((F.col("low_length") == rules.low_run) & (F.col("low_start") > reached)).alias("declined"),
+    facts = facts.withColumn("high_length", F.col("weeks") - F.col("not_high"))
+    begun = F.max(F.when(F.col("sunday") & (F.col("high_length") == rules.high_run), F.col("not_high"))).over(so_far)
+    facts = facts.withColumn("high_begun", begun)
+    low_length = F.col("weeks") - F.col("not_low")
+    declined = F.col("sunday") & (low_length == rules.low_run) & (F.col("not_low") > F.col("high_begun"))
+    core = (F.col("high_length") >= rules.high_run) & (F.col("held") >= rules.core_products) & F.col("debit")
+    return facts.filter(own_day).select(
+        "client", "day", midnight.alias("moment"), "month", "registered", "last_action", "last_visit", "activated_t",
+        month_number(F.col("activated_t")).alias("activated_month"),
+        (F.col("visits") > 0).alias("visit_day"),
+        ((month_number(midnight) != F.col("month")) & (F.coalesce("visit_month", F.lit(-1)) < F.col("month"))).alias("month_empty"),
+        "premium", "premium_closed",
+        F.coalesce(declined, F.lit(False)).alias("declined"),
+        (F.col("sunday") & ~F.col("low")).alias("calm"),
+        (F.col("first_week") + F.col("not_high")).alias("high_start"),
+        core.alias("core"),
     )
 
 

@@ -196,20 +196,20 @@ def _accumulate(cut, columns, keys, order, framed, measures, raw):
     )
     before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *[F.col(k).alias(f"_carry_{k}") for k in keys],
-        F.col(_SLICE).alias("_carry_slice"),
-        *[_AGGREGATE[m.how](raw[m.name]).over(before).alias(f"_carry_{m.name}") for m in measures],
+        *[F.col(k).alias(f"_ckey_{k}") for k in keys],
+        F.col(_SLICE).alias("_cslice_"),
+        *[_AGGREGATE[m.how](raw[m.name]).over(before).alias(f"_cval_{m.name}") for m in measures],
     )
-    condition = cut[_SLICE] == carry["_carry_slice"]
+    condition = cut[_SLICE] == carry["_cslice_"]
     for key in keys:
-        condition = condition & cut[key].eqNullSafe(carry[f"_carry_{key}"])
+        condition = condition & cut[key].eqNullSafe(carry[f"_ckey_{key}"])
     # One carry row per slice of a heavy key: MAX_HEAVY * SLICES narrow rows at most.
     joined = cut.join(carry, on=condition, how="left")
     window = framed(Window.partitionBy(*keys, _SLICE).orderBy(*order))
     found = []
     for m in measures:
         local = _AGGREGATE[m.how](raw[m.name]).over(window)
-        carried = F.col(f"_carry_{m.name}")
+        carried = F.col(f"_cval_{m.name}")
         if m.how == "sum":
             value = F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
         elif m.how == "max":

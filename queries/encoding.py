@@ -186,6 +186,14 @@ def v9(spark, sf):
     )
 
 
+@query(
+    "F13_values_from_tokens",
+    with_tape("select id, key_id, row_number() over (partition by id order by key_id)::int as start, 1 as length from coded", *VOCAB, CODED),
+)
+def f13(spark, sf):
+    return ex.values_of(events_encoded(spark, sf)).select("id", "key_id", "start", "length")
+
+
 TYPE_KEY = "(select id from vkeys where key = 'event_type')"
 
 

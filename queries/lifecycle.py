@@ -203,14 +203,14 @@ MOMENTS = [FIRST_DAY + d for d in (90, 120, 150, 180, 210, 240, 270, 300)]
 @query(
     "A34_silence_after",
     with_tape(
-        f"""select avg(s) as share from (select m, count(*) filter (where b > 0 and a = 0) / count(*) filter (where b > 0) as s from
+        f"""select round(avg(s), 9) as share from (select m, count(*) filter (where b > 0 and a = 0) / count(*) filter (where b > 0) as s from
  (select m, client, coalesce(sum(action) filter (where day >= m - 90 and day < m), 0) as b, coalesce(sum(action) filter (where day >= m and day < m + 30), 0) as a
  from cube, (values {", ".join(f"({m})" for m in MOMENTS)}) t(m) group by 1, 2) group by m)""",
         CUBE,
     ),
 )
 def a34(spark, sf):
-    return vol.silence_after(cube(spark, sf), MOMENTS, 90, 30)
+    return vol.silence_after(cube(spark, sf), MOMENTS, 90, 30).select(F.round("share", 9).alias("share"))
 
 
 WEEKLY = f"weekly as (select client, (day - {FIRST_DAY}) // 7 as week, sum(action) as n from cube group by 1, 2 having week < 51)"
