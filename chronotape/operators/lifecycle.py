@@ -8,6 +8,7 @@ however many events it has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -261,44 +262,46 @@ def _month_of(t: int) -> int:
     return date.year * 12 + date.month - 1
 
 
-def _walk_client(days: pd.DataFrame, rules: Rules) -> list[tuple]:
-    days = days.sort_values("day")
-    # A missing activation or run counts as never: the walk compares plain numbers.
-    never = 2**62
-    days = days.assign(
-        activated_t=days["activated_t"].fillna(never).astype("int64"),
-        activated_month=days["activated_month"].fillna(0).astype("int64"),
-        high_start=days["high_start"].fillna(-1).astype("int64"),
-    )
-    days["active"] = days["activated_t"] < days["moment"]
-    client = days["client"].iloc[0]
-    walk = _Walk(rules)
-    rows = []
-    for day in days.itertuples(index=False):
-        if day.active and walk.anchor is None:
-            walk.anchor = day.activated_month
-        if day.visit_day:
-            walk.months.add(day.month)
-        stage, reason = walk.step(day)
-        walk.grew |= stage == "growing"
-        if stage == "at_risk" and walk.stage != "at_risk":
-            walk.risk_since = day.moment
-        if stage != walk.stage:
-            rows.append((client, int(day.moment), stage, walk.stage, reason))
-            walk.stage, walk.reason = stage, reason
-    return rows
+NEVER = 2**62
+
+
+def _walked(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.DataFrame]:
+    """Walk the days of one client after another; a client may continue in the next batch."""
+    client, walk = None, None
+    for days in batches:
+        rows = []
+        for day in days.itertuples(index=False):
+            if day.client != client:
+                client, walk = day.client, _Walk(rules)
+            if day.active and walk.anchor is None:
+                walk.anchor = day.activated_month
+            if day.visit_day:
+                walk.months.add(day.month)
+            stage, reason = walk.step(day)
+            walk.grew |= stage == "growing"
+            if stage == "at_risk" and walk.stage != "at_risk":
+                walk.risk_since = day.moment
+            if stage != walk.stage:
+                rows.append((client, day.moment, stage, walk.stage, reason))
+                walk.stage, walk.reason = stage, reason
+        yield pd.DataFrame(rows, columns=["client", "started_at", "stage", "previous_stage", "reason"])
 
 
 def transitions(
     tape: DataFrame, registered: DataFrame, families: DataFrame, until: int, rules: Rules = Rules()
 ) -> DataFrame:
     """Stage transitions of every registered client: one row each, the first at registration."""
-    facts = daily_facts(tape, registered, families, until, rules)
-
-    def walk(days: pd.DataFrame) -> pd.DataFrame:
-        columns = ["client", "started_at", "stage", "previous_stage", "reason"]
-        return pd.DataFrame(_walk_client(days, rules), columns=columns)
-
+    facts = daily_facts(tape, registered, families, until, rules).withColumn(
+        "active", F.coalesce(F.col("activated_t") < F.col("moment"), F.lit(False))
+    )
+    # Plain numbers for the walk: a missing activation is never. The facts are partitioned by client
+    # and in order already; the sort says so and costs nothing.
+    ready = facts.withColumns(
+        {
+            "activated_t": F.coalesce("activated_t", F.lit(NEVER)),
+            "activated_month": F.coalesce("activated_month", F.lit(0)),
+        }
+    ).sortWithinPartitions("client", "day")
     begun = registered.filter(F.col("registered") < until).select(
         "client",
         F.col("registered").alias("started_at"),
@@ -306,7 +309,7 @@ def transitions(
         F.lit(None).cast("string").alias("previous_stage"),
         F.lit("registered").alias("reason"),
     )
-    return begun.unionByName(facts.groupBy("client").applyInPandas(walk, TRANSITIONS))
+    return begun.unionByName(ready.mapInPandas(lambda batches: _walked(batches, rules), TRANSITIONS))
 
 
 def outcomes(spells: DataFrame, risk: str, lost: str) -> DataFrame:
