@@ -42,11 +42,12 @@ def q1(spark, sf):
 )
 def q2(spark, sf):
     events, customers = read(spark, sf, "events"), read(spark, sf, "customer")
-    manifest = events.agg((F.count(F.lit(1)) - 1).alias("events_rows")).join(
-        customers.agg((F.max("c_custkey") + 7).alias("customer_rows")), F.lit(True)
-    )
     orders = read(spark, sf, "orders")
-    manifest = manifest.join(orders.agg(F.count(F.lit(1)).alias("orders_rows")), F.lit(True))
+    manifest = events.agg((F.count(F.lit(1)) - 1).alias("events_rows")).select(
+        "events_rows",
+        customers.agg((F.max("c_custkey") + 7).alias("n")).scalar().alias("customer_rows"),
+        orders.agg(F.count(F.lit(1)).alias("n")).scalar().alias("orders_rows"),
+    )
     return cx.row_count_mismatch({"events": events, "customer": customers, "orders": orders}, manifest)
 
 
@@ -440,9 +441,8 @@ def q27(spark, sf):
         "client", "id", "started_at", "stage", "next_stage"
     )
     n = cut.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return cx.not_reproduced(known, cut).agg(F.count(F.lit(1)).alias("differing"), F.max(n).alias("compared")).select(
-        "differing", n.alias("compared")
-    )
+    differing = cx.not_reproduced(known, cut).agg(F.count(F.lit(1)).alias("differing"))
+    return differing.select("differing", n.alias("compared"))
 
 
 @query(

@@ -137,8 +137,21 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# The plans of derived tapes by session and folder: building one means analysing a hundred expressions.
+_TAPES: dict[tuple[str, str], DataFrame] = {}
+
+
 def tape(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """The derived tape: id, client, t (microseconds), type and its fields; of a stream when one is given."""
+    if events is not None:
+        return _tape(spark, sf, events)
+    known = (spark.sparkContext.applicationId, sf)
+    if known not in _TAPES:
+        _TAPES[known] = _tape(spark, sf, None)
+    return _TAPES[known]
+
+
+def _tape(spark: SparkSession, sf: str, events: DataFrame | None) -> DataFrame:
     moment = F.unix_micros(F.col("ts").cast("timestamp"))
     if events is None:
         # The test table is one file with one row group, so one task: spread its rows over the cores.
