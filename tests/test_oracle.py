@@ -51,4 +51,3 @@ def test_split_query_equals_sql(splitting, db, name):
 
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(ALL)
-    assert not [n for n in ALL if n.startswith("op")]
