@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotape.llm import exact_dedup, mixing, quality_rules, sharding
+import public_tokenizers
+
+from chronotape.llm import (
+    byte_bpe,
+    exact_dedup,
+    jaccard_join,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    token_counts,
+    token_packing,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +40,55 @@ def read(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: The rank file and splitting pattern of the token queries.
+RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+#: Ids of a packed row, and the free id that ends a document.
+ROW_IDS, END_ID = 2048, 50256
+
+
+SUBSTRINGS = """with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+win as (select doc_id, p, md5(array_to_string(words[p:p + 34], ' ')) as h
+ from (select doc_id, words, unnest(range(1, len(words) - 33)) as p from w where len(words) >= 35)),
+rep as (select h from win group by h having count(*) > 1),
+gone as (select distinct doc_id, p + i as p from (select doc_id, p, unnest(range(0, 35)) as i from win semi join rep using (h))),
+kept as (select doc_id, len(words)::bigint as n_words, count(g.p)::bigint as n_removed,
+  sha256(coalesce(string_agg(case when g.p is null then word end, ' ' order by p), '')) as kept_sha256
+ from (select doc_id, words, unnest(words) as word, unnest(range(1, len(words) + 1)) as p from w) left join gone g using (doc_id, p)
+ group by doc_id, words)
+select * from kept union all select doc_id, 0::bigint, 0::bigint, sha256('') from w where len(words) = 0"""
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf).select("doc_id", "text")
+    model = quality_classifier.fit(docs, quality_classifier.training_marks(read(spark, sf, "labels")))
+    return quality_classifier.scored(docs, model).select(
+        "doc_id",
+        quality_classifier.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality_classifier.ACCEPT).cast("int").alias("predicted"),
+    )
+
+
+@query("op3_token_packing")
+def op3_token_packing(spark: SparkSession, sf: str) -> DataFrame:
+    encoder = token_packing.rank_encoder(byte_bpe.Ranks(RANK_FILE).ranks, PATTERN)
+    return token_packing.pack(token_packing.coded(read(spark, sf), encoder), ROW_IDS, END_ID)
+
+
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = byte_bpe.Ranks(RANK_FILE)
+    return byte_bpe.digests(byte_bpe.encode(read(spark, sf).select("doc_id", "text"), ranks, PATTERN), ranks)
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = byte_bpe.encode(read(spark, sf).select("doc_id", "text"), byte_bpe.Ranks(RANK_FILE), PATTERN)
+    return token_counts.histogram(encoded.select(F.size("ids").alias("n_tokens")))
+
+
 @query("op2_sharding")
 def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shards(read(spark, sf), 16).select(
@@ -53,6 +115,16 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(read(spark, sf), weights).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_substring_dedup", SUBSTRINGS)
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.repeats(read(spark, sf)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_copies(read(spark, sf)).select("doc_id", "class_id", "n_links")
+
+
 @query(
     "op8_exact_dedup",
     """with t as (select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') as bare
