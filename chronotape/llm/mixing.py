@@ -62,7 +62,7 @@ def mix(docs: DataFrame, quality: DataFrame, seed: str = "mix", cycle: int = 3)
     complete epochs; the rest of it goes to the documents of the smallest keys, as many as bring the words
     taken nearest to the target. The order is cut by prefix sums, so no source is sorted in one task. A null
     or blank text has size 0; such documents are taken with the epochs and add no words. The draw depends on
-    seed, doc_id and text checksum only: reruns agree, and rows equal in both are interchangeable.
+    seed, doc_id and size only: reruns agree, and of rows equal in these the smaller checksum comes first.
     """
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     key_id, key_text = row_key()
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, quality: DataFrame, seed: str = "mix", cycle: int = 3)
     )
     keyed = sizes.join(weights, "doc_id", "left").select(
         *sizes.columns,
-        (-F.log(uniform(seed, "doc_id", "checksum")) / F.coalesce(F.col("quality_weight"), F.lit(1.0))).alias("draw"),
+        (-F.log(uniform(seed, "doc_id", "size")) / F.coalesce(F.col("quality_weight"), F.lit(1.0))).alias("draw"),
     )
     rows, totals = prefix_sums(keyed, ["draw", "doc_id", "checksum"], {"size_before": "size"}, ("source",))
     targets = source_targets(totals.withColumnRenamed("size_before", "size"), cycle)

@@ -107,8 +107,14 @@ lev as (select *, 3.0 * s / wt as full_at, sum(s) over () as total,
   sum(3 * s) over (order by 3.0 * s / wt, source nulls last rows between unbounded preceding and current row) - 3 * s as before,
   sum(wt) over (order by 3.0 * s / wt, source nulls last rows between current row and unbounded following) as left_wt from src),
 com as (select min_by((total - before) / left_wt, full_at) as common from lev where (total - before) / left_wt <= full_at),
-tgt as (select source, s::bigint as source_size, least(3.0 * s, coalesce(common * wt, 3.0 * s))::double as target from lev, com)
-select doc_id, size, source_size, target from sizes join tgt on sizes.source is not distinct from tgt.source""",
+tgt as (select source, s::bigint as source_size, least(3.0 * s, coalesce(common * wt, 3.0 * s))::double as target from lev, com),
+drawn as (select doc_id, size, t.source_size, t.target, z.source,
+  -ln((('0x' || substr(md5(concat_ws('|', 'mix', doc_id, size)), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double) / w as draw
+ from sizes z join tgt t on z.source is not distinct from t.source),
+placed as (select *, coalesce(sum(size) over (partition by source order by draw, doc_id rows between unbounded preceding and 1 preceding), 0) as before,
+  case when source_size > 0 then floor(target / source_size) else 0 end as epochs from drawn)
+select doc_id, size, source_size, target, ((epochs + (epochs < 3 and size > 0 and before + size / 2.0::double <= target - epochs * source_size)::int) * size)::bigint as taken
+from placed""",
 )
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     weights = mixing.label_weights(read(spark, sf, "labels"))

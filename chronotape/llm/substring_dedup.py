@@ -265,7 +265,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         source = source.dropDuplicates(["key_id", "key_text"])
     held = texts.select("digest", "copies", "at.key_id", "at.key_text", reference().alias("ref")).join(marked, "ref").drop("ref")
     now = held.join(source, ["key_id", "key_text"]).withColumn("runs", F.lit(None).cast("array<bigint>"))
-    for length, longer in zip(lengths[:-1], [*lengths[1:-1], None], strict=True):
+    short = lengths[:-1] or lengths
+    for length, longer in zip(short, [*short[1:], None], strict=True):
         now = written(extended(now, window, length, longer), "candidates")
         if now.isEmpty():
             break
