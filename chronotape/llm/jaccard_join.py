@@ -21,11 +21,12 @@ WORDS = 5
 THRESHOLD = 0.8
 #: A pair is dropped when, after the MinHash values compared so far, it reaches the threshold with less than this probability.
 TOLERANCE = 1e-6
-#: Three values a band: at similarity 0.8 a pair misses all 24 bands once in 3e7.
-BANDS, ROWS = 24, 3
+#: Four values a band: at similarity 0.8 a pair misses all 32 bands once in 2e7, at 0.1 it shares one once in 300.
+BANDS, ROWS = 32, 4
 VALUES = BANDS * ROWS
+FIRST_BANDS = 6
 #: Values compared before each decision.
-STEP = 12
+STEP = 16
 #: Documents, and shingles, that a block of a group holds about; two blocks meet in one task.
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 256, 1 << 20
 #: Columns of the incidence matrix that are multiplied at a time.
@@ -37,7 +38,7 @@ _MULTIPLY = (_rng.randint(0, 1 << 32, VALUES, np.uint64).astype(np.uint32) | np.
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """VALUES minima of a set of shingles, each under its own hash."""
+    """VALUES minima of a set of shingles, each under its own hash; 16 bits of each, which agree by chance once in 65536."""
     low = np.full(VALUES, np.uint32(0xFFFFFFFF))
     for at in range(0, len(shingles), 1 << 14):
         v = (shingles[at : at + (1 << 14)] >> np.uint64(32)).astype(np.uint32)[None, :] ^ _XOR
@@ -46,7 +47,7 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
         v *= np.uint32(0x85EBCA6B)
         v ^= v >> np.uint32(13)
         low = np.minimum(low, v.min(axis=1))
-    return low
+    return low.astype(np.uint16)
 
 
 def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
@@ -78,7 +79,7 @@ def plausible(signs: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.
 
 
 class Forest:
-    """Union of small groups inside one task."""
+    """What one task has connected."""
 
     def __init__(self, n: int):
         self.parent = list(range(n))
@@ -89,11 +90,12 @@ class Forest:
             i = self.parent[i]
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def grow(self, n: int) -> None:
+        self.parent.extend(range(len(self.parent), n))
+
+    def join(self, i: int, j: int) -> None:
         a, b = self.root(i), self.root(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-        return a != b
+        self.parent[max(a, b)] = min(a, b)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -167,42 +169,80 @@ def pairs_of(block: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.nda
     return np.repeat(left, len(right)), np.tile(right, len(left))
 
 
-def candidate_links(nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Links (a, b) that connect all nodes which share a band and pass the Bayesian pruning; a forest per task."""
+def candidate_links(nodes: DataFrame, first: int, end: int, threshold: float, tolerance: float) -> DataFrame:
+    """Links (a, b) between the labels of nodes (node, label, size, signs) that share one of the bands
+    first <= band < end, pass the Bayesian pruning and have different labels.
+
+    Buckets of one label are left out before anything is sent. A task joins what it sees and returns one link
+    per label, to the smallest label it is connected with."""
     bands = nodes.select(
         "node",
+        "label",
         F.explode(
             F.transform(
-                F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                lambda b: F.xxhash64(b, F.substring("signs", b * (4 * ROWS) + 1, F.lit(4 * ROWS))),
+                F.sequence(F.lit(first), F.lit(end - 1)),
+                lambda b: F.xxhash64(b, F.substring("signs", b * (2 * ROWS) + 1, F.lit(2 * ROWS))),
             )
         ).alias("band"),
     )
-    full = written(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "bands")
+    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
+    full = written(full.where("least <> most").select("band", "members"), "bands")
     cut = full.select("band", F.ceil(F.col("members") / BLOCK_DOCUMENTS).alias("blocks"))
     steps = least_matches(threshold, tolerance)
 
     def run(batches):
+        seen: dict[bytes, int] = {}
+        forest = Forest(0)
         for table in grouped(batches, ["band", "low", "high"]):
             n = table.num_rows
             if n < 2:
                 continue
-            ids = table.column("node").to_pylist()
-            signs = np.frombuffer(b"".join(table.column("signs").to_pylist()), np.uint32).reshape(n, VALUES)
+            ids = table.column("label").to_pylist()
+            signs = np.frombuffer(b"".join(table.column("signs").to_pylist()), np.uint16).reshape(n, VALUES)
             sizes = table.column("size").to_numpy()
             block = table.column("block").to_numpy()
-            low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-            left, right = pairs_of(block, low, high)
+            left, right = pairs_of(block, table.column("low")[0].as_py(), table.column("high")[0].as_py())
+            codes = np.unique(np.array(ids, object), return_inverse=True)[1]
+            apart = codes[left] != codes[right]
+            left, right = left[apart], right[apart]
             alive = plausible(signs, sizes, left, right, threshold, steps)
-            forest = Forest(n)
-            tree = [(ids[i], ids[j]) for i, j in zip(left[alive].tolist(), right[alive].tolist(), strict=True) if forest.join(i, j)]
-            if tree:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in tree], pa.binary()), pa.array([x for _, x in tree], pa.binary())], names=["a", "b"])
+            for i in np.union1d(left[alive], right[alive]):
+                seen.setdefault(ids[i], len(seen))
+            forest.grow(len(seen))
+            for i, j in zip(left[alive].tolist(), right[alive].tolist(), strict=True):
+                forest.join(seen[ids[i]], seen[ids[j]])
+        nodes = list(seen)
+        least: dict[int, bytes] = {}
+        for i, node in enumerate(nodes):
+            r = forest.root(i)
+            least[r] = min(least.get(r, node), node)
+        for begin in range(0, len(nodes), 10_000):
+            part = range(begin, min(len(nodes), begin + 10_000))
+            links = [(nodes[i], least[forest.root(i)]) for i in part if nodes[i] != least[forest.root(i)]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([x for _, x in links], pa.binary())], names=["a", "b"])
 
     sent = dealt(bands.join(cut, "band"), "band", nodes.select("node", "signs", "size"))
     return sent.mapInArrow(run, "a binary, b binary")
 
 
+def candidate_components(nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(node, label) of the nodes that are connected with others by candidate links.
+
+    The first bands connect most of what there is; the others only look at buckets of several components."""
+    once = nodes.withColumn("label", F.col("node"))
+    found = components(candidate_links(once, 0, FIRST_BANDS, threshold, tolerance))
+    tagged = nodes.join(found, "node", "left").withColumn("linked", F.col("label").isNotNull())
+    tagged = written(tagged.withColumn("label", F.coalesce("label", "node")).select("node", "label", "linked", "size", "signs"), "tagged")
+    more = components(candidate_links(tagged, FIRST_BANDS, BANDS, threshold, tolerance))
+    named = more.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return (
+        tagged.select("node", "label", "linked")
+        .join(named, "label", "left")
+        .where(F.col("linked") | F.col("top").isNotNull())
+        .select("node", F.coalesce("top", "label").alias("label"))
+    )
+
+
 def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, threshold: float, tolerance: float) -> DataFrame:
     """Per node and task: how many documents it is linked to by exact similarity, and a node of its tree (null at its root)."""
     sizes = candidates.join(nodes, "node").select("node", "label", "size", "members", "key_id", "key_text")
@@ -212,8 +252,8 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, wor
     needed = written(sizes.join(cut, "label").drop("size"), "needed")
     key_id, key_text = row_key()
     texts = docs.select(key_id.alias("key_id"), key_text.alias("key_text"), "text")
-    # Of rows with equal id and text, one stands for the node.
-    with_text = needed.join(texts, ["key_id", "key_text"]).drop("key_id", "key_text")
+    # Both sides grow with the corpus, so they are merged at every size. Of rows with equal id and text, one stands for the node.
+    with_text = needed.join(texts.hint("merge"), ["key_id", "key_text"]).drop("key_id", "key_text")
     steps = least_matches(threshold, tolerance)
 
     def run(batches):
@@ -310,7 +350,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
         .select("*", "best.key_id", "best.key_text"),
         "nodes",
     )
-    candidates = components(candidate_links(nodes, threshold, tolerance))
+    candidates = candidate_components(nodes, threshold, tolerance)
     found = written(verified_links(docs, nodes, candidates, words, threshold, tolerance), "verified")
     labels = components(found.where("node <> tree").select(F.col("node").alias("a"), F.col("tree").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

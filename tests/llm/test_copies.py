@@ -139,7 +139,7 @@ def test_one_of_each_class_stays(table, odd_rows, clashing):
 
 def test_pruning_keeps_what_can_reach_the_threshold():
     steps = jaccard_join.least_matches(0.8, 1e-6)
-    assert [n for n, _ in steps] == list(range(12, 73, 12))
+    assert [n for n, _ in steps] == list(range(16, 129, 16))
     for n, least in steps:
         assert 0 <= least < 0.8 * n
     rng = random.Random(1)
