@@ -1,4 +1,9 @@
-"""Byte-level BPE: ranked merges of distinct words by higher-order functions, and decoding."""
+"""Byte-level BPE: ranked merges of distinct words, and decoding.
+
+Words that are common in the corpus are folded once each, by higher-order functions over a literal rank map.
+The fold is interpreted and takes about 0.1 ms a word, so the many rare words are merged where they occur, by
+a small helper that remembers the words of its task.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +11,11 @@ import base64
 import heapq
 import json
 import zlib
+from array import array
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,38 +24,63 @@ from chronotape.llm.rows import fresh
 from chronotape.plans.shared import written
 
 #: A word that makes up this share of all words, or more, is folded once and looked up: 1 / share words at most.
-COMMON_SHARE = 1 / (1 << 20)
-#: Common words have at most so many bytes, so their table has a fixed bound.
+COMMON_SHARE = 1 / (1 << 21)
+#: Common words have at most so many bytes, so their table has a fixed bound, and a fold few steps.
 COMMON_BYTES = 64
-#: A run of this many characters of one kind (white space or not) may hold a word that is merged with a heap.
-LONG_RUN = 129
-_NONE = 2**31 - 1
+#: Rare words that a task remembers.
+REMEMBERED = 100_000
+#: Rows that a task holds as Python objects at a time.
+PART_ROWS = 256
+#: Entries of a literal table that share a bucket, about.
+PER_BUCKET = 4
+
+
+def letter(rank: int) -> str:
+    """An id as one character: letters are ordered as their ids, and surrogates are left out."""
+    at = 0x100 + rank
+    return chr(at if at < 0xD800 else at + 0x800)
+
+
+def rank_of(character: str) -> int:
+    at = ord(character)
+    return at - 0x100 if at < 0xD800 else at - 0x900
 
 
 class Ranks:
-    """A rank file as literals: buckets of (piece, rank) by checksum, and the pieces by rank.
+    """A rank file as literals. Inside expressions a byte array is a string with one letter per id.
 
-    Pieces are bytes; in expressions each byte is one character, U+0000 to U+00FF. The file is read where the
-    plan is made; tasks get it as part of their expressions.
+    `pairs` maps two letters to the letter of the bytes they join to, which is also their rank: letters sort
+    by id. `whole` has the words that are one piece, `pieces` the bytes of every id. The file is read where
+    the plan is made; tasks get its tables with their code.
     """
 
     def __init__(self, path: str):
         lines = [line.split() for line in Path(path).read_bytes().splitlines() if line.strip()]
         self.ranks = {base64.b64decode(piece): int(rank) for piece, rank in lines}
-        pieces = [""] * (max(self.ranks.values()) + 1)
+        self.pieces = [b""] * (max(self.ranks.values()) + 1)
+        pairs, self.whole = {}, {}
         for piece, rank in self.ranks.items():
-            pieces[rank] = piece.decode("latin-1")
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-        self.table = bucketed({p.decode("latin-1"): r for p, r in self.ranks.items()}, "int")
-
-
-def bucketed(entries: dict, kind: str) -> tuple[Column, int]:
+            self.pieces[rank] = piece
+            for cut in range(1, len(piece)):
+                left, right = self.ranks.get(piece[:cut]), self.ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[letter(left) + letter(right)] = letter(rank)
+            try:
+                self.whole[piece.decode()] = letter(rank)
+            except UnicodeDecodeError:
+                continue
+        self.pairs = bucketed(pairs)
+        self.latin = "".join(chr(b) for b in range(256))
+        self.letters = "".join(letter(self.ranks[bytes([b])]) for b in range(256))
+
+
+def bucketed(entries: dict[str, str]) -> tuple[Column, int]:
     """A literal map that is looked up in constant time: an array of small maps, by the checksum of the key."""
-    size = 1 << max(1, len(entries).bit_length())
+    size = 1 << max(1, (len(entries) // PER_BUCKET).bit_length())
     buckets: list[dict] = [{} for _ in range(size)]
     for key, value in entries.items():
         buckets[zlib.crc32(key.encode()) % size][key] = value
-    return F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>"), size
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>"), size
 
 
 def found(table: Column, size: int, key: Column) -> Column:
@@ -59,48 +92,24 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def folded(word: Column, table: Column, size: int) -> Column:
-    """Ids of one word: a fold that merges the leftmost pair of the least rank until no pair has one."""
-
-    def rank(piece: Column) -> Column:
-        return F.coalesce(found(table, size, piece), F.lit(_NONE))
-
-    def merge(state: Column, at: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-        n = F.size(parts)
-
-        def after(piece: Column) -> Column:
-            none = F.slice(ranks, F.lit(1), F.lit(0))
-            left = F.when(at > 1, F.array(rank(F.concat(F.element_at(parts, at - 1), piece)))).otherwise(none)
-            right = F.when(at + 1 < n, F.array(rank(F.concat(piece, F.element_at(parts, at + 2))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(piece), F.slice(parts, at + 2, n)).alias("parts"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, n)).alias("ranks"),
-            )
-
-        return bound(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1)), after)
+def folded(word: Column, pairs: Column, ranks: Ranks) -> Column:
+    """The letters of one word: a fold over its bytes that merges the leftmost pair of the least rank, until none has one."""
+    size = ranks.pairs[1]
 
     def step(state: Column, _: Column) -> Column:
-        least = F.array_min(state["ranks"])
-        return F.when(least < _NONE, bound(F.array_position(state["ranks"], least).cast("int"), lambda at: merge(state, at))).otherwise(state)
+        merged = F.transform(F.sequence(F.lit(1), F.length(state) - 1), lambda i: found(pairs, size, F.substring(state, i, F.lit(2))))
 
-    def fold(piece: Column) -> Column:
-        parts = F.split(piece, "")
-        pairs = F.sequence(F.lit(1), F.length(piece) - 1)
-        start = bound(
-            parts,
-            lambda p: F.struct(
-                p.alias("parts"),
-                F.transform(pairs, lambda i: rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1)))).alias("ranks"),
-            ),
-        )
-        return F.aggregate(pairs, start, step, lambda state: F.transform(state["parts"], lambda p: found(table, size, p)))
+        def merge(all_of: Column) -> Column:
+            least = F.array_min(all_of)
+            at = F.array_position(all_of, least).cast("int")
+            return F.when(least.isNotNull(), F.overlay(state, least, at, F.lit(2))).otherwise(state)
 
-    def encode(piece: Column) -> Column:
-        whole = found(table, size, piece)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(piece))
+        return bound(merged, merge)
 
-    return bound(F.decode(word.cast("binary"), "ISO-8859-1"), encode)
+    def fold(start: Column) -> Column:
+        return F.when(F.length(start) > 1, F.aggregate(F.sequence(F.lit(2), F.length(start)), start, step)).otherwise(start)
+
+    return bound(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), ranks.latin, ranks.letters), fold)
 
 
 def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -133,24 +142,36 @@ def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
+class Memory(dict):
+    """Words with their ids as bytes; a word that is not there is merged, and remembered while there is room."""
+
+    def __init__(self, common: dict[str, bytes], ranks: dict[bytes, int]):
+        super().__init__(common)
+        self.ranks, self.common, self.room = ranks, common, len(common) + REMEMBERED
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.room:
+            self.clear()
+            self.update(self.common)
+        self[word] = ids = array("i", heap_merged(word.encode(), self.ranks)).tobytes()
+        return ids
+
+
 def words_of(text: Column, pattern: str) -> Column:
     """The matches of the splitting pattern, with Unicode white space as the pattern's own engine has it."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def long_runs(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(rf"(?U)\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
-
-
-def common_words(docs: DataFrame, ranks: Ranks, pattern: str) -> dict[str, list[int]]:
+def common_words(docs: DataFrame, ranks: Ranks, pattern: str) -> dict[str, bytes]:
     """Ids of the words that make up COMMON_SHARE of all words or more, counted over all documents."""
     counts = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts, "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     common = counts.where((F.col("n") >= total * COMMON_SHARE) & (F.octet_length("word") <= COMMON_BYTES))
-    table, size = ranks.table
-    coded = common.select("word", bound(table, lambda t: folded(F.col("word"), t, size)).alias("ids"))
-    return {row["word"]: row["ids"] for row in coded.collect()}
+    coded = common.select("word", bound(ranks.pairs[0], lambda t: folded(F.col("word"), t, ranks)).alias("letters"))
+    found = {row["word"]: row["letters"] for row in coded.collect()}
+    # As the library does, a word that is a piece is that piece.
+    return {w: array("i", map(rank_of, ranks.whole.get(w, letters))).tobytes() for w, letters in found.items()}
 
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, column: str | None = None) -> DataFrame:
@@ -158,53 +179,60 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, column: str | None = Non
 
     Every match of `pattern` is encoded by itself, without special tokens; a null text is empty and has no
     ids. Each row is encoded by its text alone, so rows of equal text get equal ids, an empty table gives an
-    empty result and all other columns stay as they are.
-
-    Common words are folded once each; the table of them is bounded by COMMON_SHARE and COMMON_BYTES. All
-    other words are folded where they occur, so nothing is shuffled but word counts. Texts with runs of
-    LONG_RUN characters, where a fold would be quadratic, are merged with a heap.
+    empty result and all other columns stay as they are. Common words are folded once each; the table of
+    them is bounded by COMMON_SHARE and COMMON_BYTES. Nothing is shuffled but word counts.
     """
     ids = column or fresh(docs, "ids")[0]
-    table, size = ranks.table
-    common, common_size = bucketed(common_words(docs, ranks, pattern), "array<int>")
-    text = F.col("text")
-    short = docs.where(~long_runs(text)).withColumn(
-        ids,
-        bound(
-            table,
-            lambda t: bound(
-                common,
-                lambda c: F.flatten(
-                    F.transform(words_of(text, pattern), lambda w: F.coalesce(found(c, common_size, w), folded(w, t, size)))
-                ),
-            ),
-        ),
-    )
-    names, known = docs.columns, ranks.ranks
+    common, known, names = common_words(docs, ranks, pattern), ranks.ranks, docs.columns
+    at = names.index("text")
 
     def run(batches):
-        for batch in batches:
-            words = batch.column(batch.num_columns - 1).to_pylist()
-            coded = [[i for w in row for i in heap_merged(w.encode(), known)] for row in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(coded, pa.list_(pa.int32()))], names=[*names, ids])
+        import regex
+
+        split, memory = regex.compile(pattern).findall, Memory(common, known)
+        get = memory.__getitem__
+        for batch in few_rows(batches):
+            coded = [b"".join(map(get, split(text))) if text else b"" for text in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists_of(coded)], names=[*names, ids])
 
-    split = docs.where(long_runs(text)).withColumn(ids, words_of(text, pattern))
-    schema = docs.select("*", F.array(F.lit(0)).alias(ids)).schema
-    return short.unionByName(split.mapInArrow(run, schema))
+    return docs.mapInArrow(run, docs.select("*", F.array(F.lit(0)).alias(ids)).schema)
 
 
-def decoded(ids: Column, ranks: Ranks) -> Column:
-    """The bytes that the ids stand for."""
-    pieces = F.array_join(bound(ranks.pieces, lambda p: F.transform(ids, lambda i: F.element_at(p, i + 1))), "")
-    return F.encode(pieces, "ISO-8859-1")
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, which bound what a task holds as Python objects."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(begin, PART_ROWS)
+
+
+def lists_of(coded: list[bytes]) -> pa.Array:
+    """Lists of 32-bit ids from their bytes."""
+    offsets = np.zeros(len(coded) + 1, np.int64)
+    np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+
+def decode(encoded: DataFrame, ranks: Ranks, ids: str = "ids", column: str = "decoded") -> DataFrame:
+    """The rows with the bytes that their ids stand for: the pieces, concatenated; null ids have no bytes."""
+    pieces, names = ranks.pieces, encoded.columns
+    at = names.index(ids)
+
+    def run(batches):
+        get = pieces.__getitem__
+        for batch in few_rows(batches):
+            data = [b"".join(map(get, x.as_py())) if x.is_valid else None for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*names, column])
+
+    return encoded.mapInArrow(run, encoded.select("*", F.lit(b"").alias(column)).schema)
 
 
 def digests(encoded: DataFrame, ranks: Ranks, column: str = "ids") -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids in decimal and of the decoded bytes."""
     ids = F.col(column)
-    return encoded.select(
+    summed = encoded.select(
         "doc_id",
         F.size(ids).cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(decoded(ids, ranks), 256).alias("decoded_sha256"),
+        ids.alias("ids"),
     )
+    return decode(summed, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -85,7 +85,8 @@ def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = byte_bpe.encode(read(spark, sf).select("doc_id", "text"), byte_bpe.Ranks(RANK_FILE), PATTERN)
+    docs = read(spark, sf).select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, byte_bpe.Ranks(RANK_FILE), PATTERN)
     return token_counts.histogram(encoded.select(F.size("ids").alias("n_tokens")))
 
 

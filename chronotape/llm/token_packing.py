@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotape.llm.byte_bpe import few_rows
 from chronotape.llm.rows import prefix_sums
 from chronotape.plans.shared import written
 
@@ -139,7 +140,7 @@ def pack(encoded: DataFrame, capacity: int, end: int) -> DataFrame:
 
 def laid_out(gathered: DataFrame, capacity: int, end: int, kind: str) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             out: dict[str, list] = {n: [] for n in ("row", "n_tokens", "ids", "lengths", "positions", "doc_ids", "pieces")}
             for row, parts in zip(batch.column("row").to_pylist(), batch.column("parts").to_pylist(), strict=True):
                 ids = np.full(capacity, end, np.uint16)
@@ -173,7 +174,7 @@ def coded(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]]) -
 
     def run(batches):
         encode = encoder()
-        for batch in batches:
+        for batch in few_rows(batches):
             ids = [np.asarray(encode(t), np.uint16).tobytes() if t else b"" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 

@@ -53,8 +53,22 @@ def test_encoding_equals_the_library(table, odd_rows, ranks, library, clashing):
     assert got == want
 
 
-def test_every_fold_equals_the_library(table, ranks, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "COMMON_BYTES", 0)
+def test_every_fold_equals_the_library(spark, ranks, library):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzéüß日 '-\n"
+    words = {w for _ in range(40) for w in __import__("regex").findall(PATTERN, "".join(rng.choice(letters) for _ in range(300)))}
+    rows = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+    folded = byte_bpe.bound(ranks.pairs[0], lambda t: byte_bpe.folded(F.col("word"), t, ranks))
+    out = rows.select("word", folded.alias("letters")).collect()
+    assert len(out) > 500
+    assert all(list(map(byte_bpe.rank_of, r["letters"])) == library.encode_ordinary(r["word"]) for r in out)
+
+
+def test_common_and_rare_words_agree(table, ranks, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "COMMON_SHARE", 2.0)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyzéüß日 '-\n"
     rows = [(i, "".join(rng.choice(letters) for _ in range(400)), "en", "a") for i in range(20)]
