@@ -28,9 +28,12 @@ COMMON_SHARE = 1 / (1 << 21)
 #: Common words have at most so many bytes, so their table has a fixed bound, and a fold few steps.
 COMMON_BYTES = 64
 #: Rare words that a task remembers.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
 #: Rows that a task holds as Python objects at a time.
 PART_ROWS = 256
+#: Bytes from which a word is merged with a heap.
+LONG_WORD = 200
+_NONE = 1 << 60
 #: Entries of a literal table that share a bucket, about.
 PER_BUCKET = 4
 
@@ -112,8 +115,32 @@ def folded(word: Column, pairs: Column, ranks: Ranks) -> Column:
     return bound(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), ranks.latin, ranks.letters), fold)
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for a rare word: the rank of each pair is kept, and a merge renews its two neighbours."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > LONG_WORD:
+        return heap_merged(word, ranks)
+    rank = ranks.get
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+    while pairs:
+        least = min(pairs)
+        if least == _NONE:
+            break
+        at = pairs.index(least)
+        piece = parts[at] + parts[at + 1]
+        parts[at : at + 2] = [piece]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = rank(parts[at - 1] + piece, _NONE)
+        if at < len(pairs):
+            pairs[at] = rank(piece + parts[at + 1], _NONE)
+    return [ranks[p] for p in parts]
+
+
 def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for a word of any length, in n log n steps."""
+    """The same merges for a long word, in n log n steps."""
     if word in ranks:
         return [ranks[word]]
     parts = [word[i : i + 1] for i in range(len(word))]
@@ -153,7 +180,7 @@ class Memory(dict):
         if len(self) >= self.room:
             self.clear()
             self.update(self.common)
-        self[word] = ids = array("i", heap_merged(word.encode(), self.ranks)).tobytes()
+        self[word] = ids = array("i", merged(word.encode(), self.ranks)).tobytes()
         return ids
 
 
@@ -213,14 +240,16 @@ def lists_of(coded: list[bytes]) -> pa.Array:
 
 
 def decode(encoded: DataFrame, ranks: Ranks, ids: str = "ids", column: str = "decoded") -> DataFrame:
-    """The rows with the bytes that their ids stand for: the pieces, concatenated; null ids have no bytes."""
+    """The rows with the bytes that their ids stand for: the pieces, concatenated; none for null ids."""
     pieces, names = ranks.pieces, encoded.columns
     at = names.index(ids)
 
     def run(batches):
         get = pieces.__getitem__
         for batch in few_rows(batches):
-            data = [b"".join(map(get, x.as_py())) if x.is_valid else None for x in batch.column(at)]
+            lists = batch.column(at)
+            flat, ends = lists.flatten().to_numpy().tolist(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()
+            data = [b"".join(map(get, flat[begin:end])) for begin, end in zip([0, *ends], ends, strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*names, column])
 
     return encoded.mapInArrow(run, encoded.select("*", F.lit(b"").alias(column)).schema)

@@ -82,6 +82,7 @@ def test_heap_equals_the_library(text):
     known = test_heap_equals_the_library.__dict__.setdefault("known", byte_bpe_ranks())
     library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=known, special_tokens={})
     assert byte_bpe.heap_merged(text.encode(), known) == library.encode_ordinary(text)
+    assert byte_bpe.merged(text.encode(), known) == library.encode_ordinary(text)
 
 
 def byte_bpe_ranks():

@@ -169,3 +169,42 @@ def test_mask_rates_and_rules(spark):
 def test_overlapping_values_are_named(spark):
     df = spark.createDataFrame([("a", 1, 1, 2), ("a", 1, 2, 1), ("a", 2, 1, 2), ("a", 2, 3, 1)], "client string, id bigint, start int, length int")
     assert [(r["id"], r["start"]) for r in mx.overlaps(df).collect()] == [(1, 2)]
+
+
+def test_a_client_of_white_space_is_blank(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "\t"), (3, " \n"), (4, None), (5, " ")], "id int, client_id string")
+    assert sorted(r["id"] for r in cx.blank_client(rows).collect()) == [2, 3, 4, 5]
+
+
+def test_a_type_that_is_no_text_is_no_type(spark):
+    rows = spark.createDataFrame([(1, '{"type":5,"amount":1}'), (2, '{"type":"pay","amount":1}')], "id int, payload string")
+    found = {r["id"]: (r["type"], r["amount"]) for r in rx.typed_payload(rows, CATALOGUE).collect()}
+    assert found == {1: (None, None), 2: ("pay", 1)}
+
+
+def encoded_rows(spark, *rows):
+    """(client, t, tokens) as encoded events."""
+    data = [(i, c, t, "x", [3] * n, [3] * n, [0] * n, n) for i, (c, t, n) in enumerate(rows)]
+    return spark.createDataFrame(
+        data, "id bigint, client string, t bigint, type string, key_ids array<int>, value_ids array<int>, positions array<int>, n_tokens int"
+    )
+
+
+def test_every_client_has_a_sample(spark):
+    events = encoded_rows(spark, ("a", 1, 9), ("b", 1, 2), ("b", 2, 3), ("b", 3, 3))
+    clients = spark.createDataFrame([("a",), ("b",), ("silent",)], "client string")
+    out = {r["client"]: r for r in ex.samples(events, 10, 6, F.col("t") < 3, clients=clients).collect()}
+    assert set(out) == {"a", "b", "silent"}
+    assert out["a"]["event_time"] == [] and out["a"]["excluded_events"] == 1 and out["a"]["excluded_targets"] == 1
+    assert out["b"]["event_time"] == [2, 3] and out["b"]["excluded_targets"] == 1 and out["b"]["target_event_mask"] == [True, False]
+    assert out["silent"]["key_ids"] == [] and out["silent"]["excluded_events"] == 0
+    rows = ex.samples(events, 10, 6, F.col("t") < 3, clients=clients)
+    assert ex.sample_problems(rows.filter("client = 'silent'"), 10).count() == 0
+
+
+def test_limits_are_refused_not_cut(spark):
+    events = encoded_rows(spark, ("a", 1, 9))
+    with pytest.raises(Exception, match="an event of client a takes 9 tokens; the limit is 5"):
+        ex.samples(events, 10, 20, F.lit(True), max_event_tokens=5).collect()
+    with pytest.raises(cx.ContractError, match="lost events"):
+        ex.require_whole_targets(ex.samples(events, 10, 5, F.lit(True)))
