@@ -1,15 +1,15 @@
 """Ordered work per key that holds when one key owns a third of all rows.
 
-A window partitioned by client puts a client into one task. Here the rows of
-each key are counted first. Keys under the limit use the plain window. A key
-over it is cut into slices of its order column at approximate quantiles; the
-window then runs per (key, slice), and the small table of per-slice totals,
-accumulated over the earlier slices, is joined back as the carry. The result
-is the same as that of the plain window.
-
-The count is one aggregate over the key column and needs an action; inputs of
-a few megabytes skip it. It brings at most MAX_HEAVY keys to the driver. A key outside the MAX_HEAVY largest has
-at most 1/MAX_HEAVY of all rows.
+A window partitioned by client puts a client into one task. Here every plan counts the rows of each key.
+A key over the target size of a slice is cut into slices of its order column at approximate quantiles, as
+many as its rows ask for; the window then runs per (key, slice), and the totals of the slices, accumulated
+over the earlier ones, are joined back as the carry. The other keys are one slice each. It is one lazy plan
+at every size: nothing runs while it is built, nothing comes to the driver.
+
+Two bounds hold without a cap. Only a key with more than 1 / MOST_SLICES of all rows is cut, so at most
+MOST_SLICES keys have cut points, at most MOST_SLICES each: that table is broadcast. And no key that stays
+whole, nor a slice, has more than about that share of all rows, or the target, whichever is larger. Rows of
+one instant of one key stay in one slice.
 """
 
 from __future__ import annotations
@@ -20,107 +20,72 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT_CONF = "spark.chronotape.splitRows"
-LIMIT_ROWS = 1_000_000
-SMALL_CONF = "spark.chronotape.smallInputBytes"
-SMALL_BYTES = 64 * 1024 * 1024
-MAX_HEAVY = 10_000
-SLICES = 256
+#: Rows of a slice, more or less.
+TARGET_CONF = "spark.chronotape.splitRows"
+TARGET_ROWS = 1_000_000
+MOST_SLICES = 2048
 
 _SLICE = "_slice"
 _CUTS = "_cuts"
+_MANY = "_many"
+_STEPS = [1 << i for i in range(MOST_SLICES.bit_length() - 2, -1, -1)]
 
 
 @dataclass(frozen=True)
 class Split:
-    """How the rows of `keys` are ordered by `at`, and where heavy keys are cut."""
+    """How the rows of `keys` are ordered by `at`; `cuts` has the cut points of the heavy keys."""
 
     keys: tuple[str, ...]
     at: str
-    cuts: DataFrame | None
+    cuts: DataFrame
 
-    @property
-    def heavy(self) -> bool:
-        return self.cuts is not None
 
-
-def split_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(LIMIT_CONF, str(LIMIT_ROWS)))
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether all inputs together are so small that one task could take any key: then nothing is counted.
-
-    A session that sets the row limit itself asks for the count.
-    """
-    conf = df.sparkSession.conf
-    if conf.get(LIMIT_CONF, None) is not None:
-        return False
-    limit = int(conf.get(SMALL_CONF, str(SMALL_BYTES)))
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        total += int(leaves.apply(i).stats().sizeInBytes())
-        if total > limit:
-            return False
-    return True
-
-
-# Splits already planned in this process. A split only says how to spread the work:
-# the rows come out the same under any split, so an old one is never wrong.
-_PLANNED: dict[tuple, Split] = {}
+def target_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(TARGET_CONF, str(TARGET_ROWS)))
 
 
 def plan_split(df: DataFrame, keys: Sequence[str], at: str) -> Split:
-    """Count rows per key and cut the heavy keys by `at` (a number, never null)."""
-    if is_small(df):
-        return Split(tuple(keys), at, None)
+    """Cut points of the keys with many rows, by `at` (a number, never null); a table that nothing computes yet."""
+    keys = tuple(keys)
     slim = df.select(*keys, at)
-    known = (df.sparkSession.sparkContext.applicationId, slim.semanticHash(), tuple(keys), at, split_limit(df))
-    if known not in _PLANNED:
-        _PLANNED[known] = _plan_split(slim, tuple(keys), at, split_limit(df))
-    return _PLANNED[known]
-
-
-def _plan_split(slim: DataFrame, keys: tuple[str, ...], at: str, limit: int) -> Split:
-    counted = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    heavy = counted.orderBy(F.col("_n").desc()).limit(MAX_HEAVY).select(*keys).collect()
-    if not heavy:
-        return Split(keys, at, None)
-    spark = slim.sparkSession
-    probabilities = [i / SLICES for i in range(1, SLICES)]
+    target = target_rows(df)
+    counted = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target)
     if keys:
-        chosen = spark.createDataFrame(heavy, counted.select(*keys).schema)
-        slim = slim.join(F.broadcast(chosen), on=_same(slim, chosen, keys), how="left_semi")
-    found = slim.groupBy(*keys).agg(F.percentile_approx(at, probabilities, 10_000).alias(_CUTS))
-    cuts = spark.createDataFrame(found.collect(), found.schema)
+        total = slim.agg(F.count(F.lit(1)).alias("n")).scalar()
+        counted = counted.filter(F.col("_n") * MOST_SLICES > total)
+    heavy = counted.select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys], F.least(F.lit(MOST_SLICES), F.ceil(F.col("_n") / target)).cast("int").alias(_MANY)
+    )
+    # At most MOST_SLICES keys hold more than 1 / MOST_SLICES of the rows.
+    rows = slim.join(F.broadcast(heavy), _same(slim, heavy, keys, "_h_"))
+    points = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(at, points, 4 * MOST_SLICES).alias(_CUTS), F.max(_MANY).alias(_MANY))
     return Split(keys, at, cuts)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
+        condition = condition & left[key].eqNullSafe(right[f"{prefix}{key}"])
     return condition
 
 
-def _with_cuts(df: DataFrame, split: Split) -> DataFrame:
-    """Attach the cut points of heavy keys; null for the others."""
-    if not split.keys:
-        points = [float(c) if isinstance(c, float) else int(c) for c in split.cuts.first()[_CUTS]]
-        return df.withColumn(_CUTS, F.array(*[F.lit(p) for p in points]))
-    renamed = split.cuts.select(*[F.col(k).alias(f"_cut_{k}") for k in split.keys], _CUTS)
-    condition = F.lit(True)
-    for key in split.keys:
-        condition = condition & df[key].eqNullSafe(renamed[f"_cut_{key}"])
-    return df.join(F.broadcast(renamed), on=condition, how="left").drop(*[f"_cut_{k}" for k in split.keys])
-
+def _sliced(df: DataFrame, split: Split, at: Column | None = None) -> DataFrame:
+    """Add the slice of every row: the number of cut points below `at`, in as many groups as the key has slices.
 
-def _slice_of(at: Column) -> Column:
-    # Equal moments fall into one slice: the slice is a function of `at` alone.
-    return F.when(F.col(_CUTS).isNull(), F.lit(-1)).otherwise(
-        F.size(F.filter(F.col(_CUTS), lambda c: c < at))
+    Equal moments fall into one slice: it is a function of `at` alone. Keys without cut points are slice -1.
+    """
+    at = F.col(split.at) if at is None else at
+    renamed = split.cuts.select(*[F.col(k).alias(f"_c_{k}") for k in split.keys], _CUTS, _MANY)
+    joined = df.join(F.broadcast(renamed), _same(df, renamed, split.keys, "_c_"), "left").drop(*[f"_c_{k}" for k in split.keys])
+    # The cut points are sorted, one fewer than a power of two: a binary search.
+    below = F.aggregate(
+        F.array(*[F.lit(s) for s in _STEPS]),
+        F.lit(0),
+        lambda low, step: F.when(F.get(_CUTS, low + step - 1) < at, low + step).otherwise(low),
     )
+    place = F.floor(below * F.col(_MANY) / MOST_SLICES).cast("int")
+    return joined.withColumn(_SLICE, F.when(F.col(_CUTS).isNull(), F.lit(-1)).otherwise(place)).drop(_CUTS, _MANY)
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -168,20 +133,9 @@ def running(
         last = 0 if through else -1
         framed = lambda w: w.rowsBetween(Window.unboundedPreceding, last)
 
-    keys = list(split.keys)
     raw = {m.name: f"_raw_{m.name}" for m in measures}
     base = df.select("*", *[m.value.alias(raw[m.name]) for m in measures])
-
-    if not split.heavy:
-        window = framed(Window.partitionBy(*keys).orderBy(*order))
-        out = base.select(
-            *df.columns,
-            *[_zero(m, _AGGREGATE[m.how](raw[m.name]).over(window)).alias(m.name) for m in measures],
-        )
-        return out
-
-    cut = _with_cuts(base, split).withColumn(_SLICE, _slice_of(F.col(split.at))).drop(_CUTS)
-    return _accumulate(cut, df.columns, keys, order, framed, measures, raw)
+    return _accumulate(_sliced(base, split), df.columns, list(split.keys), order, framed, measures, raw)
 
 
 def _zero(measure: Measure, value: Column) -> Column:
@@ -203,7 +157,7 @@ def _accumulate(cut, columns, keys, order, framed, measures, raw):
     condition = cut[_SLICE] == carry["_cslice_"]
     for key in keys:
         condition = condition & cut[key].eqNullSafe(carry[f"_ckey_{key}"])
-    # One carry row per slice of a heavy key: MAX_HEAVY * SLICES narrow rows at most.
+    # One carry row per slice of a heavy key.
     joined = cut.join(carry, on=condition, how="left")
     window = framed(Window.partitionBy(*keys, _SLICE).orderBy(*order))
     found = []
@@ -230,60 +184,45 @@ def rolling_sums(
     """Sum values over [at - window, at) of the same key, for each window.
 
     Adds `<value>_<window>`, 0 when the frame is empty. Values are whole
-    numbers or decimals, so that any grouping of the sum is exact. For heavy
-    keys a value enters at its moment and leaves (as its negative) one window
-    later, so a rolling sum is a running sum and can be cut into slices.
+    numbers or decimals, so that any grouping of the sum is exact. A value
+    enters at its moment and leaves (as its negative) one window later, so a
+    rolling sum is a running sum: its cost does not grow with the frame.
     """
     pairs = list(pairs) if pairs is not None else [(v, w) for v in values for w in windows]
     used = {w for _, w in pairs}
     windows = {name: size for name, size in windows.items() if name in used}
     keys = list(split.keys)
     raw = {name: f"_raw_{name}" for name in values}
-    base = df.select("*", *[F.coalesce(v, F.lit(0)).alias(raw[n]) for n, v in values.items()])
-
-    def plain(rows: DataFrame) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy(split.at)
-        return rows.select(
-            *df.columns,
-            *[
-                F.coalesce(F.sum(raw[v]).over(order.rangeBetween(-windows[w], -1)), F.lit(0)).alias(f"{v}_{w}")
-                for v, w in pairs
-            ],
-        )
-
-    if not split.heavy:
-        return plain(base)
-
-    cut = _with_cuts(base, split)
-    light = plain(cut.filter(F.col(_CUTS).isNull()).drop(_CUTS))
-
-    sizes = sorted(set(windows.values()))
-    moved = (
-        cut.filter(F.col(_CUTS).isNotNull())
-        .withColumn("_shift", F.explode(F.array(*[F.lit(s).cast("bigint") for s in [0, *sizes]])))
-        .withColumn("_moment", F.col(split.at) + F.col("_shift"))
-        .withColumn(_SLICE, _slice_of(F.col("_moment")))
+    rest = [c for c in df.columns if c not in keys]
+    base = df.select(
+        *keys,
+        F.struct(*rest).alias("_row"),
+        F.col(split.at).alias("_at"),
+        *[F.coalesce(v, F.lit(0)).alias(raw[n]) for n, v in values.items()],
     )
+    sizes = sorted(set(windows.values()))
+    # What leaves is only needed where something entered, and carries no payload.
+    entered = F.lit(False)
+    for n in values:
+        entered = entered | (F.col(raw[n]) != 0)
+    shifts = F.array(*[F.lit(s).cast("bigint") for s in sizes])
+    moved = base.select(
+        "*",
+        F.explode(F.concat(F.array(F.lit(0).cast("bigint")), F.when(entered, shifts).otherwise(F.array().cast("array<bigint>")))).alias("_shift"),
+    ).withColumns({"_moment": F.col("_at") + F.col("_shift"), "_row": F.when(F.col("_shift") == 0, F.col("_row"))})
     deltas, names = [], []
     for v, w in pairs:
         name = f"{v}_{w}"
         names.append(name)
         sign = F.when(F.col("_shift") == 0, 1).when(F.col("_shift") == windows[w], -1).otherwise(0)
         deltas.append((sign * F.col(raw[v])).alias(f"_raw_{name}"))
-    moved = moved.select(*df.columns, "_shift", "_moment", _SLICE, *deltas)
+    moved = _sliced(moved.select(*keys, "_row", "_moment", *deltas), split, F.col("_moment"))
     measures = [Measure(name, "sum", F.col(f"_raw_{name}")) for name in names]
     framed = lambda w: w.rangeBetween(Window.unboundedPreceding, -1)
-    heavy = _accumulate(
-        moved,
-        [*df.columns, "_shift"],
-        keys,
-        [F.col("_moment").asc()],
-        framed,
-        measures,
-        {name: f"_raw_{name}" for name in names},
+    out = _accumulate(moved, [*keys, "_row"], keys, [F.col("_moment").asc()], framed, measures, {name: f"_raw_{name}" for name in names})
+    return out.filter("_row is not null").select(
+        *[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns], *names
     )
-    heavy = heavy.filter(F.col("_shift") == 0).drop("_shift")
-    return light.unionByName(heavy)
 
 
 def number_rows(df: DataFrame, split: Split, then_by: Sequence[Column | str], name: str = "ordinal") -> DataFrame:

@@ -23,7 +23,7 @@ def brute(data, window):
 def test_rolling_sums_of_a_heavy_key(splitting):
     data, df = rows(splitting)
     split = sp.plan_split(df, ["client"], "t")
-    assert split.heavy
+    assert split.cuts.count() > 0
     got = sp.rolling_sums(df, split, {"w": 7}, {"x": F.col("x"), "n": F.lit(1)}).collect()
     want = brute(data, 7)
     assert len(got) == len(data)
@@ -39,14 +39,14 @@ def test_plain_and_heavy_agree_on_every_measure(spark):
     ]
     found = {}
     for limit in ("1000000", "20"):
-        spark.conf.set(sp.LIMIT_CONF, limit)
+        spark.conf.set(sp.TARGET_CONF, limit)
         split = sp.plan_split(df, ["client"], "t")
-        assert split.heavy == (limit == "20")
+        assert (split.cuts.count() > 0) == (limit == "20")
         for through in (False, True):
             for then_by in (None, ["id"]):
                 out = sp.running(df, split, measures, through=through, then_by=then_by).collect()
                 found.setdefault((through, then_by is None), []).append(sorted(map(tuple, out)))
-    spark.conf.unset(sp.LIMIT_CONF)
+    spark.conf.unset(sp.TARGET_CONF)
     for plain, heavy in found.values():
         assert plain == heavy
 
@@ -57,13 +57,29 @@ def test_one_instant_is_never_cut(splitting):
     assert {r["n"] for r in out.collect()} == {0}
 
 
-def test_small_inputs_are_not_counted(spark):
-    from chronotape.plans.shared import written
+def test_slices_grow_with_the_rows(spark):
+    df = spark.range(6000).selectExpr("'a' as client", "id * id as t", "id")
+    slices = {}
+    for target in (3000, 1000, 100):
+        spark.conf.set(sp.TARGET_CONF, str(target))
+        cut = sp._sliced(df, sp.plan_split(df, ["client"], "t")).groupBy("_slice").count().collect()
+        slices[target] = len(cut)
+        assert max(r["count"] for r in cut) <= 1.2 * target
+    spark.conf.unset(sp.TARGET_CONF)
+    assert slices == {3000: 2, 1000: 6, 100: 60}
 
+
+def test_nothing_runs_while_a_plan_is_built(spark):
     _, df = rows(spark)
-    assert not sp.is_small(df)          # rows without a known size are counted
-    assert sp.is_small(written(df))
-    assert not sp.plan_split(df, ["client"], "t").heavy
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    sp.running(df, sp.plan_split(df, ["client"], "t"), [sp.Measure("n", "sum", F.col("x"))])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+def test_a_client_inside_one_window_is_not_quadratic(spark):
+    df = spark.range(200_000).selectExpr("'a' as client", "id as t", "1L as x")
+    out = sp.rolling_sums(df, sp.plan_split(df, ["client"], "t"), {"w": 10**9}, {"x": F.col("x")})
+    assert out.agg(F.sum("x_w")).first()[0] == 200_000 * 199_999 // 2
 
 
 def test_quantiles_match_numpy(splitting):
