@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotape.operators.checks import require_empty
 from chronotape.operators.corpus import bucket_place
 from chronotape.operators.vocabulary import EVT, PAD, UNK, USR, Vocabulary
 from chronotape.operators.windows import recent_tail
@@ -86,29 +87,51 @@ def encoded_profiles(attributes: DataFrame, milestones: DataFrame, clients: Data
     return rows.withColumns({**_record(pairs, USR), "time": F.concat(undated, dated)}).drop("_a", "_m")
 
 
+def within_limit(size: Column, limit: int | None, what: str) -> Column:
+    """The size itself; a size over the limit stops the job, as nothing is ever cut inside an event or a profile."""
+    if limit is None:
+        return size
+    message = F.concat(F.lit(f"{what} of client "), F.col("client"), F.lit(" takes "), size.cast("string"), F.lit(f" tokens; the limit is {limit}"))
+    return F.when(size > limit, F.raise_error(message).cast("int")).otherwise(size)
+
+
 def samples(
     events: DataFrame,
     max_events: int,
     max_tokens: int,
-    target: Column,
+    eligible: Column,
+    can_be_target: Column | None = None,
+    *,
+    clients: DataFrame | None = None,
+    profiles: DataFrame | None = None,
+    max_event_tokens: int | None = None,
+    max_profile_tokens: int | None = None,
 ) -> DataFrame:
-    """One row per client: the recent tail within both limits, flattened, with offsets and target mask.
+    """One row per client: the recent tail within both limits, flattened, with offsets, target mask and profile.
 
-    The tail is cut before the lists are collected, so a list never exceeds the
+    `eligible` is the target period, `can_be_target` what may be a target inside it; events cut off are
+    counted by the period alone. Every client of `clients` (without it, of `events`) has a row: one without
+    kept events has empty arrays. `events` may carry `calendar` (numbers per event), `profiles` the token
+    arrays of encoded_profiles. The tail is cut before the lists are collected, so a list never exceeds the
     limits, however long the history is.
     """
-    flagged = events.withColumn("_target", target)
-    kept = recent_tail(flagged, max_events, max_tokens)
-    counted = flagged.groupBy("client").agg(
-        F.count(F.lit(1)).alias("_all"), F.count_if("_target").alias("_targets")
+    allowed = F.lit(True) if can_be_target is None else can_be_target
+    flagged = events.withColumns(
+        {"_eligible": eligible, "_target": eligible & allowed, "n_tokens": within_limit(F.col("n_tokens"), max_event_tokens, "an event")}
     )
+    if "calendar" not in events.columns:
+        flagged = flagged.withColumn("calendar", F.array().cast("array<double>"))
+    kept = recent_tail(flagged, max_events, max_tokens)
+    counted = flagged.groupBy("client").agg(F.count(F.lit(1)).alias("_all"), F.count_if("_eligible").alias("_targets"))
     # The tail has at most max_events rows, so this window is bounded.
     before = Window.partitionBy("client").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
     started = kept.withColumn("_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("int"))
-    item = F.struct("t", "id", "key_ids", "value_ids", "positions", "_target", "_start")
+    item = F.struct("t", "id", "key_ids", "value_ids", "positions", "calendar", "_target", "_eligible", "_start")
     lists = started.groupBy("client").agg(F.array_sort(F.collect_list(item)).alias("_e"))
-    return (
-        lists.join(counted, "client")
+    known = counted if clients is None else clients.select("client").join(counted, "client", "left")
+    out = (
+        known.join(lists, "client", "left")
+        .withColumn("_e", F.coalesce("_e", F.array().cast(lists.schema["_e"].dataType)))
         .withColumns(
             {
                 "key_ids": F.flatten(F.transform("_e", lambda e: e["key_ids"])),
@@ -118,29 +141,49 @@ def samples(
                 "event_lengths": F.transform("_e", lambda e: F.size(e["key_ids"])),
                 "event_time": F.transform("_e", lambda e: e["t"]),
                 "event_ids": F.transform("_e", lambda e: e["id"]),
+                "calendar": F.flatten(F.transform("_e", lambda e: e["calendar"])),
                 "target_event_mask": F.transform("_e", lambda e: e["_target"]),
             }
         )
         .withColumns(
             {
-                "excluded_events": F.col("_all") - F.size("_e"),
-                "excluded_targets": F.col("_targets") - F.size(F.filter("target_event_mask", lambda m: m)),
+                "excluded_events": F.coalesce("_all", F.lit(0)) - F.size("_e"),
+                "excluded_targets": F.coalesce("_targets", F.lit(0)) - F.size(F.filter("_e", lambda e: e["_eligible"])),
             }
         )
         .drop("_e", "_all", "_targets")
     )
+    if profiles is None:
+        return out
+    held = profiles.select(
+        "client",
+        F.col("key_ids").alias("profile_key_ids"),
+        F.col("value_ids").alias("profile_value_ids"),
+        F.col("positions").alias("profile_positions"),
+        F.col("time").alias("profile_time"),
+        within_limit(F.size("key_ids"), max_profile_tokens, "the profile").alias("profile_tokens"),
+    )
+    joined = out.join(held, "client", "left").withColumn("profile_tokens", F.coalesce("profile_tokens", F.lit(0)))
+    arrays = [c for c in held.columns if c.startswith("profile_") and c != "profile_tokens"]
+    return joined.withColumns({c: F.coalesce(c, F.array().cast(held.schema[c].dataType)) for c in arrays})
 
 
 def lost_targets(sample: DataFrame) -> DataFrame:
-    """Clients whose context limit cut off events that should be targets: an error for an evaluation group."""
+    """Clients whose context limit cut off events of the target period: an error for an evaluation group."""
     return sample.filter("excluded_targets > 0").select("client", "excluded_targets")
 
 
+def require_whole_targets(sample: DataFrame) -> DataFrame:
+    """The samples of an evaluation group; stops when a limit cut off events of the target period."""
+    require_empty(lost_targets(sample), "clients that lost events of the target period")
+    return sample
+
+
 def sample_problems(sample: DataFrame, size: int) -> DataFrame:
     """Broken invariants of samples: (client, problem)."""
     n = F.size("key_ids")
     ids = F.concat("key_ids", "value_ids")
-    index = F.sequence(F.lit(0), n - 1)
+    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     ends = F.zip_with("event_starts", "event_lengths", lambda s, l: s + l)
     step = F.transform(
         index,
@@ -151,9 +194,9 @@ def sample_problems(sample: DataFrame, size: int) -> DataFrame:
         "channels": (F.size("event_starts") != F.size("event_lengths"))
         | (F.size("event_starts") != F.size("event_time"))
         | (F.size("event_starts") != F.size("target_event_mask")),
-        "cover": (F.element_at("event_starts", 1) != 0)
-        | (F.element_at(ends, -1) != n)
-        | (F.slice("event_starts", 2, F.size("event_starts")) != F.slice(ends, 1, F.size("event_starts") - 1)),
+        "cover": (F.coalesce(F.get("event_starts", F.lit(0)), F.lit(0)) != 0)
+        | (F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) != n)
+        | (F.slice("event_starts", 2, F.size("event_starts")) != F.slice(ends, 1, F.greatest(F.size("event_starts") - 1, F.lit(0)))),
         "empty event": F.exists("event_lengths", lambda x: x < 1),
         "marker": F.exists(
             "event_starts",
@@ -215,6 +258,10 @@ def counters(events: DataFrame, sample: DataFrame) -> DataFrame:
         F.sum(F.size("event_starts")).alias("kept_events"),
         F.sum(F.size("key_ids")).alias("kept_tokens"),
         F.sum(F.size(F.filter("target_event_mask", lambda m: m))).alias("targets"),
+        F.count_if(F.exists("target_event_mask", lambda m: m)).alias("with_targets"),
+        F.count_if(F.size("event_starts") == 0).alias("silent"),
+        *([F.sum("profile_tokens").alias("profile_tokens"), F.count_if(F.col("profile_tokens") <= 1).alias("empty_profiles")]
+          if "profile_tokens" in sample.columns else []),
     )
     # Both sides are one row: the numbers of one report line.
     return e.select("*", *[s.select(c).scalar().alias(c) for c in s.columns])

@@ -149,6 +149,7 @@ def row_features() -> dict[str, Column]:
         "merchant_country": text("merchant_country"),
         "is_foreign": p.is_foreign().cast("int"),
         "mcc": text("mcc"),
+        "merchant_category": text("merchant_category"),
         "merchant_name": text("merchant_name"),
         "hour": F.hour(local),
         "weekday": F.weekday(local),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chronotape.functions import clock
 from chronotape.operators import batches as bx
 from chronotape.operators import corpus as cx
 from chronotape.operators import encoding as ex
@@ -13,8 +14,9 @@ from chronotape.operators.predicates import can_be_target, kind
 from chronotape.plans.shared import written
 from chronotape.plans.split import quantiles
 from queries.corpus import FLOW, LONG, REGISTRY, train, values
+from queries.features import MILESTONES, PROFILE_FIELDS, profile_sql
 from queries.registry import query
-from queries.tables import CUTOFF, DAY, SNAPSHOT, read, snapshot, tape, with_tape
+from queries.tables import CUTOFF, DAY, LOCAL, SNAPSHOT, read, snapshot, tape, with_tape
 
 SCALES = [
     cx.Scale("transaction_amount", "quantile", bins=8, fallback=(1000, 5000, 20000), negative_invalid=True),
@@ -64,18 +66,8 @@ def conditioned(spark, sf):
     return values(spark, sf).withColumn("cond", F.expr(COND))
 
 
-_FROZEN: dict = {}
-
-
 def vocabulary(spark, sf):
-    """The frozen vocabulary of a data folder: fitted and written once per session, then only read."""
-    known = (spark.sparkContext.applicationId, sf)
-    if known not in _FROZEN:
-        _FROZEN[known] = fitted_vocabulary(spark, sf)
-    return _FROZEN[known]
-
-
-def fitted_vocabulary(spark, sf):
+    """The vocabulary, fitted on the training part and written once; pass it on to share a fit."""
     keys = vx.key_ids(spark.createDataFrame([(k,) for _, _, k, _ in REGISTRY], "key string"))
     # The long training values feed every part of the fit: they are written once.
     rows = written(train(spark, sf).select("id", "client", "t", "type", "key", "kind", "vtype", "value"), "train")
@@ -97,7 +89,7 @@ def v1(spark, sf):
 
 @query("V2_value_vocabulary", with_tape("select * from vvalues", *VOCAB))
 def v2(spark, sf):
-    return fitted_vocabulary(spark, sf).values
+    return vocabulary(spark, sf).values
 
 
 @query(
@@ -180,8 +172,8 @@ ENCODED = """encoded as (select e.id, e.client, e.t, e.type, '3' || coalesce(','
 
 
 @query("V9_event_encoding", with_tape("select id, key_ids, value_ids, n_tokens::int as n_tokens from encoded", *VOCAB, CODED, ENCODED))
-def v9(spark, sf):
-    return events_encoded(spark, sf).select(
+def v9(spark, sf, vocab=None):
+    return events_encoded(spark, sf, vocab).select(
         "id", _text("key_ids").alias("key_ids"), _text("value_ids").alias("value_ids"), "n_tokens"
     )
 
@@ -213,36 +205,140 @@ def v12(spark, sf):
     return found.join(names, "vid").select("id", "type")
 
 
+PROFILE_KEYS = ("gender", "region", "income_type", "lifelong")
+PROFILE_DOMAIN = """pkeys as (select key, (row_number() over (order by key) + 4)::int as id from (values ('profile_gender'), ('profile_region'), ('profile_income_type'), ('profile_lifelong')) t(key)),
+pvalues as (select key, value, (8 + row_number() over (order by key, value))::int as id from (select 'profile_gender' as key, gender as value from snap union select 'profile_region', region from snap union select 'profile_income_type', income_type from snap
+ union select 'profile_lifelong', x from (values ('bank_registered'), ('app_registered'), ('first_loan_opened')) m(x)))"""
+
+
+def profile_cte(attributes, cutoff):
+    """Profile arrays of every client: attributes of a table with gender, region and income_type, milestones before the cutoff."""
+    return f"""{PROFILE_DOMAIN}, pattr as (select s.client, k.id as key_id, coalesce(v.id, 1) as vid from (select client, 'profile_gender' as key, gender as value from {attributes} union all select client, 'profile_region', region from {attributes} union all select client, 'profile_income_type', income_type from {attributes}) s
+ join pkeys k on k.key = s.key left join pvalues v on v.key = s.key and v.value = s.value where s.value is not null),
+pmile as (select m.client, m.t, m.place, k.id as key_id, v.id as vid from (select client, bank_registered as t, 0 as place, 'bank_registered' as kind from snap union all select client, app_registered, 1, 'app_registered' from snap union all
+ select client, first_loan_opened, 2, 'first_loan_opened' from snap) m join pkeys k on k.key = 'profile_lifelong' join pvalues v on v.key = 'profile_lifelong' and v.value = m.kind where m.t < {cutoff}),
+profiled as (select s.client, '4' || coalesce(',' || a.keys, '') || coalesce(',' || m.keys, '') as profile_key_ids, '4' || coalesce(',' || a.vids, '') || coalesce(',' || m.vids, '') as profile_value_ids, coalesce(m.times, '') as profile_time,
+ (1 + coalesce(a.n, 0) + coalesce(m.n, 0))::int as profile_tokens from snap s
+ left join (select client, string_agg(cast(key_id as varchar), ',' order by key_id) as keys, string_agg(cast(vid as varchar), ',' order by key_id) as vids, count(*) as n from pattr group by client) a using (client)
+ left join (select client, string_agg(cast(key_id as varchar), ',' order by t, place) as keys, string_agg(cast(vid as varchar), ',' order by t, place) as vids, string_agg(cast(t as varchar), ',' order by t, place) as times, count(*) as n from pmile group by client) m using (client))"""
+
+
+PROFILE_CTE = profile_cte("snap", CUTOFF)
+
+
+def profile_tokens(spark, sf, cutoff=CUTOFF, attributes=None):
+    """Profile arrays; `attributes` (client, gender, region, income_type) are those of the snapshot unless given."""
+    snap = snapshot(spark, sf)
+    fields = ("gender", "region", "income_type")
+
+    def long(rows):
+        items = F.array(*[F.struct(F.lit(f"profile_{f}").alias("key"), F.col(f).alias("value")) for f in fields])
+        return rows.select("client", F.explode(items).alias("x")).select("client", "x.*").filter("value is not null")
+
+    order = F.expr("case kind when 'bank_registered' then 0 when 'app_registered' then 1 else 2 end")
+    m = (
+        snap.select("client", F.explode(F.filter("lifelong", lambda x: x["t"] < cutoff)).alias("x"))
+        .select("client", F.col("x.t").alias("t"), F.col("x.type").alias("kind"))
+        .withColumn("place", order)
+    )
+    every = snap.select(F.explode("lifelong.type").alias("value")).distinct()
+    domain = long(snap).select("key", "value").distinct().unionByName(every.select(F.lit("profile_lifelong").alias("key"), "value"))
+    keys = vx.key_ids(domain.select("key"))
+    ids = vx.value_ids(domain.withColumn("vtype", F.lit("str")), keys)
+    a = long(snap if attributes is None else attributes)
+    coded = a.join(keys.withColumnRenamed("id", "key_id"), "key").join(ids.select("key", "value", "id"), ["key", "value"], "left")
+    coded = coded.select("client", "key_id", F.array(F.coalesce("id", F.lit(vx.UNK))).alias("ids"))
+    marks = m.withColumn("key", F.lit("profile_lifelong")).withColumnRenamed("kind", "value")
+    marks = marks.join(keys.withColumnRenamed("id", "key_id"), "key").join(ids.select("key", "value", "id"), ["key", "value"])
+    milestones = marks.select("client", "t", "place", "key_id", F.array("id").alias("ids"))
+    return ex.encoded_profiles(coded, milestones, snap.select("client"))
+
+
+@query(
+    "V10_profile_encoding",
+    f"with {SNAPSHOT}, {PROFILE_CTE} select client, profile_key_ids as key_ids, profile_value_ids as value_ids, profile_time as time from profiled",
+)
+def v10(spark, sf):
+    return profile_tokens(spark, sf).select(
+        "client", _text("key_ids").alias("key_ids"), _text("value_ids").alias("value_ids"), _text("time").alias("time")
+    )
+
+
 LIMIT_EVENTS, LIMIT_TOKENS = 40, 120
 TARGET_FROM = CUTOFF - 120 * DAY
-TARGET_SQL = f"(t >= {TARGET_FROM} and t < {CUTOFF} and type <> 'profile_change')"
-SAMPLED = f"""past_encoded as (select *, {TARGET_SQL} as target from encoded where t < {CUTOFF}),
-backed as (select *, count(*) over w as back, sum(n_tokens) over w as back_tokens, count(*) over (partition by client) as n_all,
- count(*) filter (where target) over (partition by client) as n_targets from past_encoded window w as (partition by client order by t desc, id desc rows between unbounded preceding and current row)),
+PERIOD_SQL = f"(t >= {TARGET_FROM} and t < {CUTOFF})"
+SOURCE_SQL = "(t = coalesce((select app_registered from snap s where s.client = e.client), 0))"
+TARGET_SQL = f"({PERIOD_SQL} and type <> 'profile_change')"
+_phases = (f"(((t + {LOCAL}) % {DAY}) / 3600000000.0::double / 24)", f"((isodow(make_timestamp(t + {LOCAL})) - 1) / 7)", f"((day(make_timestamp(t + {LOCAL})) - 1) / 31)")
+CALENDAR_SQL = " || ',' || ".join(f"cast(round({wave}({p} * 2.0::double * pi()) * 1000000)::bigint as varchar)" for p in _phases for wave in ("sin", "cos"))
+ARRAYS = ("key_ids", "value_ids", "positions", "event_starts", "event_lengths", "event_time", "calendar", "target_event_mask",
+          "profile_key_ids", "profile_value_ids", "profile_positions", "profile_time")
+
+
+def samples_sql(cutoff, eligible, target):
+    """The samples at a cutoff, from `encoded`, `snap` and `profiled`."""
+    lists = {
+        "key_ids": "key_ids", "value_ids": "value_ids", "positions": "'0' || repeat(',0', (n_tokens - 1)::int)",
+        "event_lengths": "cast(n_tokens as varchar)", "event_starts": "cast(cast(start as bigint) as varchar)",
+        "event_time": "cast(t as varchar)", "calendar": CALENDAR_SQL, "target_event_mask": "cast(target as varchar)",
+    }
+    gathered = ", ".join(f"string_agg({x}, ',' order by t, id) as {n}" for n, x in lists.items())
+    empty = ", ".join(f"coalesce(l.{n}, '') as {n}" for n in lists)
+    held = ", ".join(f"coalesce(p.{n}, '') as {n}" for n in ("profile_key_ids", "profile_value_ids", "profile_time"))
+    return f"""past_encoded as (select *, {eligible} as eligible, {target} as target from encoded e where t < {cutoff}),
+backed as (select *, count(*) over w as back, sum(n_tokens) over w as back_tokens from past_encoded window w as (partition by client order by t desc, id desc rows between unbounded preceding and current row)),
 kept as (select *, sum(n_tokens) over (partition by client order by t, id rows between unbounded preceding and current row) - n_tokens as start from backed where back <= {LIMIT_EVENTS} and back_tokens <= {LIMIT_TOKENS}),
-sampled as (select client, string_agg(key_ids, ',' order by t, id) as key_ids, string_agg(value_ids, ',' order by t, id) as value_ids, string_agg(cast(n_tokens as varchar), ',' order by t, id) as event_lengths,
- string_agg(cast(cast(start as bigint) as varchar), ',' order by t, id) as event_starts, string_agg(cast(target as varchar), ',' order by t, id) as target_event_mask, (max(n_all) - count(*))::int as excluded_events,
- (max(n_targets) - count(*) filter (where target))::int as excluded_targets, min(t) as oldest, count(*) as n_events, sum(n_tokens)::bigint as tokens from kept group by client)"""
+lists as (select client, {gathered}, count(*) as n_events, sum(n_tokens)::bigint as tokens, count(*) filter (where eligible) as n_eligible, count(*) filter (where target) as n_targets, min(t) as oldest, max(t) as last_t from kept group by client),
+totals as (select client, count(*) as n_all, count(*) filter (where eligible) as n_period from past_encoded group by client),
+everyone as (select client from tape union select client from snap),
+sampled as (select c.client, {empty}, {held}, case when p.profile_tokens > 0 then '0' || repeat(',0', p.profile_tokens - 1) else '' end as profile_positions, coalesce(p.profile_tokens, 0)::int as profile_tokens,
+ (coalesce(n_all, 0) - coalesce(n_events, 0))::int as excluded_events, (coalesce(n_period, 0) - coalesce(n_eligible, 0))::int as excluded_targets, oldest, last_t, coalesce(n_events, 0) as n_events, coalesce(tokens, 0)::bigint as tokens, coalesce(n_targets, 0) as n_targets
+ from everyone c left join totals using (client) left join lists l on l.client = c.client left join profiled p on p.client = c.client)"""
+
+
+SAMPLED = ", ".join([SNAPSHOT, PROFILE_CTE, samples_sql(CUTOFF, PERIOD_SQL, f"({TARGET_SQL} and not {SOURCE_SQL})")])
+
+
+def everyone(spark, sf):
+    return tape(spark, sf).select("client").unionByName(snapshot(spark, sf).select("client")).distinct()
+
+
+def calendared(rows):
+    """Adds the calendar of each event; whole millionths here, so that both engines agree on every digit."""
+    six = [F.round(c * 1_000_000).cast("bigint").cast("double") for c in clock.calendar_channel(F.col("t"))]
+    return rows.withColumn("calendar", F.array(*six))
 
 
 def sampled(spark, sf, encoded=None):
     rows = encoded if encoded is not None else events_encoded(spark, sf)
-    past = rows.filter(F.col("t") < CUTOFF)
-    target = (F.col("t") >= TARGET_FROM) & (F.col("t") < CUTOFF) & (F.col("type") != "profile_change")
-    return ex.samples(past, LIMIT_EVENTS, LIMIT_TOKENS, target)
+    # The event of a dated milestone stays context.
+    marks = snapshot(spark, sf).select("client", F.col("app_registered").alias("t"), F.lit(True).alias("milestone")).filter("t is not null")
+    past = calendared(rows.filter(F.col("t") < CUTOFF)).join(marks, ["client", "t"], "left")
+    period = (F.col("t") >= TARGET_FROM) & (F.col("t") < CUTOFF)
+    allowed = (F.col("type") != "profile_change") & F.col("milestone").isNull()
+    return ex.samples(
+        past, LIMIT_EVENTS, LIMIT_TOKENS, period, allowed,
+        clients=everyone(spark, sf), profiles=profile_tokens(spark, sf), max_event_tokens=LIMIT_TOKENS, max_profile_tokens=50,
+    )
+
+
+def _whole(column):
+    return F.array_join(F.transform(column, lambda x: x.cast("bigint").cast("string")), ",")
+
+
+def sample_arrays(rows):
+    return [(_whole(c) if c == "calendar" else _text(c)).alias(c) for c in ARRAYS]
 
 
 @query(
     "V11_client_samples",
-    with_tape(
-        "select client, key_ids, value_ids, event_starts, event_lengths, target_event_mask, excluded_events, excluded_targets from sampled",
-        *VOCAB, CODED, ENCODED, SAMPLED,
-    ),
+    with_tape(f"select client, {', '.join(ARRAYS)}, excluded_events, excluded_targets from sampled", *VOCAB, CODED, ENCODED, SAMPLED),
 )
-def v11(spark, sf):
-    return sampled(spark, sf).select(
+def v11(spark, sf, vocab=None):
+    rows = sampled(spark, sf, events_encoded(spark, sf, vocab))
+    return rows.select(
         "client",
-        *[_text(c).alias(c) for c in ("key_ids", "value_ids", "event_starts", "event_lengths", "target_event_mask")],
+        *sample_arrays(rows),
         F.col("excluded_events").cast("int").alias("excluded_events"),
         F.col("excluded_targets").cast("int").alias("excluded_targets"),
     )
@@ -270,92 +366,50 @@ def q24(spark, sf):
     with_tape("select count(*) as events, 0::bigint as differing from kept", *VOCAB, CODED, ENCODED, SAMPLED),
 )
 def q25(spark, sf):
-    encoded = events_encoded(spark, sf)
-    stored = sampled(spark, sf, encoded)
-    # Every stored event by its place, against the tape encoded again.
+    # The samples are stored; then the tape is encoded anew, under a vocabulary of its own fit.
+    stored = written(sampled(spark, sf, events_encoded(spark, sf)), "samples")
+    again = events_encoded(spark, sf, vocabulary(spark, sf))
     tail = stored.select(
         "client", F.posexplode(F.arrays_zip("event_ids", "event_starts", "event_lengths")).alias("place", "x"), "value_ids"
     ).select("client", F.col("x.event_ids").alias("id"), F.expr("slice(value_ids, x.event_starts + 1, x.event_lengths)").alias("stored"))
-    both = tail.join(encoded.select("id", "value_ids"), "id")
+    both = tail.join(again.select("id", "value_ids"), "id", "left")
     return both.agg(F.count(F.lit(1)).alias("events"), F.count_if(~F.col("stored").eqNullSafe(F.col("value_ids"))).alias("differing"))
 
 
 EARLY = CUTOFF - 100 * DAY
+AT_EARLY = ", ".join([SNAPSHOT, profile_sql(EARLY), profile_cte("prof", EARLY), samples_sql(EARLY, "false", "false")])
 
 
 @query(
     "V13_sample_at_cutoff",
-    with_tape(
-        f"""select client, count(*) as n_events, sum(n_tokens)::bigint as n_tokens, max(t) as last_t, 0::bigint as leaked from
- (select *, count(*) over w as back, sum(n_tokens) over w as back_tokens from encoded where t < {EARLY} window w as (partition by client order by t desc, id desc rows between unbounded preceding and current row))
- where back <= {LIMIT_EVENTS} and back_tokens <= {LIMIT_TOKENS} group by client""",
-        *VOCAB, CODED, ENCODED,
-    ),
+    with_tape(f"select client, {', '.join(ARRAYS)}, excluded_events, last_t, 0::bigint as leaked from sampled", *VOCAB, CODED, ENCODED, AT_EARLY),
 )
 def v13(spark, sf):
+    from chronotape.operators.profile import profile_at
+
     past = events_encoded(spark, sf).filter(F.col("t") < EARLY)
-    rows = ex.samples(past, LIMIT_EVENTS, LIMIT_TOKENS, F.lit(False))
+    changes = tape(spark, sf).filter(kind("profile_change"))
+    then = profile_at(snapshot(spark, sf), changes, EARLY, PROFILE_FIELDS, MILESTONES)
+    rows = ex.samples(
+        calendared(past), LIMIT_EVENTS, LIMIT_TOKENS, F.lit(False),
+        clients=everyone(spark, sf), profiles=profile_tokens(spark, sf, EARLY, then),
+    )
     leaked = ex.leaks(past, EARLY).agg(F.count(F.lit(1)).alias("n")).scalar()
     return rows.select(
         "client",
-        F.size("event_starts").cast("bigint").alias("n_events"),
-        F.size("key_ids").cast("bigint").alias("n_tokens"),
+        *sample_arrays(rows),
+        F.col("excluded_events").cast("int").alias("excluded_events"),
         F.array_max("event_time").alias("last_t"),
         leaked.alias("leaked"),
     )
 
 
-PROFILE_KEYS = ("gender", "region", "income_type", "lifelong")
-PROFILE_CTE = """pkeys as (select key, (row_number() over (order by key) + 4)::int as id from (values ('profile_gender'), ('profile_region'), ('profile_income_type'), ('profile_lifelong')) t(key)),
-pvalues as (select key, value, (8 + row_number() over (order by key, value))::int as id from (select 'profile_gender' as key, gender as value from snap union select 'profile_region', region from snap union select 'profile_income_type', income_type from snap
- union select 'profile_lifelong', x from (values ('bank_registered'), ('app_registered'), ('first_loan_opened')) m(x))),
-pattr as (select s.client, k.id as key_id, v.id as vid from (select client, 'profile_gender' as key, gender as value from snap union all select client, 'profile_region', region from snap union all select client, 'profile_income_type', income_type from snap) s
- join pkeys k on k.key = s.key join pvalues v on v.key = s.key and v.value = s.value),
-pmile as (select m.client, m.t, m.place, k.id as key_id, v.id as vid from (select client, bank_registered as t, 0 as place, 'bank_registered' as kind from snap union all select client, app_registered, 1, 'app_registered' from snap union all
- select client, first_loan_opened, 2, 'first_loan_opened' from snap) m join pkeys k on k.key = 'profile_lifelong' join pvalues v on v.key = 'profile_lifelong' and v.value = m.kind where m.t < CUT)""".replace("CUT", str(CUTOFF))
-
-
-def profile_tokens(spark, sf):
-    snap = snapshot(spark, sf)
-    attributes = F.array(
-        *[F.struct(F.lit(f"profile_{f}").alias("key"), F.col(f).alias("value")) for f in ("gender", "region", "income_type")]
-    )
-    a = snap.select("client", F.explode(attributes).alias("x")).select("client", "x.*")
-    order = F.expr("case kind when 'bank_registered' then 0 when 'app_registered' then 1 else 2 end")
-    m = (
-        snap.select("client", F.explode(F.filter("lifelong", lambda x: x["t"] < CUTOFF)).alias("x"))
-        .select("client", F.col("x.t").alias("t"), F.col("x.type").alias("kind"))
-        .withColumn("place", order)
-    )
-    every = snap.select(F.explode("lifelong.type").alias("value")).distinct()
-    domain = a.select("key", "value").distinct().unionByName(every.select(F.lit("profile_lifelong").alias("key"), "value"))
-    keys = vx.key_ids(domain.select("key"))
-    ids = vx.value_ids(domain.withColumn("vtype", F.lit("str")), keys)
-    coded = a.join(keys.withColumnRenamed("id", "key_id"), "key").join(ids.select("key", "value", "id"), ["key", "value"])
-    attributes = coded.select("client", "key_id", F.array("id").alias("ids"))
-    marks = m.withColumn("key", F.lit("profile_lifelong")).withColumnRenamed("kind", "value")
-    marks = marks.join(keys.withColumnRenamed("id", "key_id"), "key").join(ids.select("key", "value", "id"), ["key", "value"])
-    milestones = marks.select("client", "t", "place", "key_id", F.array("id").alias("ids"))
-    return ex.encoded_profiles(attributes, milestones, snap.select("client"))
-
-
-@query(
-    "V10_profile_encoding",
-    f"""with {SNAPSHOT}, {PROFILE_CTE} select s.client, '4,' || a.keys || coalesce(',' || m.keys, '') as key_ids, '4,' || a.vids || coalesce(',' || m.vids, '') as value_ids, coalesce(m.times, '') as time from snap s
- join (select client, string_agg(cast(key_id as varchar), ',' order by key_id) as keys, string_agg(cast(vid as varchar), ',' order by key_id) as vids from pattr group by client) a using (client)
- left join (select client, string_agg(cast(key_id as varchar), ',' order by t, place) as keys, string_agg(cast(vid as varchar), ',' order by t, place) as vids, string_agg(cast(t as varchar), ',' order by t, place) as times from pmile group by client) m using (client)""",
-)
-def v10(spark, sf):
-    return profile_tokens(spark, sf).select(
-        "client", _text("key_ids").alias("key_ids"), _text("value_ids").alias("value_ids"), _text("time").alias("time")
-    )
-
-
 @query(
     "A38_encoding_counters",
     with_tape(
         """select * from (select count(*) as events, sum(n_tokens)::bigint as tokens, (select count(*) from coded) as value_count, (select count(*) from coded where vid = 1) as unknown from encoded),
- (select count(*) as samples, count(*) filter (where excluded_events > 0) as truncated, sum(n_events)::bigint as kept_events, sum(tokens)::bigint as kept_tokens, (select count(*) from kept where target) as targets from sampled)""",
+ (select count(*) as samples, count(*) filter (where excluded_events > 0) as truncated, sum(n_events)::bigint as kept_events, sum(tokens)::bigint as kept_tokens, sum(n_targets)::bigint as targets, count(*) filter (where n_targets > 0) as with_targets,
+ count(*) filter (where n_events = 0) as silent, sum(profile_tokens)::bigint as profile_tokens, count(*) filter (where profile_tokens <= 1) as empty_profiles from sampled)""",
         *VOCAB, CODED, ENCODED, SAMPLED,
     ),
 )
@@ -368,13 +422,13 @@ def a38(spark, sf):
     "A44_truncation_impact",
     with_tape(
         f"""select count(*) as truncated, min(age) as least, quantile_cont(age, 0.1) as p10, quantile_cont(age, 0.5) as median, count(*) filter (where age < 90) as under_90, count(*) filter (where age < 365) as under_365
- from (select ({CUTOFF} - oldest) / {float(DAY)!r} as age from sampled where excluded_events > 0)""",
+ from (select ({CUTOFF} - oldest) / {float(DAY)!r} as age from sampled where excluded_events > 0 and n_events > 0)""",
         *VOCAB, CODED, ENCODED, SAMPLED,
     ),
 )
 def a44(spark, sf):
-    cut = sampled(spark, sf).filter("excluded_events > 0").select(
-        ((F.lit(CUTOFF) - F.element_at("event_time", 1)) / F.lit(float(DAY))).alias("age")
+    cut = sampled(spark, sf).filter("excluded_events > 0 and size(event_time) > 0").select(
+        ((F.lit(CUTOFF) - F.get("event_time", F.lit(0))) / F.lit(float(DAY))).alias("age")
     )
     cut = written(cut, "ages")
     points = quantiles(cut, [], "age", {"p10": 0.1, "median": 0.5})
@@ -409,13 +463,14 @@ def corpus_texts(spark, sf):
     return cx.text_corpus(normalized(rows, "value")).filter("normalized is not null")
 
 
-MERGES = 48
+# Pieces of the model, letters and bytes included; learning ends before when no pair occurs twice.
+PIECES = 4096
 
 
 @query("V6_subword_merges")
 def v6(spark, sf):
     words = written(sx.word_counts(corpus_texts(spark, sf)), "words")
-    learned = sx.learn_merges(words, MERGES)
+    learned = sx.learn_merges(words, sx.merges_for(words, PIECES))
     rows = [(i, a, b, n) for i, (a, b, n) in enumerate(learned)]
     return spark.createDataFrame(rows, "rank int, left string, right string, n bigint")
 
@@ -424,7 +479,7 @@ def v6(spark, sf):
 def v7(spark, sf):
     texts = written(corpus_texts(spark, sf), "texts")
     words = written(sx.word_counts(texts), "words")
-    model = sx.freeze(words, sx.learn_merges(words, MERGES))
+    model = sx.freeze(words, sx.learn_merges(words, sx.merges_for(words, PIECES)))
     encoded = sx.encoded_texts(texts, model)
     return encoded.select(
         "normalized", F.array_join("pieces", "|").alias("pieces"), (sx.decoded(F.col("pieces")) == F.col("normalized")).alias("round_trip")
@@ -437,7 +492,7 @@ def v9_texts(spark, sf):
 
     texts = written(corpus_texts(spark, sf), "texts")
     words = written(sx.word_counts(texts), "words")
-    model = sx.freeze(words, sx.learn_merges(words, MERGES))
+    model = sx.freeze(words, sx.learn_merges(words, sx.merges_for(words, PIECES)))
     vocab = vocabulary(spark, sf)
     first = vocab.scales.agg(F.max(F.col("first_id") + F.col("n_buckets")).alias("n")).first()["n"]
     rows = normalized(conditioned(spark, sf), "value")
@@ -477,8 +532,8 @@ masked as (select * replace (case when reason0 = 0 and target and grp is not nul
 MASKS = (*VOCAB, CODED, MASK_WEIGHTS, MASKED)
 
 
-def masked(spark, sf):
-    vocab = vocabulary(spark, sf)
+def masked(spark, sf, vocab=None):
+    vocab = vocab or vocabulary(spark, sf)
     coded = written(ex.coded_values(conditioned(spark, sf), vocab).select("id", "client", "t", "type", "key_id", "ids"), "coded")
     target = (F.col("t") >= TARGET_FROM) & (F.col("t") < CUTOFF) & ~kind("profile_change")
     rows = coded.withColumns({"target": target, "place": F.lit(0)})
@@ -534,8 +589,8 @@ APPLIED = """applied as (select id, client, '3,' || string_agg(cast(case when re
 
 
 @query("M4_apply_mask", with_tape("select * from applied", *MASKS, APPLIED))
-def m4(spark, sf):
-    rows = mx.masked_events(masked(spark, sf), vx.EVT)
+def m4(spark, sf, vocab=None):
+    rows = mx.masked_events(masked(spark, sf, vocab), vx.EVT)
     return rows.select("id", "client", *[_text(c).alias(c) for c in ("input_ids", "labels", "reasons")])
 
 

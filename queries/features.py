@@ -6,7 +6,7 @@ from chronotape.operators import features as fx
 from chronotape.operators import predicates as p
 from chronotape.operators.predicates import kind
 from queries.registry import query
-from queries.tables import CUTOFF, DAY, END, LOCAL, SNAPSHOT, START, snapshot, tape, with_tape
+from queries.tables import ALL_MILESTONES, CUTOFF, DAY, LOCAL, SNAPSHOT, START, snapshot, tape, with_tape
 
 T = CUTOFF
 
@@ -394,27 +394,29 @@ PROFILE_FIELDS = ("region", "city", "income_type", "declared_income")
 MILESTONES = ("bank_registered", "app_registered", "first_loan_opened")
 
 
-def profile_sql(cutoff):
+# Everything the feature table holds of the profile; the four fields above are those that the tape changes.
+ALL_FIELDS = (
+    "family_status", "education", "region", "city", "housing_type", "income_type", "industry", "declared_income", "income_day", "children",
+)
+_NUMBERS = ("declared_income", "income_day", "children")
+
+
+def profile_sql(cutoff, fields=PROFILE_FIELDS, milestones=MILESTONES):
+    def value(f):
+        return f"try_cast(nullif(c_{f}.old_value, '\\N') as bigint)" if f in _NUMBERS else f"nullif(c_{f}.old_value, '\\N')"
+
+    rolled = ", ".join(f"case when c_{f}.client is not null then {value(f)} else s.{f} end as {f}_at" for f in fields)
+    joins = " ".join(f"left join changed c_{f} on c_{f}.client = s.client and c_{f}.field_name = '{f}'" for f in fields)
     years = "date '1970-01-01' + birth_day::int"
     return f"""changed as (select client, field_name, arg_min(coalesce(old_value, '\\N'), (t, id)) as old_value
  from tape where type='profile_change' and t >= {cutoff} group by client, field_name),
-rolled as (select s.*,
- case when r.client is not null then nullif(r.old_value, '\\N') else s.region end as region_at,
- case when c.client is not null then nullif(c.old_value, '\\N') else s.city end as city_at,
- case when i.client is not null then nullif(i.old_value, '\\N') else s.income_type end as income_type_at,
- case when d.client is not null then try_cast(nullif(d.old_value, '\\N') as bigint) else s.declared_income end as declared_income_at
- from snap s
- left join changed r on r.client = s.client and r.field_name = 'region'
- left join changed c on c.client = s.client and c.field_name = 'city'
- left join changed i on i.client = s.client and i.field_name = 'income_type'
- left join changed d on d.client = s.client and d.field_name = 'declared_income'),
-prof as (select client, gender, region_at as region, city_at as city, income_type_at as income_type,
- declared_income_at as declared_income,
+rolled as (select s.*, {rolled} from snap s {joins}),
+prof as (select client, gender, {", ".join(f"{f}_at as {f}" for f in fields)},
  cast(date_part('year', today) - date_part('year', born) - (strftime(today,'%m%d') < strftime(born,'%m%d'))::int as int) as age,
  case when income_type_at = 'salary' and job_recorded < {cutoff} then
   greatest(0, cast((date_part('year', today) - date_part('year', job))*12 + date_part('month', today) - date_part('month', job)
    - (date_part('day', today) < date_part('day', job))::int as int)) end as job_tenure_months,
- {", ".join(f"case when {m} < {cutoff} then ({cutoff} - {m}) / {float(DAY)!r} end as days_since_{m}" for m in MILESTONES)}
+ {", ".join(f"case when {m} < {cutoff} then ({cutoff} - {m}) / {float(DAY)!r} end as days_since_{m}" for m in milestones)}
  from (select *, make_timestamp({cutoff + LOCAL})::date as today, {years} as born, date '1970-01-01' + job_start_day::int as job from rolled))"""
 
 
@@ -422,7 +424,7 @@ prof as (select client, gender, region_at as region, city_at as city, income_typ
     "H6_client_feature_table",
     with_tape(
         f"select p.* exclude (client), f.*, l.active_90, l.churned from ({FEATURE_ROWS}) f join labelled l using (client) left join prof p using (client) where l.in_population",
-        SNAPSHOT, ACTS, PAST, DAYS_CTE, BALANCE_CTE, FEATURES_CTE, LABELS_CTE, profile_sql(T),
+        SNAPSHOT, ACTS, PAST, DAYS_CTE, BALANCE_CTE, FEATURES_CTE, LABELS_CTE, profile_sql(T, ALL_FIELDS, ALL_MILESTONES),
     ),
 )
 def h6(spark, sf):
@@ -432,7 +434,7 @@ def h6(spark, sf):
     table = fx.client_features(rows, T)
     labels = fx.churn_labels(rows, T).filter("in_population").drop("in_population")
     changes = rows.filter(F.col("type") == "profile_change")
-    profile = profile_at(snapshot(spark, sf), changes, T, PROFILE_FIELDS, MILESTONES)
+    profile = profile_at(snapshot(spark, sf, ALL_MILESTONES), changes, T, ALL_FIELDS, ALL_MILESTONES)
     return labels.join(table, "client").join(profile, "client", "left")
 
 
@@ -450,5 +452,3 @@ def p14(spark, sf):
         F.col("end").cast("date").alias("data_end"),
     )
 
-
-_ = END

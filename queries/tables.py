@@ -57,6 +57,7 @@ FIELDS = {
     "amount": """case when type in ('purchase','transfer_out','cash_withdrawal','bill_payment','salary_credit','cash_deposit',
  'transfer_in','loan_payment') then cast(round(v*100) as bigint) end""",
     "mcc": "case when type='purchase' then cast(5000+k%12 as string) end",
+    "merchant_category": "case when type='purchase' and k%13<>6 then 'Category ' || cast(k%8 as string) end",
     "merchant_name": "case when type='purchase' then 'Merchant ' || cast(k%25 as string) end",
     "merchant_country": "case when type='purchase' and k%7<>3 then case when k%9=0 then 'TR' else 'KZ' end end",
     "merchant_city": "case when type='purchase' then 'City ' || cast(k%6 as string) end",
@@ -121,11 +122,20 @@ SNAPSHOT_FIELDS = {
     "first_loan_opened": f"case when c_custkey%3=1 then {START} + (c_custkey*17%350)*{DAY} end",
     "job_start_day": "cast(15000 + c_custkey*13%4500 as bigint)",
     "job_recorded": f"{START} + (c_custkey*7%340)*{DAY}",
+    "family_status": "case c_custkey%4 when 0 then 'married' when 1 then 'single' when 2 then 'divorced' end",
+    "education": "case when c_custkey%5<3 then 'higher' else 'secondary' end",
+    "housing_type": "case when c_custkey%6<>4 then case when c_custkey%2=0 then 'own' else 'rent' end end",
+    "industry": "'Industry ' || cast(c_custkey%9 as string)",
+    "income_day": "cast(1 + c_custkey%28 as bigint)",
+    "children": "cast(c_custkey%4 as bigint)",
+    "first_card_activated": f"case when c_custkey%5<>2 then {START} + (c_custkey*19%345)*{DAY} end",
+    "first_deposit_opened": f"case when c_custkey%4=3 then {START} + (c_custkey*23%340)*{DAY} end",
 }
 _snapshot_select = ", ".join(f"{x} as {n}" for n, x in SNAPSHOT_FIELDS.items())
 SNAPSHOT = f"snap as (select c_custkey, c_nationkey, {_snapshot_select} from customer)"
 
 MILESTONES = ("bank_registered", "app_registered", "first_loan_opened")
+ALL_MILESTONES = ("bank_registered", "app_registered", "first_card_activated", "first_loan_opened", "first_deposit_opened")
 
 # Product families; a premium product is a debit card of the top tier.
 FAMILY = """case product_id when 'P0' then 'debit_card' when 'P1' then 'debit_card' when 'P2' then 'credit_card'
@@ -137,18 +147,9 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-# The plans of derived tapes by session and folder: building one means analysing a hundred expressions.
-_TAPES: dict[tuple[str, str], DataFrame] = {}
-
-
 def tape(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """The derived tape: id, client, t (microseconds), type and its fields; of a stream when one is given."""
-    if events is not None:
-        return _tape(spark, sf, events)
-    known = (spark.sparkContext.applicationId, sf)
-    if known not in _TAPES:
-        _TAPES[known] = _tape(spark, sf, None)
-    return _TAPES[known]
+    return _tape(spark, sf, events)
 
 
 def _tape(spark: SparkSession, sf: str, events: DataFrame | None) -> DataFrame:
@@ -174,7 +175,7 @@ def _tape(spark: SparkSession, sf: str, events: DataFrame | None) -> DataFrame:
     return typed.select(F.inline(F.array(F.struct(*typed.columns))))
 
 
-def snapshot(spark: SparkSession, sf: str) -> DataFrame:
+def snapshot(spark: SparkSession, sf: str, milestones: tuple[str, ...] = MILESTONES) -> DataFrame:
     """One row per client: attributes, dated milestones and employment as arrays of structs."""
     flat = read(spark, sf, "customer").selectExpr(
         "c_custkey", "c_nationkey", *[f"{x} as {n}" for n, x in SNAPSHOT_FIELDS.items()]
@@ -182,7 +183,7 @@ def snapshot(spark: SparkSession, sf: str) -> DataFrame:
     items = F.array(
         *[
             F.struct(F.lit(m).alias("type"), F.col(m).alias("t"), F.concat(F.lit(f"{m}-"), "client").alias("source_id"))
-            for m in MILESTONES
+            for m in milestones
         ]
     )
     return flat.select(

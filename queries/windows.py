@@ -587,7 +587,7 @@ H7_SQL = with_tape(
     f"""select h.id, h.client, h.t, (h.type='transfer_out')::int as is_transfer, (coalesce(h.reason,'')='own_transfer')::int as own_transfer,
  coalesce(h.channel,'NA') as channel, coalesce(h.is_online,false)::int as is_online, h.amount, round(ln(1 + h.amount::double), 9) as log_amount,
  (coalesce(h.original_currency,'KZT')<>'KZT')::int as foreign_currency, coalesce(h.merchant_country,'NA') as merchant_country,
- (coalesce(h.merchant_country,'KZ')<>'KZ')::int as is_foreign, coalesce(h.mcc,'NA') as mcc, coalesce(h.merchant_name,'NA') as merchant_name,
+ (coalesce(h.merchant_country,'KZ')<>'KZ')::int as is_foreign, coalesce(h.mcc,'NA') as mcc, coalesce(h.merchant_category,'NA') as merchant_category, coalesce(h.merchant_name,'NA') as merchant_name,
  hour({_local})::int as hour, (isodow({_local}) - 1)::int as weekday, day({_local})::int as day_of_month,
  {", ".join(f"h.txn_count_{w}, h.txn_sum_{w}" for w in FRAMES)},
  h.declined_count_1h, h.declined_count_1d, h.login_count_1h, h.login_count_1d, h.login_failed_1h, h.login_failed_1d,

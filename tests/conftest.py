@@ -30,7 +30,7 @@ def tape(spark):
 
     fields = {
         "id": "bigint", "client": "string", "t": "bigint", "type": "string", "source": "string", "operation": "string",
-        "status": "string", "reason": "string", "channel": "string", "amount": "bigint", "mcc": "string",
+        "status": "string", "reason": "string", "channel": "string", "amount": "bigint", "mcc": "string", "merchant_category": "string",
         "merchant_name": "string", "merchant_country": "string", "merchant_city": "string", "is_online": "boolean",
         "original_currency": "string", "counterparty": "string", "account_id": "string", "balance_after": "bigint",
         "contract_id": "string", "card_id": "string", "product_id": "string", "session_id": "string",
