@@ -13,6 +13,11 @@ ASCII = r"^[\x00-\x7F]*$"
 ASCII_SPACE = r"[\x09-\x0D\x1C-\x20]+"
 
 
+def is_blank(text: Column) -> Column:
+    """Null, empty or only white space, Unicode white space included."""
+    return text.isNull() | text.rlike(r"(?U)^\s*$")
+
+
 def normalize_ascii(text: Column) -> Column:
     """The rule for text that has only ASCII characters, inside the JVM."""
     collapsed = F.lower(F.regexp_replace(text, ASCII_SPACE, " "))
@@ -32,10 +37,7 @@ def normalize_any(text: pd.Series) -> pd.Series:
 
 
 def normalized(rows: DataFrame, column: str, name: str = "normalized") -> DataFrame:
-    """Add the normalised text. Each distinct text is normalised once and joined back;
-    only texts beyond ASCII leave the JVM."""
-    texts = rows.select(F.col(column).alias("_text")).filter("_text is not null").distinct()
-    plain = texts.filter(F.col("_text").rlike(ASCII)).select("_text", normalize_ascii(F.col("_text")).alias(name))
-    other = texts.filter(~F.col("_text").rlike(ASCII)).select("_text", normalize_any(F.col("_text")).alias(name))
-    found = plain.unionByName(other)
-    return rows.join(found, rows[column] == found["_text"], "left").drop("_text")
+    """Add the normalised text, row by row; only texts beyond ASCII leave the JVM."""
+    text = F.col(column)
+    plain = text.rlike(ASCII)
+    return rows.withColumn(name, F.when(plain, normalize_ascii(text)).otherwise(normalize_any(F.when(~plain, text))))

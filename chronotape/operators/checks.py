@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronotape.functions.hashing import row_line, sha_hex, sha_number
+from chronotape.functions.text import is_blank
 from chronotape.plans.split import number_rows, plan_split, previous
 from chronotape.sources.raw import event_type_of, parse_time, payload_map, reads_as_declared
 
@@ -74,7 +75,7 @@ def row_count_mismatch(tables: dict[str, DataFrame], manifest: DataFrame) -> Dat
 
 def blank_client(raw: DataFrame, column: str = "client_id") -> DataFrame:
     """Rows whose client is null or only white space."""
-    return raw.filter(F.col(column).isNull() | (F.trim(F.col(column)) == ""))
+    return raw.filter(is_blank(F.col(column)))
 
 
 def missing_envelope(raw: DataFrame, required: Sequence[str], row: str = "id") -> DataFrame:
@@ -93,7 +94,7 @@ def unreadable_payloads(raw: DataFrame, row: str = "id") -> DataFrame:
     """Rows whose payload names no event type, with the reason."""
     parsed = F.try_parse_json(F.col("payload"))
     shape = F.schema_of_variant(parsed)
-    blank = F.col("payload").isNull() | (F.trim(F.col("payload")) == "")
+    blank = is_blank(F.col("payload"))
     reason = (
         F.when(blank, "empty")
         .when(parsed.isNull(), "not json")

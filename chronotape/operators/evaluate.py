@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotape.functions.hashing import uniform
+from chronotape.plans.shared import written
 from chronotape.plans.split import Measure, match, number_rows, plan_split, quantiles, running
 
 EPSILON = 2.220446049250313e-16  # float64 machine epsilon, the clip of the log-loss
@@ -125,24 +126,29 @@ def copies(draw: Column) -> Column:
     return n.cast("bigint")
 
 
-def paired_draws(rows: DataFrame, row: str, draws: int, seed: str = "0") -> DataFrame:
+#: Resamples of a paired comparison unless a caller asks for another number.
+DRAWS = 1000
+
+
+def paired_draws(rows: DataFrame, row: str, draws: int = DRAWS, seed: str = "0") -> DataFrame:
     """ROC-AUC and PR-AUC of two scores (score_a, score_b) over the same bootstrap draws.
 
-    Each draw gives a row a Poisson number of copies by a hash of (draw, row);
-    rows are summed per (draw, score) before anything is ordered.
+    Each draw gives a row a Poisson number of copies by a hash of (draw, row). Both scores go through one
+    pass: rows are summed per (draw, score) before anything moves, and all metrics read those counts.
     """
     drawn = rows.select(
         row, "y", "score_a", "score_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
     ).withColumn("w", copies(uniform(seed, F.col("draw"), F.col(row)))).filter("w > 0")
-    out = None
-    for name in ("a", "b"):
-        counts = score_counts(drawn, ["draw"], F.col("w"), f"score_{name}")
-        area = auc(counts, ["draw"]).select("draw", F.col("auc").alias(f"auc_{name}"))
-        precision = average_precision(counts, ["draw"]).select("draw", F.col("pr_auc").alias(f"pr_auc_{name}"))
-        one = area.join(precision, "draw")
-        out = one if out is None else out.join(one, "draw")
+    both = F.array(*[F.struct(F.lit(n).alias("which"), F.col(f"score_{n}").alias("score")) for n in ("a", "b")])
+    one = drawn.select("draw", "y", "w", F.explode(both).alias("x")).select("draw", "y", "w", "x.*")
+    keys = ["draw", "which"]
+    counts = written(score_counts(one, keys, F.col("w")), "draws")
+    found = auc(counts, keys).join(average_precision(counts, keys), keys)
+    wide = found.groupBy("draw").agg(
+        *[F.max(F.when(F.col("which") == n, F.col(m))).alias(f"{m}_{n}") for m in ("auc", "pr_auc") for n in ("a", "b")]
+    )
     # A draw without both classes measures nothing.
-    return out.filter("auc_a is not null and auc_b is not null")
+    return wide.filter("auc_a is not null and auc_b is not null")
 
 
 def paired_summary(drawn: DataFrame, metric: str) -> DataFrame:

@@ -79,8 +79,15 @@ def proven_run(top: list[Pair], complete: bool, wanted: int) -> list[Pair]:
     return chosen
 
 
+def merges_for(words: DataFrame, pieces: int) -> int:
+    """Merges that a model of `pieces` pieces has room for next to its letters and the 256 bytes."""
+    return max(0, pieces - 256 - alphabet(words).count())
+
+
 def learn_merges(words: DataFrame, merges: int, min_frequency: int = 2) -> list[Pair]:
-    """The first `merges` merges (left, right, count). Only pair counts of a round reach the driver, at most TOP_PAIRS."""
+    """The first `merges` merges (left, right, count), fewer when no pair reaches `min_frequency` any more.
+
+    Only pair counts of a round reach the driver, at most TOP_PAIRS."""
     base = written(words.select("n", _wrapped(F.col("word")).alias("wrapped")), "words")
     learned: list[Pair] = []
     pending: list[Pair] = []
@@ -116,12 +123,9 @@ class Pieces:
     places: dict[str, int]
 
 
-MAX_ALPHABET = 200_000
-
-
 def freeze(words: DataFrame, learned: list[Pair]) -> Pieces:
     """Letters in text order, merged pieces as learned, then the 256 bytes. Unicode bounds the letters."""
-    letters = [r["piece"] for r in alphabet(words).orderBy("piece").limit(MAX_ALPHABET).collect()]
+    letters = [r["piece"] for r in alphabet(words).orderBy("piece").collect()]
     names = [*letters, *(a + b for a, b, _ in learned), *(BYTE_PIECE.format(i) for i in range(256))]
     places: dict[str, int] = {}
     for name in names:

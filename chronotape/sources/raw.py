@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronotape.functions.text import is_blank
+
 ENVELOPE = T.StructType([T.StructField(n, T.StringType()) for n in ("client_id", "event_time", "source", "payload")])
 
 MANIFEST = T.StructType(
@@ -86,7 +88,8 @@ def typed_payload(raw: DataFrame, catalogue: Catalogue) -> DataFrame:
                 raise ValueError(f"field {field} is declared both {known} and {dtype}")
             kinds.append(kind)
     rows = raw.withColumns({"_m": payload_map(F.col("payload"))})
-    rows = rows.withColumn("type", F.try_variant_get(F.element_at("_m", F.lit("type")), "$", "string"))
+    named = F.element_at("_m", F.lit("type"))
+    rows = rows.withColumn("type", F.when(reads_as(named, "str"), F.try_variant_get(named, "$", "string")))
     columns = []
     for field, (dtype, kinds) in declared.items():
         value = F.element_at("_m", F.lit(field))
@@ -141,5 +144,4 @@ def read_jsonl(lines: DataFrame, schema: str, column: str = "value") -> DataFram
         "_p", F.from_json(column, f"{schema}, malformed string", {"columnNameOfCorruptRecord": "malformed"})
     )
     rest = [c for c in lines.columns if c != column]
-    empty = F.trim(F.col(column)) == ""
-    return parsed.filter(~empty).select(*rest, "_p.*")
+    return parsed.filter(~is_blank(F.col(column))).select(*rest, "_p.*")

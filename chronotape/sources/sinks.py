@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -11,13 +10,10 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
-def write_by_source(df: DataFrame, path: str, column: str = "source", salt: int = 16) -> None:
-    """A folder per source. Rows are spread by (source, salt) first, so a source that holds most of
-    the rows is written by many tasks and a small one by few files."""
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c != column]), F.lit(salt)))
-    spread.repartition(column, "_salt").drop("_salt").write.partitionBy(column).option(
-        "compression", "zstd"
-    ).parquet(path)
+def write_by_source(df: DataFrame, path: str, column: str = "source") -> None:
+    """A folder per source. Rows are rebalanced by source: adaptive execution cuts a source that holds most of
+    the rows into tasks of even size, as many as it needs, and puts small ones together."""
+    df.hint("rebalance", column).write.partitionBy(column).option("compression", "zstd").parquet(path)
 
 
 def write_report(df: DataFrame, path: str, kind: str) -> None:

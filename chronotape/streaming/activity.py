@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronotape.functions.clock import DAY
+from chronotape.functions.text import is_blank
 from chronotape.plans.shared import new_path
 from chronotape.sources.raw import event_type_of, parse_time
 
@@ -92,9 +93,8 @@ def silence(events: DataFrame, days: int, late: str) -> DataFrame:
 
 def problem_of(known_sources: list[str]) -> Column:
     """The first broken rule of an envelope row; null for a good one."""
-    client = F.col("client_id")
     return (
-        F.when(client.isNull() | (F.trim(client) == ""), "blank client")
+        F.when(is_blank(F.col("client_id")), "blank client")
         .when(parse_time(F.col("event_time")).isNull(), "unreadable time")
         .when(~F.coalesce(F.col("source").isin(*known_sources), F.lit(False)), "unknown source")
         .when(event_type_of(F.col("payload")).isNull(), "unreadable payload")

@@ -180,7 +180,7 @@ def e5(spark, sf):
     return ev.best_threshold(ev.score_counts(predicted(spark, sf)))
 
 
-DRAWS = 40
+DRAWS = ev.DRAWS
 DU = "cast('0x' || substr(sha256(concat_ws(chr(31), '0', cast(draw as varchar), cast(doc_id as varchar))), 1, 13) as bigint) / 4503599627370496.0"
 WSQL = "case " + " ".join(f"when u < {edge!r}::double then {i}" for i, edge in enumerate(ev.POISSON_ONE)) + f" else {len(ev.POISSON_ONE)} end"
 
