@@ -24,7 +24,7 @@ from chronotape.llm.rows import fresh
 from chronotape.plans.shared import written
 
 #: A word that makes up this share of all words, or more, is folded once and looked up: 1 / share words at most.
-COMMON_SHARE = 1 / (1 << 21)
+COMMON_SHARE = 1 / (1 << 20)
 #: Common words have at most so many bytes, so their table has a fixed bound, and a fold few steps.
 COMMON_BYTES = 64
 #: Rare words that a task remembers.
@@ -196,9 +196,13 @@ def common_words(docs: DataFrame, ranks: Ranks, pattern: str) -> dict[str, bytes
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     common = counts.where((F.col("n") >= total * COMMON_SHARE) & (F.octet_length("word") <= COMMON_BYTES))
     coded = common.select("word", bound(ranks.pairs[0], lambda t: folded(F.col("word"), t, ranks)).alias("letters"))
-    found = {row["word"]: row["letters"] for row in coded.collect()}
-    # As the library does, a word that is a piece is that piece.
-    return {w: array("i", map(rank_of, ranks.whole.get(w, letters))).tobytes() for w, letters in found.items()}
+    table = coded.toArrow()
+    out: dict[str, bytes] = {}
+    for batch in table.to_batches(max_chunksize=1024):
+        for word, letters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            # As the library does, a word that is a piece is that piece.
+            out[word] = array("i", map(rank_of, ranks.whole.get(word, letters))).tobytes()
+    return out
 
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, column: str | None = None) -> DataFrame:
