@@ -12,8 +12,8 @@ from chronotape.plans.shared import written
 
 #: Relative width of a bucket of the sketch: a quantile is right to half of it.
 GAMMA = 1.02
-#: A language and source with fewer documents takes the merged sketch of its language.
-LEAST_DOCUMENTS = 100
+#: Documents that the sketch of the next wider group counts for: of the corpus in a language, of the language in a source.
+PRIOR = 100.0
 #: How many spreads (third less first quartile) beyond a quartile a document may stand.
 REACH = 3.0
 #: metric -> (its value, its smallest spread, judged on both sides).
@@ -111,28 +111,77 @@ def sketches(measured: DataFrame) -> DataFrame:
     return values.groupBy("lang", "source", "metric", bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(cells: DataFrame, *groups: str) -> DataFrame:
-    """First and third quartile and the number of values of each (group, metric), merged from the cells."""
+def running(cells: DataFrame, *groups: str) -> DataFrame:
+    """The merged cells of each (group, metric): the count up to every bucket, and the whole count n."""
     merged = cells.groupBy(*groups, "metric", "bucket").agg(F.sum("n").alias("n"))
     keys = [F.col(g) for g in groups] + [F.col("metric")]
     up_to = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    ranked = merged.select(*groups, "metric", "bucket", F.sum("n").over(up_to).alias("up_to"), F.sum("n").over(whole).alias("n"))
-    value = F.when(F.col("bucket") > -1_000_000, F.pow(F.lit(GAMMA), F.col("bucket") - 0.5)).otherwise(F.lit(0.0))
-    at = lambda q: F.min(F.when(F.col("up_to") >= q * F.col("n"), value))
-    return ranked.groupBy(*groups, "metric").agg(F.max("n").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return merged.select(*groups, "metric", "bucket", F.sum("n").over(up_to).alias("up_to"), F.sum("n").over(whole).alias("n"))
 
 
-def thresholds(cells: DataFrame) -> DataFrame:
-    """One row per (lang, source): the bounds of every metric; null where its language has too few documents."""
-    own, language = quartiles(cells, "lang", "source"), quartiles(cells, "lang")
-    wide = lambda c: [F.col(c).alias(f"{c}_all")]
-    both = own.join(
-        language.select(F.col("lang").alias("lang_all"), F.col("metric").alias("metric_all"), *wide("n"), *wide("q1"), *wide("q3")),
-        F.col("lang").eqNullSafe(F.col("lang_all")) & (F.col("metric") == F.col("metric_all")),
+def bucket_value(bucket: Column) -> Column:
+    return F.when(bucket > -1_000_000, F.pow(F.lit(GAMMA), bucket - 0.5)).otherwise(F.lit(0.0))
+
+
+def quartiles(cells: DataFrame, *groups: str) -> DataFrame:
+    """First and third quartile and the number of values of each (group, metric), merged from the cells."""
+    at = lambda q: F.min(F.when(F.col("up_to") >= q * F.col("n"), bucket_value(F.col("bucket"))))
+    return running(cells, *groups).groupBy(*groups, "metric").agg(F.max("n").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+
+
+def language_cells(cells: DataFrame) -> DataFrame:
+    """The cells of each language, with the sketch of the whole corpus added at the weight of PRIOR documents.
+
+    Rows are languages times buckets, and a metric has some thousand buckets at most.
+    """
+    corpus = cells.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("metric"))
+    prior = cells.select("lang").distinct().crossJoin(F.broadcast(corpus.select("metric", "bucket", (PRIOR * share).alias("prior"))))
+    own = cells.select("lang", "metric", "bucket", "n", F.lit(0.0).alias("prior"))
+    both = own.unionByName(prior.select("lang", "metric", "bucket", F.lit(0).cast("bigint").alias("n"), "prior"))
+    return both.groupBy("lang", "metric", "bucket").agg((F.sum("n") + F.sum("prior")).alias("n"))
+
+
+def bucket_reaching(wider: Column, share: Column) -> Column:
+    """The first bucket of the array (bucket, share up to it) that reaches a share, by halving; null beyond the last."""
+    steps = F.array(*[F.lit(1 << k) for k in range(15, -1, -1)])
+    below = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(wider, at + step - 1)["share"] < share, at + step).otherwise(at)
     )
-    enough = lambda c: F.when(F.col("n") >= LEAST_DOCUMENTS, F.col(c)).when(F.col("n_all") >= LEAST_DOCUMENTS, F.col(f"{c}_all"))
-    chosen = both.select("lang", "source", "metric", enough("q1").alias("q1"), enough("q3").alias("q3"))
+    return F.get(wider, below)["bucket"]
+
+
+def mixed_quartiles(cells: DataFrame) -> DataFrame:
+    """Quartiles of each (lang, source, metric) whose sketch has its language's added at the weight of PRIOR documents.
+
+    The language's sketch has the corpus's added in the same way, so every group has quartiles, and they move
+    from the corpus's to its own as it grows. Between two own buckets the own count stands still, and the
+    language's sketch says where the rest is reached: the quartile is the least of these places.
+    """
+    listed = lambda *fields: F.sort_array(F.collect_list(F.struct(*fields)))
+    own = running(cells, "lang", "source").groupBy("lang", "source", "metric").agg(
+        F.max("n").alias("n"), listed("bucket", "up_to").alias("own")
+    )
+    wider = running(language_cells(cells), "lang").groupBy(F.col("lang").alias("lang_all"), F.col("metric").alias("metric_all")).agg(
+        listed("bucket", (F.col("up_to") / F.col("n")).alias("share")).alias("wider")
+    )
+    both = own.join(wider, F.col("lang").eqNullSafe(F.col("lang_all")) & (F.col("metric") == F.col("metric_all")))
+    first = F.struct(F.lit(-2_000_000).alias("bucket"), F.lit(0).cast("bigint").alias("up_to"))
+
+    def at(q: float) -> Column:
+        def place(cell: Column) -> Column:
+            rest = bucket_reaching(F.col("wider"), (q * (F.col("n") + PRIOR) - cell["up_to"]) / PRIOR)
+            return F.when(rest.isNotNull(), F.greatest(cell["bucket"], rest))
+
+        return bucket_value(F.array_min(F.transform(F.concat(F.array(first), F.col("own")), place)))
+
+    return both.select("lang", "source", "metric", at(0.25).alias("q1"), at(0.75).alias("q3"))
+
+
+def thresholds(cells: DataFrame) -> DataFrame:
+    """One row per (lang, source): the bounds of every metric."""
+    chosen = mixed_quartiles(cells)
     bounds = []
     for name, (_, spread, two_sided) in METRICS.items():
         reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(spread))
@@ -148,8 +197,8 @@ def judged(docs: DataFrame) -> DataFrame:
 
     A document is kept when it passes the base rules and each of its rates lies within the bounds of its
     language and source: REACH spreads beyond the quartiles that the sketches of all documents give. A group
-    of few documents is judged by its language, a rare language by the base rules alone; null languages and
-    sources are values of their own. Blank and null texts have no words and fail the base rules. An empty
+    of few documents leans on its language and a rare language on the corpus; null languages and sources are
+    values of their own. Blank and null texts have no words and fail the base rules. An empty
     table gives an empty result; other columns are not read; equal rows get equal verdicts.
     """
     measured = written(measures(docs), "measures")

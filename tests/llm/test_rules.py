@@ -66,6 +66,52 @@ def test_sketch_quartiles_are_close(spark):
     assert abs(got["q3"] / want[2249] - 1) < 0.02
 
 
+def prose_rows(start, n, lang, source, junk=lambda i: False, rate=1.0):
+    """Clean texts of 60 to 120 invented words; those that `junk` names have symbols behind a share of their words."""
+    rng = random.Random(start)
+    rows = []
+    for i in range(n):
+        words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(rng.randrange(60, 120))]
+        if junk(i):
+            words = [w + "#" if rng.random() < rate else w for w in words]
+        rows.append((start + i, " ".join(words), lang, source))
+    return rows
+
+
+def test_rare_language_has_bounds(table):
+    rare = prose_rows(5000, 8, "de", "s9", junk=lambda i: i % 4 == 0)
+    alone = prose_rows(6000, 1, None, None, junk=lambda i: True, rate=0.6)
+    rows = prose_rows(0, 150, "en", "s1") + rare + alone
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judged(table(rows)).collect()}
+    assert {i for i, k in kept.items() if not k} == {5000, 5004, 6000}
+
+
+def test_every_group_has_quartiles_of_the_mixture(spark):
+    rng = random.Random(6)
+    groups = {("en", "a"): 90, ("en", "b"): 3, ("de", "a"): 1, (None, None): 7}
+    data = [(*g, "symbol_rate", rng.choice([-1_000_000, *range(k % 5, 40)]), 1) for k, (g, n) in enumerate(groups.items()) for _ in range(n)]
+    cells = spark.createDataFrame(data, "lang string, source string, metric string, bucket int, n bigint")
+
+    def merged(rows, wider=None):
+        counts = Counter(b for _, _, _, b, _ in rows)
+        return {b: counts[b] + quality_rules.PRIOR * wider.get(b, 0) / sum(wider.values()) for b in {*counts, *wider}} if wider else counts
+
+    def quartile(sketch, q):
+        total, up_to = sum(sketch.values()), 0
+        for b in sorted(sketch):
+            up_to += sketch[b]
+            if up_to >= q * total - 1e-9:
+                return 0.0 if b == -1_000_000 else quality_rules.GAMMA ** (b - 0.5)
+
+    got = {(r["lang"], r["source"]): r for r in quality_rules.mixed_quartiles(cells).collect()}
+    assert set(got) == set(groups)
+    for lang, source in groups:
+        wider = merged([d for d in data if d[0] == lang], merged(data))
+        want = merged([d for d in data if d[:2] == (lang, source)], wider)
+        for name, q in (("q1", 0.25), ("q3", 0.75)):
+            assert abs(got[lang, source][name] - quartile(want, q)) < 1e-9
+
+
 def test_filter_keeps_whole_rows(table, odd_rows, clashing):
     docs = clashing(table(odd_rows + rule_rows()))
     out = quality_rules.filter_quality(docs)
