@@ -14,7 +14,7 @@ from chronotape.plans.shared import written
 GAMMA = 1.02
 #: Documents that the sketch of the next wider group counts for: of the corpus in a language, of the language in a source.
 PRIOR = 100.0
-#: How many spreads (third less first quartile) beyond a quartile a document may stand.
+#: How many spreads beyond a quartile a document may stand.
 REACH = 3.0
 #: metric -> (its value, its smallest spread, judged on both sides).
 METRICS: dict[str, tuple[str, float, bool]] = {
@@ -75,6 +75,7 @@ def measures(docs: DataFrame) -> DataFrame:
             F.col("source").cast("string").alias("source"),
             key_id.alias("key_id"),
             key_text.alias("key_text"),
+            F.xxhash64(text).alias("text_hash"),
             F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
             F.length(F.regexp_replace(text, SPACE, "")).alias("word_chars"),
             F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).alias("n_symbols"),
@@ -86,6 +87,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "source",
             "key_id",
             "key_text",
+            "text_hash",
             F.size("words").cast("bigint").alias("n_words"),
             F.col("word_chars").cast("bigint").alias("word_chars"),
             F.col("n_symbols").cast("bigint").alias("n_symbols"),
@@ -100,13 +102,16 @@ def measures(docs: DataFrame) -> DataFrame:
 def sketches(measured: DataFrame) -> DataFrame:
     """Counts per (lang, source, metric, bucket): sketches with relative error, merged by adding counts.
 
+    A text counts once in its language and source, however many copies it has, and only when it passes the base rules.
     Bucket b > 0 or < 0 holds the values up to GAMMA ** b and above the next lower power; a value of 0 has
     its own bucket. Counts are whole numbers, so merging in any order gives the same sketch.
     """
     one = F.explode(
         F.array(*[F.struct(F.lit(name).alias("metric"), F.expr(value).alias("value")) for name, (value, _, _) in METRICS.items()])
     )
-    values = measured.where("n_words > 0").select("lang", "source", one.alias("m")).select("lang", "source", "m.*")
+    counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    texts = measured.where(~F.col("base_failed")).groupBy("lang", "source", "text_hash").agg(*[F.min(c).alias(c) for c in counts])
+    values = texts.select("lang", "source", one.alias("m")).select("lang", "source", "m.*")
     bucket = F.when(F.col("value") > 0, F.ceil(F.log("value") / F.log(F.lit(GAMMA)))).otherwise(F.lit(-1_000_000))
     return values.groupBy("lang", "source", "metric", bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -124,10 +129,13 @@ def bucket_value(bucket: Column) -> Column:
     return F.when(bucket > -1_000_000, F.pow(F.lit(GAMMA), bucket - 0.5)).otherwise(F.lit(0.0))
 
 
+QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+
+
 def quartiles(cells: DataFrame, *groups: str) -> DataFrame:
-    """First and third quartile and the number of values of each (group, metric), merged from the cells."""
+    """The quartiles and the number of values of each (group, metric), merged from the cells."""
     at = lambda q: F.min(F.when(F.col("up_to") >= q * F.col("n"), bucket_value(F.col("bucket"))))
-    return running(cells, *groups).groupBy(*groups, "metric").agg(F.max("n").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return running(cells, *groups).groupBy(*groups, "metric").agg(F.max("n").alias("n"), *[at(q).alias(name) for name, q in QUARTILES.items()])
 
 
 def language_cells(cells: DataFrame) -> DataFrame:
@@ -164,7 +172,8 @@ def mixed_quartiles(cells: DataFrame) -> DataFrame:
         F.max("n").alias("n"), listed("bucket", "up_to").alias("own")
     )
     wider = running(language_cells(cells), "lang").groupBy(F.col("lang").alias("lang_all"), F.col("metric").alias("metric_all")).agg(
-        listed("bucket", (F.col("up_to") / F.col("n")).alias("share")).alias("wider")
+        listed("bucket", (F.col("up_to") / F.col("n")).alias("share")).alias("wider"),
+        *[F.min(F.when(F.col("up_to") >= q * F.col("n"), bucket_value(F.col("bucket")))).alias(f"{name}_all") for name, q in QUARTILES.items()],
     )
     both = own.join(wider, F.col("lang").eqNullSafe(F.col("lang_all")) & (F.col("metric") == F.col("metric_all")))
     first = F.struct(F.lit(-2_000_000).alias("bucket"), F.lit(0).cast("bigint").alias("up_to"))
@@ -176,19 +185,26 @@ def mixed_quartiles(cells: DataFrame) -> DataFrame:
 
         return bucket_value(F.array_min(F.transform(F.concat(F.array(first), F.col("own")), place)))
 
-    return both.select("lang", "source", "metric", at(0.25).alias("q1"), at(0.75).alias("q3"))
+    found = [at(q).alias(name) for name, q in QUARTILES.items()]
+    return both.select("lang", "source", "metric", *found, *[f"{name}_all" for name in QUARTILES])
 
 
 def thresholds(cells: DataFrame) -> DataFrame:
-    """One row per (lang, source): the bounds of every metric."""
+    """One row per (lang, source): the bounds of every metric.
+
+    The spread of a language is twice the lesser distance of its median from a quartile: junk on one side
+    leaves it as it is up to half of all texts. A group's quartiles count as far as that spread from its own median, and
+    its reach is REACH such spreads at most, so junk in a group widens its bounds only by as much as its language allows.
+    """
     chosen = mixed_quartiles(cells)
     bounds = []
     for name, (_, spread, two_sided) in METRICS.items():
-        reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(spread))
+        robust = F.greatest(F.lit(spread), 2 * F.least(F.col("q2_all") - F.col("q1_all"), F.col("q3_all") - F.col("q2_all")))
+        reach = REACH * F.greatest(F.lit(spread), F.least(F.col("q3") - F.col("q1"), robust))
         mine = F.col("metric") == name
-        bounds.append(F.max(F.when(mine, F.col("q3") + reach)).alias(f"{name}_most"))
+        bounds.append(F.max(F.when(mine, F.least(F.col("q3"), F.col("q2") + robust) + reach)).alias(f"{name}_most"))
         if two_sided:
-            bounds.append(F.max(F.when(mine, F.col("q1") - reach)).alias(f"{name}_least"))
+            bounds.append(F.max(F.when(mine, F.greatest(F.col("q1"), F.col("q2") - robust) - reach)).alias(f"{name}_least"))
     return chosen.groupBy("lang", "source").agg(*bounds)
 
 
@@ -196,7 +212,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """For every row: doc_id, its counts, base_failed, kept, and its row key.
 
     A document is kept when it passes the base rules and each of its rates lies within the bounds of its
-    language and source: REACH spreads beyond the quartiles that the sketches of all documents give. A group
+    language and source: REACH spreads beyond the quartiles that the sketches of all distinct texts give. A group
     of few documents leans on its language and a rare language on the corpus; null languages and sources are
     values of their own. Blank and null texts have no words and fail the base rules. An empty
     table gives an empty result; other columns are not read; equal rows get equal verdicts.

@@ -86,6 +86,29 @@ def test_rare_language_has_bounds(table):
     assert {i for i, k in kept.items() if not k} == {5000, 5004, 6000}
 
 
+def test_junk_of_copies_or_of_distinct_texts_sets_no_bounds(table):
+    clean = prose_rows(0, 240, "en", "s1") + prose_rows(10_000, 240, "en", "s2") + prose_rows(20_000, 240, "en", "s3")
+    milder = prose_rows(30_000, 12, "en", "s1", junk=lambda i: True, rate=0.6)
+    copied = [(40_000 + i, prose_rows(7, 1, "en", "s1", junk=lambda i: True, rate=0.8)[0][1], "en", "s1") for i in range(160)]
+    distinct = prose_rows(50_000, 160, "en", "s2", junk=lambda i: True, rate=0.8)
+    # Half of its lines repeat: a rate in [0, 1] that a wide bound would never reach.
+    lines = [[w for w in t.split(" ")] for _, t, *_ in prose_rows(60_000, 160, "en", "s3")]
+    repeated = [(60_000 + i, "\n".join(w for w in words for _ in range(2)), "en", "s3") for i, words in enumerate(lines)]
+    rows = clean + milder + copied + distinct + repeated
+    judged = quality_rules.judged(table(rows)).collect()
+    kept = {r["doc_id"]: r["kept"] for r in judged}
+    assert not any(r["base_failed"] for r in judged)
+    assert {i for i, k in kept.items() if k} == {i for i, *_ in clean}
+
+
+def test_copies_do_not_move_the_bounds(table):
+    rows = prose_rows(0, 60, "en", "s1", junk=lambda i: i % 6 == 0, rate=0.3)
+    failing = [(9000 + i, "a b c d # " * 40, "en", "s1") for i in range(50)]
+    more = rows + failing + [(1000 + i, rows[0][1], "en", "s1") for i in range(90)]
+    bounds = [quality_rules.thresholds(quality_rules.sketches(quality_rules.measures(table(x)).cache())).first() for x in (rows, more)]
+    assert bounds[0] == bounds[1]
+
+
 def test_every_group_has_quartiles_of_the_mixture(spark):
     rng = random.Random(6)
     groups = {("en", "a"): 90, ("en", "b"): 3, ("de", "a"): 1, (None, None): 7}
@@ -108,7 +131,7 @@ def test_every_group_has_quartiles_of_the_mixture(spark):
     for lang, source in groups:
         wider = merged([d for d in data if d[0] == lang], merged(data))
         want = merged([d for d in data if d[:2] == (lang, source)], wider)
-        for name, q in (("q1", 0.25), ("q3", 0.75)):
+        for name, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)):
             assert abs(got[lang, source][name] - quartile(want, q)) < 1e-9
 
 
