@@ -68,18 +68,24 @@ def probe(
 ) -> tuple[DataFrame, float, float]:
     """A logistic head on vectors: scores of `others`, the chosen strength, the threshold from out-of-fold scores."""
     ready = lambda df: df.withColumn("features", array_to_vector(F.col(vector)))
-    rows = ready(train)
+    return fitted_head(ready(train), ready(others), row, strengths)
+
+
+def fitted_head(
+    rows: DataFrame, others: DataFrame, row: str, strengths: Sequence[float] = STRENGTHS
+) -> tuple[DataFrame, float, float]:
+    """The probe on a `features` column."""
     strength, _, out_of_fold = choose_strength(rows, row, strengths)
     threshold = best_threshold(score_counts(out_of_fold)).first()["threshold"]
     model = _head(strength, rows.count()).fit(rows)
-    return scored(model.transform(ready(others)), row), strength, threshold
+    return scored(model.transform(others), row), strength, threshold
 
 
 def mixed_features(numeric: Sequence[str], categorical: Sequence[str], one_hot: bool = False) -> list:
     """Stages that turn numeric and text columns into one vector; gaps take the median, unseen texts a class of their own."""
     filled = [f"_f_{c}" for c in numeric]
     indexed = [f"_i_{c}" for c in categorical]
-    stages: list = [Imputer(inputCols=list(numeric), outputCols=filled, strategy="median")]
+    stages: list = [Imputer(inputCols=list(numeric), outputCols=filled, strategy="median")] if numeric else []
     inputs = list(filled)
     if categorical:
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"))
@@ -105,6 +111,13 @@ def prepared(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     )
 
 
+def empty_as_zero(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """Columns of the training rows without any value have no median: they become 0, as in hand features."""
+    counts = train.agg(*[F.count(c).alias(c) for c in numeric]).first()
+    empty = [c for c in numeric if counts[c] == 0]
+    return train.fillna(0.0, subset=empty) if empty else train
+
+
 def fill_hand_features(rows: DataFrame, numeric: Sequence[str], row: str) -> DataFrame:
     """Signed logs with the median in place of a gap, and a flag for it."""
     logged = rows.select(row, *[signed_log(F.col(c).cast("double")).alias(c) for c in numeric])
@@ -126,7 +139,7 @@ def boosted(
     held_share: float = 0.2,
 ) -> tuple[PipelineModel, float, int]:
     """Boosted trees: early stop and threshold on a held-out share, then a refit on all rows with that many trees."""
-    rows = prepared(holdout(train, row, held_share), numeric, categorical).cache()
+    rows = empty_as_zero(prepared(holdout(train, row, held_share), numeric, categorical), numeric).cache()
     features = mixed_features(numeric, categorical)
     gbt = GBTClassifier(
         labelCol="y", maxIter=trees, maxDepth=depth, maxBins=256, validationIndicatorCol="held_out", seed=7
