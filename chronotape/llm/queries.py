@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from chronotape.llm import (
+    bulk_packing,
     byte_bpe,
     exact_dedup,
     jaccard_join,
+    lexical_search,
     mixing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     sharding,
@@ -149,3 +152,54 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judged(read(spark, sf)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+RANKED = r"""with bare as (select doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+tf as (select doc_id, unnest(terms) as term, count(*) as tf from bare group by 1, 2),
+size as (select doc_id, len(terms) as n from bare where len(terms) > 0),
+total as (select count(*) as n_docs, sum(n)::bigint as l from size),
+weight as (select term, floor(1000 * ln((2.0 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, total group by term, n_docs),
+qry as (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+asked as (select item_id, term, count(*) as q from qry group by 1, 2),
+scored as (select item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l))))::bigint as score
+ from asked join weight using (term) join tf using (term) join size using (doc_id), total group by 1, 2),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20"""
+
+
+@query("op11_lexical_search", RANKED)
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf), read(spark, sf, "benchmark"), 20)
+
+
+@query("op12_bulk_packing")
+def op12_bulk_packing(spark: SparkSession, sf: str) -> DataFrame:
+    encoder = bulk_packing.library_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    cut, places = bulk_packing.pack(read(spark, sf), encoder, ROW_IDS, 0)
+    slim = cut.select("piece_no", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return slim.join(places, "piece_no").drop("piece_no")
+
+
+TRIE = """with plain as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+lists as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as l from plain group by 1),
+crc as (select conv_id, l, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 as h from lists),
+built as (select c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) as path
+ from crc c left join lists b on b.conv_id = c.conv_id - c.conv_id % 100),
+member as (select conv_id, len(path) as n, path[1:d] as prefix, d from (select conv_id, path, unnest(range(0, len(path) + 1)) as d from built)),
+node as (select d, prefix, min(conv_id) as conv_id, count(*) as n_convs, case when d > 0 then (count(*) - 1) * length(prefix[d].text) else 0 end as own,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = d), '')) as ends_sha256 from member group by 1, 2),
+child as (select d - 1 as d, prefix[1:d - 1] as prefix, count(*) as n_children from node where d > 0 group by 1, 2),
+up as (select unnest(range(0, n.d + 1)) as a, n.prefix as whole, own, n_children is null as leaf from node n left join child c on c.d = n.d and c.prefix = n.prefix),
+below as (select a as d, whole[1:a] as prefix, sum(own)::bigint as saved_tokens, sum(leaf::int)::bigint as n_leaves from up group by 1, 2)
+select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+from node n join below b on b.d = n.d and b.prefix = n.prefix left join child c on c.d = n.d and c.prefix = n.prefix
+left join node p on p.d = n.d - 1 and p.prefix = n.prefix[1:n.d - 1]"""
+
+
+@query("op13_prefix_trie", TRIE)
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns, members = prefix_trie.rebuilt(prefix_trie.numbered_turns(read(spark, sf, "conversations")), 100, 6)
+    return prefix_trie.trie(turns, members)
