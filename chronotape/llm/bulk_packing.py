@@ -75,6 +75,7 @@ def encoded(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[tupl
 
 def rounds(capacity: int) -> list[tuple[int, int]]:
     """Lengths (least, most) of each round, long ones first."""
+    # Pieces of a round with a count of their own: more than capacity / (q + 1), capacity / q at most.
     tops = {capacity // q for q in range(1, OWN_ROUNDS + 1)} - {0}
     while min(tops) > 1:
         tops.add(min(tops) // 2)
@@ -85,16 +86,16 @@ def rounds(capacity: int) -> list[tuple[int, int]]:
 def swept(lengths: DataFrame, slots: DataFrame) -> DataFrame:
     """Pieces and slots in one order of size, each with what its partition has before it.
 
-    Columns: size, kind, id, slot, part, and of the same partition: pieces and slots before this row, and
+    Columns: size, kind, id, slot, gap, part, and of the same partition: pieces and slots before this row, and
     lead, the most that slots were ahead of pieces where a piece stood, up to this row. A piece stands before
     the slots of its size, so all slots behind it take it.
     """
-    rows = lengths.select(F.col("length").alias("size"), F.lit(_PIECE).alias("kind"), F.col("piece_no").alias("id"), F.lit(0).alias("slot")).unionByName(
-        slots.select("size", F.lit(_SLOT).alias("kind"), F.col("sequence_id").alias("id"), "slot")
-    )
+    none = F.lit(0).cast("bigint")
+    rows = lengths.select(F.col("length").alias("size"), F.lit(_PIECE).alias("kind"), F.col("piece_no").alias("id"), F.lit(0).alias("slot"), none.alias("gap"))
+    rows = rows.unionByName(slots.select("size", F.lit(_SLOT).alias("kind"), F.col("sequence_id").alias("id"), "slot", "gap"))
     order = ["size", "kind", "id", "slot"]
     ranged = rows.repartitionByRange(shuffle_partitions(rows), *order).sortWithinPartitions(*order)
-    ranged = ranged.select(*order, F.spark_partition_id().alias("part"))
+    ranged = ranged.select(*order, "gap", F.spark_partition_id().alias("part"))
 
     def run(batches):
         n_pieces, n_slots, lead = 0, 0, _NEVER
@@ -111,120 +112,125 @@ def swept(lengths: DataFrame, slots: DataFrame) -> DataFrame:
                 names=[*batch.schema.names, "pieces_before", "slots_before", "lead"],
             )
 
-    return ranged.mapInArrow(run, "size bigint, kind int, id bigint, slot int, part int, pieces_before bigint, slots_before bigint, lead bigint")
+    return ranged.mapInArrow(
+        run, "size bigint, kind int, id bigint, slot int, gap bigint, part int, pieces_before bigint, slots_before bigint, lead bigint"
+    )
+
 
+def offsets(rows: DataFrame) -> tuple[DataFrame, int]:
+    """What all partitions before each one hold: (part, piece_offset, slot_offset, carry), and the number of slots.
+
+    The driver gets three numbers per partition.
+    """
+    is_piece = F.col("kind") == _PIECE
+    totals = rows.groupBy("part").agg(F.count_if(is_piece).alias("pieces"), F.count_if(~is_piece).alias("slots"), F.max("lead").alias("lead"))
+    out, n_pieces, n_slots, carry = [], 0, 0, _NEVER
+    for r in sorted(totals.collect()):
+        out.append((r["part"], n_pieces, n_slots, carry))
+        if r["lead"] != _NEVER:
+            carry = max(carry, r["lead"] + n_slots - n_pieces)
+        n_pieces, n_slots = n_pieces + r["pieces"], n_slots + r["slots"]
+    return rows.sparkSession.createDataFrame(out, "part int, piece_offset bigint, slot_offset bigint, carry bigint"), n_slots
 
-def matched(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of swept rows: pieces with their slot (piece_no, length, sequence_id, slot), and pieces that found none (piece_no, length, rank).
+
+def placed(rows: DataFrame, capacity: int) -> DataFrame:
+    """One row per piece or slot of swept rows: piece_no (null: a free slot), sequence_id, offset, length, gap, last.
 
     The i-th piece takes slot i + max(slots ahead of pieces, so far): its successor, or the slot after the
-    one that the piece before it took. Partitions add what earlier ones have; there is one row of totals for each.
+    one that the piece before it took. Pieces beyond the last slot open sequences, as many in each as fit,
+    named by their first piece. `gap` is what the sequence has left, on one row of each sequence (`last`).
     """
+    before, n_slots = offsets(rows)
+    located = rows.join(F.broadcast(before), "part")
     is_piece = F.col("kind") == _PIECE
-    totals = rows.groupBy("part").agg(
-        F.count(F.when(is_piece, 1)).alias("pieces"), F.count(F.when(~is_piece, 1)).alias("slots"), F.max("lead").alias("part_lead")
-    )
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "part",
-        "part_lead",
-        F.coalesce(F.sum("pieces").over(earlier), F.lit(0)).alias("piece_offset"),
-        F.coalesce(F.sum("slots").over(earlier), F.lit(0)).alias("slot_offset"),
-        F.sum("slots").over(Window.partitionBy()).alias("all_slots"),
-    )
-    offsets = offsets.withColumn("carry", F.max(F.col("part_lead") + F.col("slot_offset") - F.col("piece_offset")).over(earlier))
-    placed = rows.join(F.broadcast(offsets.drop("part_lead")), "part")
     ahead = F.greatest("carry", F.col("lead") + F.col("slot_offset") - F.col("piece_offset"))
-    wanted = placed.where(is_piece).select(
-        F.col("id").alias("piece_no"), F.col("size").alias("length"), "all_slots", (F.col("piece_offset") + F.col("pieces_before") + ahead).alias("place")
+    wanted = located.where(is_piece).select(
+        F.col("id").alias("piece_no"), F.col("size").alias("length"), (F.col("piece_offset") + F.col("pieces_before") + ahead).alias("place")
     )
-    there = placed.where(~is_piece).select(
-        F.col("id").alias("sequence_id"), "slot", (F.col("slot_offset") + F.col("slots_before")).alias("place")
-    )
-    taken = wanted.where(F.col("place") < F.col("all_slots")).join(there, "place").select("piece_no", "length", "sequence_id", "slot")
-    rest = wanted.where(F.col("place") >= F.col("all_slots")).select("piece_no", "length", (F.col("place") - F.col("all_slots")).alias("rank"))
-    return taken, rest
-
-
-def opened(rest: DataFrame, capacity: int) -> DataFrame:
-    """Pieces without a gap in new sequences, as many in each as fit, named by their first piece: piece_no, length, sequence_id, offset."""
+    there = located.where(~is_piece).select(F.col("id").alias("sequence_id"), "slot", "gap", (F.col("slot_offset") + F.col("slots_before")).alias("place"))
+    taken = there.join(wanted.where(F.col("place") < n_slots), "place", "left")
+    # A sequence has at most `capacity` slots.
+    mine = Window.partitionBy("sequence_id")
+    used = F.coalesce(F.sum("length").over(mine.orderBy("slot")), F.lit(0))
+    held = taken.select(
+        "piece_no", "sequence_id", (F.lit(capacity) - F.col("gap") + used - F.col("length")).alias("offset"), "length",
+        (F.col("gap") - F.coalesce(F.sum("length").over(mine), F.lit(0))).alias("gap"), (F.col("slot") == 0).alias("last"),
+    )
     many = F.floor(F.lit(capacity) / F.col("length")).cast("bigint")
-    by_many = rest.withColumn("many", many)
+    rest = wanted.where(F.col("place") >= n_slots).select("piece_no", "length", (F.col("place") - F.lit(n_slots)).alias("rank"), many.alias("many"))
     # Ranks ascend with the length; there are at most `capacity` different values of `many`.
-    shorter = Window.orderBy(F.desc("many")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = by_many.groupBy("many").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select("many", F.coalesce(F.sum("n").over(shorter), F.lit(0)).alias("before"))
-    grouped = by_many.join(F.broadcast(counts), "many").withColumn("place", F.col("rank") - F.col("before"))
+    counts = rest.groupBy("many").agg(F.min("rank").alias("first"))
+    grouped = rest.join(F.broadcast(counts), "many").withColumn("place", F.col("rank") - F.col("first"))
     grouped = grouped.withColumn("group", F.floor(F.col("place") / F.col("many")))
     # A group has `many` rows at most.
-    inside = Window.partitionBy("many", "group").orderBy("place")
-    return grouped.select(
-        "piece_no",
-        "length",
-        F.first("piece_no").over(inside).alias("sequence_id"),
-        (F.sum("length").over(inside) - F.col("length")).cast("bigint").alias("offset"),
-    )
+    group = Window.partitionBy("many", "group")
+    inside = group.orderBy("place")
+    opened = grouped.select(
+        "piece_no", F.first("piece_no").over(inside).alias("sequence_id"), (F.sum("length").over(inside) - F.col("length")).alias("offset"), "length",
+        (F.lit(capacity) - F.sum("length").over(group)).alias("gap"), (F.row_number().over(inside) == 1).alias("last"),
+    )
+    return held.unionByName(opened)
 
 
 def placements(lengths: DataFrame, capacity: int) -> DataFrame:
     """(piece_no, sequence_id, offset) for pieces (piece_no: unique long, length: 1 to `capacity`).
 
     Equal lengths are told apart by piece_no. An empty table gives an empty result. The driver gets the
-    number of pieces per length (at most `capacity` numbers) and one number per round.
+    number of pieces per length and, per round, of gaps per size (at most `capacity` numbers each).
     """
-    histogram = {r["length"]: r["n"] for r in lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    gaps: DataFrame | None = None
+
+    def histogram(df: DataFrame, size: str) -> dict[int, int]:
+        return {r[size]: r["n"] for r in df.groupBy(size).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    waiting = histogram(lengths, "length")
+    shortest = min(waiting, default=1)
     moves: list[DataFrame] = []
+    gaps = lengths.select(F.col("piece_no").alias("sequence_id"), F.col("length").alias("gap")).limit(0)
+    free: dict[int, int] = {}
+
+    def update(state: DataFrame) -> None:
+        """Keep the moves; the gaps are those of this round and of sequences that had no part in it."""
+        nonlocal gaps, free
+        state = written(state, "round")
+        moves.append(state.where("piece_no is not null").select("piece_no", "sequence_id", "offset"))
+        now = state.where(F.col("last") & (F.col("gap") >= shortest)).select("sequence_id", "gap")
+        gaps = now.unionByName(gaps.where(F.col("gap") < least))
+        free = histogram(gaps, "gap")
 
-    def update(made: DataFrame, least_gap: int) -> None:
-        nonlocal gaps
-        moves.append(made.select("piece_no", "sequence_id", "offset"))
-        filled = made.groupBy("sequence_id").agg(F.max(F.col("offset") + F.col("length")).alias("end"))
-        left = F.lit(capacity) - F.col("end")
-        if gaps is None:
-            after = filled.select("sequence_id", left.alias("gap"))
-        else:
-            after = gaps.join(filled, "sequence_id", "full_outer").select("sequence_id", F.when(F.col("end").isNull(), F.col("gap")).otherwise(left).alias("gap"))
-        gaps = written(after.where(F.col("gap") >= least_gap), "gaps")
-
-    shortest = min(histogram, default=1)
     for least, most in rounds(capacity):
-        waiting = sum(n for length, n in histogram.items() if least <= length <= most)
-        if not waiting:
-            continue
+        if least > shortest and sum(n for length, n in waiting.items() if length <= most) <= sum(n * max(1, g // most) for g, n in free.items() if g >= most):
+            # Every shorter piece finds a slot of this size: one round places them all.
+            least = 1
+        count = sum(n for length, n in waiting.items() if least <= length <= most)
         now = lengths.where(F.col("length").between(least, most))
-        if gaps is None:
-            alone = now.withColumn("rank", F.lit(0).cast("bigint"))
-            if 2 * least > capacity:
-                made = alone.select("piece_no", "length", F.col("piece_no").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-                update(written(made, "moves"), shortest)
-                continue
-            gaps = written(now.limit(0).select(F.col("piece_no").alias("sequence_id"), F.col("length").alias("gap")), "gaps")
-        while waiting:
+        while count:
+            if not free and 2 * least > capacity:
+                # Nothing fits beside them.
+                alone = F.lit(0).cast("bigint")
+                update(now.select("piece_no", F.col("piece_no").alias("sequence_id"), alone.alias("offset"), "length", (F.lit(capacity) - F.col("length")).alias("gap"), F.lit(True).alias("last")))
+                break
             many = F.greatest(F.lit(1), F.floor(F.col("gap") / most)).cast("int")
-            slots = (
-                gaps.where(F.col("gap") >= least)
-                .select("sequence_id", F.when(many > 1, F.lit(most).cast("bigint")).otherwise(F.col("gap")).alias("size"), F.explode(F.sequence(F.lit(0), many - 1)).alias("slot"))
-            )
-            taken, rest = matched(written(swept(now, slots), "sweep"))
-            # A gap has at most `capacity` slots.
-            before = Window.partitionBy("sequence_id").orderBy("slot")
-            into = taken.join(gaps, "sequence_id").select(
-                "piece_no", "length", "sequence_id", (F.lit(capacity) - F.col("gap") + F.sum("length").over(before) - F.col("length")).cast("bigint").alias("offset")
-            )
-            if most > capacity // OWN_ROUNDS:
-                # No gap has room for a second piece of this round: the others open sequences.
-                update(written(into.unionByName(opened(rest, capacity)), "moves"), shortest)
+            size = F.when(many > 1, F.lit(most).cast("bigint")).otherwise(F.col("gap")).alias("size")
+            slots = gaps.where(F.col("gap") >= least).select("sequence_id", "gap", size, F.explode(F.sequence(F.lit(0), many - 1)).alias("slot"))
+            n_slots = sum(n * max(1, g // most) for g, n in free.items() if g >= least)
+            state = placed(written(swept(now, slots), "sweep"), capacity)
+            if most > capacity // OWN_ROUNDS or not n_slots or count <= n_slots // 2:
+                # No gap has room for a second piece of this round, or there are slots enough: the others open sequences.
+                update(state)
                 break
-            into = written(into, "moves")
-            found = into.count()
-            rest = written(rest, "rest")
-            if found and found < waiting:
-                update(into, shortest)
-                now, waiting = rest.select("piece_no", "length"), waiting - found
-                continue
-            made = into.unionByName(written(opened(rest, capacity), "moves")) if found < waiting else into
-            update(made, shortest)
+            # Short pieces: what found no slot tries the gaps again, as long as some find one.
+            state = written(state, "tried")
+            again = state.where("piece_no = sequence_id and offset = 0").select("sequence_id").distinct()
+            held = state.join(again, "sequence_id", "left_anti")
+            found = held.where("piece_no is not null").count()
+            if found in (0, count):
+                update(state)
+                break
+            now, count = now.join(held.select("piece_no"), "piece_no", "left_anti"), count - found
+            now = written(now, "rest")
+            update(held)
+        waiting = {length: n for length, n in waiting.items() if not least <= length <= most}
+        if not waiting:
             break
     if not moves:
         return lengths.select("piece_no", F.col("piece_no").alias("sequence_id"), F.col("length").alias("offset")).limit(0)

@@ -1,8 +1,8 @@
 """Byte-level BPE: ranked merges of distinct words, and decoding.
 
-Words that are common in the corpus are folded once each, by higher-order functions over a literal rank map.
-The fold is interpreted and takes about 0.1 ms a word, so the many rare words are merged where they occur, by
-a small helper that remembers the words of its task.
+Every distinct word of the table is folded once, by higher-order functions over a literal rank map, whatever
+its frequency. Documents are read in blocks, the partitions of their scan: a block sends its distinct words to
+the word table, gets their ids back, and lays them out along its texts.
 """
 
 from __future__ import annotations
@@ -17,23 +17,21 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotape.llm.rows import fresh
+from chronotape.llm.rows import fresh, shuffle_partitions
 from chronotape.plans.shared import written
 
-#: A word that makes up this share of all words, or more, is folded once and looked up: 1 / share words at most.
-COMMON_SHARE = 1 / (1 << 20)
-#: Common words have at most so many bytes, so their table has a fixed bound, and a fold few steps.
-COMMON_BYTES = 64
-#: Rare words that a task remembers.
-REMEMBERED = 400_000
+#: Bytes of the longest word that is folded; a fold takes time by the square of the length, so longer words go to a heap.
+FOLD_BYTES = 128
+#: Distinct words that a task holds before it passes them on.
+HELD_WORDS = 500_000
 #: Rows that a task holds as Python objects at a time.
 PART_ROWS = 256
-#: Bytes from which a word is merged with a heap.
-LONG_WORD = 200
-_NONE = 1 << 60
+#: Bytes of the texts that travel together.
+PART_BYTES = 1 << 20
 #: Entries of a literal table that share a bucket, about.
 PER_BUCKET = 4
 
@@ -53,7 +51,7 @@ class Ranks:
     """A rank file as literals. Inside expressions a byte array is a string with one letter per id.
 
     `pairs` maps two letters to the letter of the bytes they join to, which is also their rank: letters sort
-    by id. `whole` has the words that are one piece, `pieces` the bytes of every id. The file is read where
+    by id. `ranks` has the id of every piece, `pieces` the bytes of every id. The file is read where
     the plan is made; tasks get its tables with their code.
     """
 
@@ -61,17 +59,13 @@ class Ranks:
         lines = [line.split() for line in Path(path).read_bytes().splitlines() if line.strip()]
         self.ranks = {base64.b64decode(piece): int(rank) for piece, rank in lines}
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
-        pairs, self.whole = {}, {}
+        pairs = {}
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
             for cut in range(1, len(piece)):
                 left, right = self.ranks.get(piece[:cut]), self.ranks.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[letter(left) + letter(right)] = letter(rank)
-            try:
-                self.whole[piece.decode()] = letter(rank)
-            except UnicodeDecodeError:
-                continue
         self.pairs = bucketed(pairs)
         self.latin = "".join(chr(b) for b in range(256))
         self.letters = "".join(letter(self.ranks[bytes([b])]) for b in range(256))
@@ -115,32 +109,8 @@ def folded(word: Column, pairs: Column, ranks: Ranks) -> Column:
     return bound(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), ranks.latin, ranks.letters), fold)
 
 
-def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for a rare word: the rank of each pair is kept, and a merge renews its two neighbours."""
-    if word in ranks:
-        return [ranks[word]]
-    if len(word) > LONG_WORD:
-        return heap_merged(word, ranks)
-    rank = ranks.get
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
-    while pairs:
-        least = min(pairs)
-        if least == _NONE:
-            break
-        at = pairs.index(least)
-        piece = parts[at] + parts[at + 1]
-        parts[at : at + 2] = [piece]
-        del pairs[at]
-        if at:
-            pairs[at - 1] = rank(parts[at - 1] + piece, _NONE)
-        if at < len(pairs):
-            pairs[at] = rank(piece + parts[at + 1], _NONE)
-    return [ranks[p] for p in parts]
-
-
 def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for a long word, in n log n steps."""
+    """The same merges for a long word, which no fold takes, in n log n steps."""
     if word in ranks:
         return [ranks[word]]
     parts = [word[i : i + 1] for i in range(len(word))]
@@ -169,71 +139,141 @@ def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-class Memory(dict):
-    """Words with their ids as bytes; a word that is not there is merged, and remembered while there is room."""
+class Words(dict):
+    """Ids, as bytes, of the words of a block. Pieces are their own ids, long words are merged here; all others were folded."""
 
-    def __init__(self, common: dict[str, bytes], ranks: dict[bytes, int]):
-        super().__init__(common)
-        self.ranks, self.common, self.room = ranks, common, len(common) + REMEMBERED
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.room:
-            self.clear()
-            self.update(self.common)
-        self[word] = ids = array("i", merged(word.encode(), self.ranks)).tobytes()
-        return ids
-
-
-def words_of(text: Column, pattern: str) -> Column:
-    """The matches of the splitting pattern, with Unicode white space as the pattern's own engine has it."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
-
-
-def common_words(docs: DataFrame, ranks: Ranks, pattern: str) -> dict[str, bytes]:
-    """Ids of the words that make up COMMON_SHARE of all words or more, counted over all documents."""
-    counts = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts, "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common = counts.where((F.col("n") >= total * COMMON_SHARE) & (F.octet_length("word") <= COMMON_BYTES))
-    coded = common.select("word", bound(ranks.pairs[0], lambda t: folded(F.col("word"), t, ranks)).alias("letters"))
-    table = coded.toArrow()
-    out: dict[str, bytes] = {}
-    for batch in table.to_batches(max_chunksize=1024):
-        for word, letters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            # As the library does, a word that is a piece is that piece.
-            out[word] = array("i", map(rank_of, ranks.whole.get(word, letters))).tobytes()
-    return out
-
-
-def encode(docs: DataFrame, ranks: Ranks, pattern: str, column: str | None = None) -> DataFrame:
+        data = word.encode()
+        if data in self.ranks:
+            ids = [self.ranks[data]]
+        elif len(data) > FOLD_BYTES:
+            ids = heap_merged(data, self.ranks)
+        else:
+            raise KeyError(f"{word!r} is not among the words of its block: the table changed between two reads")
+        self[word] = out = array("i", ids).tobytes()
+        return out
+
+    def learn(self, words: pa.Array, letters: pa.Array) -> None:
+        """Words with their letters, see `letter`."""
+        points = np.frombuffer("".join(letters.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+        data = np.where(points < 0xD800, points - 0x100, points - 0x900).astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(pc.utf8_length(letters).to_numpy())).tolist()
+        self.update((w, data[a:b]) for w, a, b in zip(words.to_pylist(), [0, *ends], ends, strict=False))
+
+
+def block_words(docs: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
+    """block, word: the distinct words of every block that are to be folded; a word may come more than once."""
+    known = ranks.ranks
+
+    def run(batches):
+        import regex
+
+        split, held, block = regex.compile(pattern).findall, set(), 0
+
+        def rows() -> pa.RecordBatch:
+            words = [w for w in held if (data := w.encode()) not in known and len(data) <= FOLD_BYTES]
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(words, pa.string())], names=["block", "word"])
+
+        for batch in batches:
+            if batch.num_rows:
+                block = batch.column(0)[0].as_py()
+            for part in few_rows([batch]):
+                for text in part.column(1).to_pylist():
+                    if text:
+                        held.update(split(text))
+                if len(held) > HELD_WORDS:
+                    yield rows()
+                    held = set()
+        yield rows()
+
+    texts = docs.select(F.spark_partition_id().cast("bigint").alias("block"), "text")
+    return texts.mapInArrow(run, "block bigint, word string")
+
+
+def folded_words(pairs: DataFrame, ranks: Ranks) -> DataFrame:
+    """block, word, letters: every distinct word is folded once and goes back to its blocks."""
+    # One row per word; its list has a number per block at most.
+    distinct = pairs.repartition(shuffle_partitions(pairs), "word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
+    coded = distinct.select("word", "blocks", bound(ranks.pairs[0], lambda t: folded(F.col("word"), t, ranks)).alias("letters"))
+    return coded.select(F.explode("blocks").alias("block"), "word", "letters")
+
+
+def block_rows(docs: DataFrame) -> DataFrame:
+    """block, rows: the documents of every block, as compressed Arrow."""
+
+    def run(batches):
+        for batch in batches:
+            block = batch.column(0)
+            for part in few_rows([batch]):
+                sink = pa.BufferOutputStream()
+                slim = pa.RecordBatch.from_arrays(part.columns[1:], names=[f"c{i}" for i in range(part.num_columns - 1)])
+                with pa.ipc.new_stream(sink, slim.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(slim)
+                yield pa.RecordBatch.from_arrays([block[:1], pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+    return docs.select(F.spark_partition_id().cast("bigint").alias("block"), *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(
+        run, "block bigint, rows binary"
+    )
+
+
+def encode(docs: DataFrame, ranks: Ranks, pattern: str, column: str | None = None, scan: bool = False) -> DataFrame:
     """The rows of `docs` with the ids of their whole text, array<int>, in a column named ids (or `column`).
 
     Every match of `pattern` is encoded by itself, without special tokens; a null text is empty and has no
-    ids. Each row is encoded by its text alone, so rows of equal text get equal ids, an empty table gives an
-    empty result and all other columns stay as they are. Common words are folded once each; the table of
-    them is bounded by COMMON_SHARE and COMMON_BYTES. Nothing is shuffled but word counts.
+    ids. Each row is encoded by its text alone, so rows of equal text get equal ids, rows that are equal all
+    stay, an empty table gives an empty result and all other columns stay as they are.
+
+    `docs` is read twice and both reads must see the same partitions. A plain read of files does; say so by
+    `scan`. Any other table is written first. Distinct words are shuffled by word and back by block, documents
+    once as compressed Arrow; the driver gets nothing.
     """
     ids = column or fresh(docs, "ids")[0]
-    common, known, names = common_words(docs, ranks, pattern), ranks.ranks, docs.columns
+    if not scan:
+        docs = written(docs, "documents")
+    known, names = ranks.ranks, docs.columns
     at = names.index("text")
+    words = folded_words(block_words(docs, ranks, pattern), ranks)
+    none = F.lit(None)
+    both = words.select("block", "word", "letters", none.cast("binary").alias("rows")).unionByName(
+        block_rows(docs).select("block", none.cast("string").alias("word"), none.cast("string").alias("letters"), "rows")
+    )
+    # In every block the words come first.
+    dealt = both.repartition(shuffle_partitions(docs), "block").sortWithinPartitions("block", F.col("word").isNull())
 
     def run(batches):
         import regex
 
-        split, memory = regex.compile(pattern).findall, Memory(common, known)
-        get = memory.__getitem__
-        for batch in few_rows(batches):
-            coded = [b"".join(map(get, split(text))) if text else b"" for text in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists_of(coded)], names=[*names, ids])
-
-    return docs.mapInArrow(run, docs.select("*", F.array(F.lit(0)).alias(ids)).schema)
+        split, block, table = regex.compile(pattern).findall, None, None
+        for batch in batches:
+            blocks, is_rows = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (is_rows[1:] != is_rows[:-1])) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True):
+                if begin == end:
+                    continue
+                if blocks[begin] != block:
+                    block, table = blocks[begin], Words(known)
+                if not is_rows[begin]:
+                    table.learn(batch.column(1)[begin:end], batch.column(2)[begin:end])
+                    continue
+                get = table.__getitem__
+                for rows in batch.column(3)[begin:end]:
+                    for part in pa.ipc.open_stream(rows.as_buffer()):
+                        coded = [b"".join(map(get, split(text))) if text else b"" for text in part.column(at).to_pylist()]
+                        yield pa.RecordBatch.from_arrays([*part.columns, lists_of(coded)], names=[*names, ids])
+
+    return dealt.select("block", "word", "letters", "rows").mapInArrow(run, docs.select("*", F.array(F.lit(0)).alias(ids)).schema)
 
 
 def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, which bound what a task holds as Python objects."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, PART_ROWS):
-            yield batch.slice(begin, PART_ROWS)
+        rows = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(1, batch.nbytes)))
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
 
 
 def lists_of(coded: list[bytes]) -> pa.Array:
@@ -243,29 +283,31 @@ def lists_of(coded: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.int32)))
 
 
-def decode(encoded: DataFrame, ranks: Ranks, ids: str = "ids", column: str = "decoded") -> DataFrame:
-    """The rows with the bytes that their ids stand for: the pieces, concatenated; none for null ids."""
-    pieces, names = ranks.pieces, encoded.columns
-    at = names.index(ids)
+def decoded(ids: Column, ranks: Ranks) -> Column:
+    """The bytes that ids stand for: their binary pieces, concatenated; none for null ids."""
+    table = F.from_json(F.lit(json.dumps([p.hex() for p in ranks.pieces])), "array<string>")
+    parts = bound(table, lambda pieces: F.transform(ids, lambda i: F.element_at(pieces, i + 1)))
+    return F.coalesce(F.unhex(F.array_join(parts, "")), F.lit(b""))
 
-    def run(batches):
-        get = pieces.__getitem__
-        for batch in few_rows(batches):
-            lists = batch.column(at)
-            flat, ends = lists.flatten().to_numpy().tolist(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()
-            data = [b"".join(map(get, flat[begin:end])) for begin, end in zip([0, *ends], ends, strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*names, column])
 
-    return encoded.mapInArrow(run, encoded.select("*", F.lit(b"").alias(column)).schema)
+def decode(encoded: DataFrame, ranks: Ranks, ids: str = "ids", column: str | None = None) -> DataFrame:
+    """The rows with the bytes that their ids stand for, in a column named decoded (or `column`, or the next free name).
+
+    Null ids and no ids give no bytes. All rows and all other columns stay as they are.
+    """
+    name = column or fresh(encoded, "decoded")[0]
+    return encoded.withColumn(name, decoded(F.col(f"`{ids}`"), ranks))
 
 
 def digests(encoded: DataFrame, ranks: Ranks, column: str = "ids") -> DataFrame:
-    """doc_id, n_tokens, and the digests of the ids in decimal and of the decoded bytes."""
-    ids = F.col(column)
-    summed = encoded.select(
+    """doc_id, n_tokens, and the digests of the ids in decimal and of the decoded bytes; one row per row.
+
+    No ids (those of a null or empty text) give 0 and the digests of nothing; rows that are equal all stay.
+    """
+    ids = F.col(f"`{column}`")
+    return encoded.select(
         "doc_id",
         F.size(ids).cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
-        ids.alias("ids"),
+        F.sha2(decoded(ids, ranks), 256).alias("decoded_sha256"),
     )
-    return decode(summed, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

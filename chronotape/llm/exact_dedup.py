@@ -15,7 +15,7 @@ FAN_IN = 8
 def digest_rows(docs: DataFrame) -> DataFrame:
     """Each document as the digest of its text without white space, its length and its row key; a null text is empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key_id, key_text = row_key()
+    key_id, key_text = row_key(docs)
     bare = docs.select(
         "doc_id",
         key_id.alias("key_id"),

@@ -123,7 +123,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Row key, digest and size of the shingle set, and its MinHash values; digest null without words."""
-    key_id, key_text = row_key()
+    key_id, key_text = row_key(docs)
     rows = docs.select("doc_id", key_id.alias("key_id"), key_text.alias("key_text"), "text")
 
     def run(batches):
@@ -250,7 +250,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, wor
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCUMENTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
     )
     needed = written(sizes.join(cut, "label").drop("size"), "needed")
-    key_id, key_text = row_key()
+    key_id, key_text = row_key(docs)
     texts = docs.select(key_id.alias("key_id"), key_text.alias("key_text"), "text")
     # Both sides grow with the corpus, so they are merged at every size. Of rows with equal id and text, one stands for the node.
     with_text = needed.join(texts.hint("merge"), ["key_id", "key_text"]).drop("key_id", "key_text")

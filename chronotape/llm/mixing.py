@@ -65,7 +65,7 @@ def mix(docs: DataFrame, quality: DataFrame, seed: str = "mix", cycle: int = 3)
     seed, doc_id and size only: reruns agree, and of rows equal in these the smaller checksum comes first.
     """
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    key_id, key_text = row_key()
+    key_id, key_text = row_key(docs)
     sizes = docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),

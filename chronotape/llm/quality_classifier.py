@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotape.llm.rows import fresh
@@ -16,6 +16,8 @@ from chronotape.llm.wordhash import Words, mixed, slices
 BUCKETS = 1 << 17
 #: At most this many labelled documents of each class are fitted.
 FIT_ROWS = 3000
+#: They have at most so many features of each class together (4 bytes each).
+FIT_FEATURES = 1 << 26
 ACCEPT = 0.7
 SMOOTHING = 1.0
 COST = 1.0
@@ -152,13 +154,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * at + self.offset, -40, 40))))
 
 
-def fit(docs: DataFrame, marks: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, marks: DataFrame, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> Model:
     """A model from the texts of `docs` and marks (doc_id, good: boolean).
 
-    Of each class the `fit_rows` documents of the smallest id hashes are fitted, so 2 * fit_rows texts at
-    most meet in one task, as lists of features; the share of good documents among all marks is the prior.
-    Several marks of one document count as their majority (good on a tie); without marks every score is 0.5,
-    with one class only it is that class's share.
+    Of each class the `fit_rows` documents of the smallest id hashes are fitted, of these the first that have
+    `fit_features` features together, so twice that meets in one task; the share of good documents among all
+    marks is the prior. Several marks of one document count as their majority (good on a tie), and of several
+    texts of one id the one whose features have the smallest digest is fitted: rows in any order give the
+    same model. Without marks every score is 0.5, with one class only it is that class's share.
     """
     per_doc = marks.where("doc_id is not null and good is not null").groupBy("doc_id").agg(
         (F.avg(F.col("good").cast("int")) >= 0.5).alias("good")
@@ -181,7 +184,7 @@ def fit(docs: DataFrame, marks: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         got: dict = {}
         for batch in batches:
             for i, g, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "good", "features")), strict=True):
-                got.setdefault(i, (g, np.frombuffer(x, np.int32)))
+                got[i] = (g, np.frombuffer(x, np.int32))
         order = sorted(got)
         out = fitted([got[i][1] for i in order], np.array([got[i][0] for i in order], bool), prior)
         arrays = [pa.array([x.tobytes()], pa.binary()) for x in out[:2]] + [pa.array([x]) for x in out[2:]]
@@ -191,6 +194,11 @@ def fit(docs: DataFrame, marks: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     # The sample's ids are bounded by 2 * fit_rows.
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = texts.mapInArrow(features, f"doc_id {kind}, good boolean, features binary")
+    one_text = F.min(F.struct(F.sha2("features", 256).alias("digest"), "features")).alias("text")
+    first = Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    # A row per chosen id, whatever number of rows the id has.
+    rows = rows.groupBy("doc_id", "good").agg(one_text).select("doc_id", "good", "text.features")
+    rows = rows.withColumn("held", F.sum(F.octet_length("features") / 4).over(first)).where(F.col("held") <= fit_features).drop("held")
     one = rows.repartition(1).mapInArrow(learn, "ratios binary, weights binary, bias double, slope double, offset double").first()
     if one is None:
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))))

@@ -65,7 +65,7 @@ def repeated_words(words: Column) -> Column:
 
 def measures(docs: DataFrame) -> DataFrame:
     """Row key, lang, source and the counts of every whole text; a null text has no words."""
-    key_id, key_text = row_key()
+    key_id, key_text = row_key(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     return (

@@ -83,13 +83,13 @@ def op3_token_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks = byte_bpe.Ranks(RANK_FILE)
-    return byte_bpe.digests(byte_bpe.encode(read(spark, sf).select("doc_id", "text"), ranks, PATTERN), ranks)
+    return byte_bpe.digests(byte_bpe.encode(read(spark, sf).select("doc_id", "text"), ranks, PATTERN, scan=True), ranks)
 
 
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf).select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, byte_bpe.Ranks(RANK_FILE), PATTERN)
+    encoded = byte_bpe.encode(docs, byte_bpe.Ranks(RANK_FILE), PATTERN, scan=True)
     return token_counts.histogram(encoded.select(F.size("ids").alias("n_tokens")))
 
 

@@ -23,13 +23,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
-    """Two non-null longs that are equal for rows of equal id and text; null ids and null texts count as values."""
-    the_id, the_text = F.col(doc_id), F.col(text)
-    return (
-        F.coalesce(the_id.cast("bigint"), F.lit(0)),
-        F.xxhash64(F.coalesce(the_text, F.lit("")), the_text.isNull(), the_id.isNull()),
-    )
+def row_key(docs: DataFrame) -> tuple[Column, Column]:
+    """Two non-null longs, 128 bits of all columns: equal for rows that are equal in every column, nulls included."""
+    values: list[Column] = []
+    for name, kind in docs.dtypes:
+        column = F.col(f"`{name}`")
+        # Maps have no hash.
+        values += [F.to_json(F.struct(column)) if "map<" in kind else column, column.isNull()]
+    return F.xxhash64(*values), F.xxhash64(F.lit(1), *values)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -65,26 +66,26 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], groups: t
     return rows, whole
 
 
-def apply_copies(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+def apply_copies(docs: DataFrame, decisions: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Whole rows of `docs`, each as often as `decisions` (key_id, key_text, copies; one per row of docs) says.
 
-    Rows of equal id and text are interchangeable: their copies are added up and given to one of them.
+    Only rows that are equal in every column share a key; their copies are added up and given to one of them.
+    Columns `more` of the decisions, which `docs` must not have, come along and keep their copies apart.
     """
     a, b, n, copies = fresh(docs, "key_id", "key_text", "key_rank", "key_copies")
-    key_id, key_text = row_key()
+    key_id, key_text = row_key(docs)
     wanted = (
-        decisions.groupBy("key_id", "key_text")
+        decisions.groupBy("key_id", "key_text", *more)
         .agg(F.sum("copies").cast("int").alias(copies))
         .where(F.col(copies) > 0)
-        .select(F.col("key_id").alias(a), F.col("key_text").alias(b), copies)
+        .select(F.col("key_id").alias(a), F.col("key_text").alias(b), *more, copies)
     )
     same = Window.partitionBy(a, b).orderBy(a)
     return (
-        docs.withColumn(a, key_id)
-        .withColumn(b, key_text)
-        .join(wanted, [a, b])
+        docs.select("*", key_id.alias(a), key_text.alias(b))
         .withColumn(n, F.row_number().over(same))
         .where(F.col(n) == 1)
+        .join(wanted, [a, b])
         .withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(copies))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(*[F.col(f"`{c}`") for c in docs.columns], *more)
     )

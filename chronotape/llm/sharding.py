@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotape.llm.rows import apply_copies, prefix_sums, row_key
+from chronotape.llm.rows import apply_copies, fresh, prefix_sums, row_key, shuffle_partitions
 
 
 def shards(docs: DataFrame, count: int) -> DataFrame:
@@ -18,7 +18,7 @@ def shards(docs: DataFrame, count: int) -> DataFrame:
     empty table gives an empty result; other columns are not read. Equal rows are interchangeable.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key_id, key_text = row_key()
+    key_id, key_text = row_key(docs)
     sizes = docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"),
@@ -48,8 +48,14 @@ def shards(docs: DataFrame, count: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, count: int) -> None:
-    """The documents themselves as `count` folders shard=0, shard=1, ...: Parquet, sorted by doc_id."""
-    placed = shards(docs, count)
-    for shard in range(count):
-        mine = placed.where(F.col("shard") == shard).withColumn("copies", F.lit(1))
-        apply_copies(docs, mine).sort("doc_id").write.mode("overwrite").parquet(f"{path}/shard={shard}")
+    """The documents themselves, whole rows, as `count` folders shard=0, shard=1, ... of Parquet, sorted by doc_id.
+
+    One pass writes all shards; a shard that gets no document has no folder. If `docs` has a column shard,
+    the folders are named by the next free name (_shard=0, ...). Null texts, null ids and repeated rows go
+    where `shards` puts them, every row once. An empty table writes no shard.
+    """
+    name, = fresh(docs, "shard")
+    mine = shards(docs, count).withColumn("copies", F.lit(1)).withColumnRenamed("shard", name)
+    placed = apply_copies(docs, mine, (name,))
+    ranged = placed.repartitionByRange(shuffle_partitions(docs), name, "doc_id").sortWithinPartitions(name, "doc_id")
+    ranged.write.mode("overwrite").partitionBy(name).parquet(path)

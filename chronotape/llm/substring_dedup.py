@@ -106,7 +106,7 @@ def column_of_longs(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
 
 def outlines(docs: DataFrame, window: int, length: int) -> DataFrame:
     """Of every whole text: words, digest of its words joined by a space, and its landmarks at the first level."""
-    key_id, key_text = row_key()
+    key_id, key_text = row_key(docs)
     rows = docs.select("doc_id", key_id.alias("key_id"), key_text.alias("key_text"), "text")
 
     def run(batches):
@@ -259,7 +259,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "sequences",
     )
     marked = repeated_marks(texts)
-    key_id, key_text = row_key()
+    key_id, key_text = row_key(docs)
     source = docs.select(key_id.alias("key_id"), key_text.alias("key_text"), "text")
     if not outline.groupBy("key_id", "key_text").count().where("count > 1").isEmpty():
         source = source.dropDuplicates(["key_id", "key_text"])
@@ -290,7 +290,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, whole rows; a text that loses words becomes its kept words joined by a space."""
     a, b, spans = "__repeat_id", "__repeat_text", "__repeat_spans"
-    key_id, key_text = row_key()
+    key_id, key_text = row_key(docs)
     lost = repeats(docs, window).where("spans is not null").groupBy("key_id", "key_text").agg(F.any_value("spans").alias(spans))
     joined = docs.withColumn(a, key_id).withColumn(b, key_text).join(lost.withColumnsRenamed({"key_id": a, "key_text": b}), [a, b], "left")
 

@@ -37,7 +37,7 @@ def test_stages_follow_each_other(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(names) == sorted(f"op{n}" for n in range(1, 14))
     assert "pipeline" in entry.queries()
 
 

@@ -66,23 +66,30 @@ def test_every_fold_equals_the_library(spark, ranks, library):
     assert all(list(map(byte_bpe.rank_of, r["letters"])) == library.encode_ordinary(r["word"]) for r in out)
 
 
-def test_common_and_rare_words_agree(table, ranks, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "COMMON_SHARE", 2.0)
-    monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
+def test_blocks_of_long_and_rare_words(table, ranks, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PART_ROWS", 3)
+    monkeypatch.setattr(byte_bpe, "HELD_WORDS", 20)
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyzéüß日 '-\n"
-    rows = [(i, "".join(rng.choice(letters) for _ in range(400)), "en", "a") for i in range(20)]
-    out = byte_bpe.encode(table(rows), ranks, PATTERN).select("text", "ids").collect()
+    rows = [(i, "".join(rng.choice(letters) for _ in range(400)) + " " + "xyz" * i * 20, "en", "a") for i in range(20)] * 2
+    out = byte_bpe.encode(table(rows, 7), ranks, PATTERN).select("text", "ids").collect()
+    assert len(out) == 40
     assert all(r["ids"] == library.encode_ordinary(r["text"]) for r in out)
 
 
+def test_decoding_beside_a_column_decoded(table, ranks):
+    docs = table([(1, "one é", "en", "a"), (2, None, "en", "a"), (2, None, "en", "a")]).selectExpr("*", "'kept' as decoded", "1 as ids")
+    out = byte_bpe.decode(byte_bpe.encode(docs, ranks, PATTERN), ranks, "_ids")
+    rows = Counter((r["doc_id"], r["decoded"], bytes(r["_decoded"])) for r in out.collect())
+    assert rows == {(1, "kept", "one é".encode()): 1, (2, "kept", b""): 2}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abcdeinorst é日!  \n"), min_size=1, max_size=60))
 def test_heap_equals_the_library(text):
     known = test_heap_equals_the_library.__dict__.setdefault("known", byte_bpe_ranks())
     library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=known, special_tokens={})
     assert byte_bpe.heap_merged(text.encode(), known) == library.encode_ordinary(text)
-    assert byte_bpe.merged(text.encode(), known) == library.encode_ordinary(text)
 
 
 def byte_bpe_ranks():
