@@ -2,44 +2,65 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotape.functions.hashing import uniform
-from chronotape.plans.split import number_rows, plan_split, quantiles
+from chronotape.plans.shared import written
+from chronotape.plans.split import Measure, number_rows, plan_split, quantiles, running
 
-# Samples are packed in shards of neighbours: packing is sequential, a shard is one task's work.
-SHARD_ROWS = 4096
 
+def batch_ends(costs: DataFrame, budget: int, place: str = "place") -> DataFrame:
+    """Adds `next`: where the batch that starts at each sample ends, as the place of the sample after it.
 
-def packed(costs: DataFrame, budget: int, place: str = "place", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Greedy packing in order: a sample joins the batch while the budget holds, one too large stands alone.
-
-    `costs` has a dense `place` from 0 and a `cost`. Packing starts anew in every
-    shard of `shard_rows` neighbours, so the last batch of a shard may be short.
+    Costs laid end to end, a batch from a sample holds all samples that end within its budget. Ends and limits
+    go through one ordered pass: the samples that end at or before a limit are counted. A sample over the
+    budget is a batch alone.
     """
+    laid = running(costs, plan_split(costs, [], place), [Measure("_before", "sum", F.col("cost").cast("bigint"))], then_by=[])
+    laid = written(laid.select(place, "cost", "_before"), "laid")
+    ends = laid.select((F.col("_before") + F.col("cost")).alias("_at"), F.lit(1).cast("bigint").alias("_ended"))
+    limits = laid.select((F.col("_before") + F.lit(budget)).alias("_at"), F.lit(0).cast("bigint").alias("_ended"), place, "cost")
+    both = ends.unionByName(limits, allowMissingColumns=True)
+    counted = running(both, plan_split(both, [], "_at"), [Measure("_within", "sum", F.col("_ended"))], through=True)
+    return counted.filter(F.col(place).isNotNull()).select(place, "cost", F.greatest(F.col(place) + 1, F.col("_within")).alias("next"))
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(place)
-        total = rows["cost"].cumsum().to_numpy()
-        batch = np.zeros(len(rows), dtype=np.int64)
-        first, number = 0, 0
-        while first < len(rows):
-            spent = total[first - 1] if first else 0
-            after = max(first + 1, int(np.searchsorted(total, spent + budget, side="right")))
-            batch[first:after] = number
-            first, number = after, number + 1
-        return pd.DataFrame({"shard": rows["shard"], place: rows[place], "cost": rows["cost"], "batch": batch})
 
-    sharded = costs.select(F.floor(F.col(place) / shard_rows).cast("bigint").alias("shard"), place, "cost")
-    return sharded.groupBy("shard").applyInPandas(pack, f"shard bigint, {place} bigint, cost bigint, batch bigint")
+def batch_starts(ends: DataFrame, place: str = "place") -> DataFrame:
+    """Places where batches start: what is reached from the first sample by following `next`.
+
+    Pointers are doubled: after k rounds a pointer leads 2^k batches on, and the starts that are known reach
+    as many again. So n batches take log n rounds, each a join on the place.
+    """
+    last = ends.agg(F.max(place)).first()[0]
+    # A pointer past the last sample leads nowhere and is left out, here and when pointers are joined.
+    jumps = written(ends.filter(F.col("next") <= F.lit(last)).select(F.col(place).alias("_from"), F.col("next").alias("_to")), "jumps")
+    reached = written(ends.filter(F.col(place) == 0).select(place), "starts")
+    while True:
+        further = written(reached.join(jumps, reached[place] == jumps["_from"]).select(F.col("_to").alias(place)), "starts")
+        if further.isEmpty():
+            return reached
+        reached = reached.unionByName(further)
+        onward = jumps.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        jumps = written(jumps.join(onward, "_to").select("_from", F.col("_next").alias("_to")), "jumps")
+
+
+def packed(costs: DataFrame, budget: int, place: str = "place") -> DataFrame:
+    """Greedy packing in order: a sample joins the batch while the budget holds, one too large stands alone.
+
+    `costs` has a dense `place` from 0 and a `cost`. Batches are numbered from 0 over the whole order, which
+    is never cut: the result is that of one loop over all samples. Returns place, cost and batch.
+    """
+    ends = written(batch_ends(costs, budget, place), "ends")
+    starts = batch_starts(ends, place).withColumn("_start", F.lit(1).cast("bigint"))
+    marked = ends.join(starts, place, "left").select(place, "cost", F.coalesce("_start", F.lit(0)).alias("_start"))
+    numbered = running(marked, plan_split(marked, [], place), [Measure("batch", "sum", F.col("_start"))], through=True, then_by=[])
+    return numbered.select(place, "cost", (F.col("batch") - 1).alias("batch"))
 
 
 def packing_summary(batches: DataFrame, budget: int) -> DataFrame:
     """Batches, samples, oversize batches, and how full the batches are."""
-    per = batches.groupBy("shard", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+    per = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
     return per.agg(
         F.count(F.lit(1)).alias("batches"),
         F.sum("n").alias("samples"),

@@ -9,6 +9,7 @@ from chronotape.operators.checks import require_empty
 from chronotape.operators.corpus import bucket_place
 from chronotape.operators.vocabulary import EVT, PAD, UNK, USR, Vocabulary
 from chronotape.operators.windows import recent_tail
+from chronotape.plans.shared import written
 
 
 def coded_values(values: DataFrame, vocab: Vocabulary, texts: DataFrame | None = None) -> DataFrame:
@@ -121,6 +122,8 @@ def samples(
     )
     if "calendar" not in events.columns:
         flagged = flagged.withColumn("calendar", F.array().cast("array<double>"))
+    # Encoded once: the tail and the counts read what is written.
+    flagged = written(flagged.select("client", "t", "id", "n_tokens", "key_ids", "value_ids", "positions", "calendar", "_target", "_eligible"), "encoded")
     kept = recent_tail(flagged, max_events, max_tokens)
     counted = flagged.groupBy("client").agg(F.count(F.lit(1)).alias("_all"), F.count_if("_eligible").alias("_targets"))
     # The tail has at most max_events rows, so this window is bounded.

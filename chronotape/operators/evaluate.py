@@ -6,26 +6,30 @@ scores. Sums of whole numbers stay decimals; only the last division is a double.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotape.functions.hashing import uniform
+from chronotape.functions.hashing import DIGITS, SEPARATOR, uniform
 from chronotape.plans.shared import written
-from chronotape.plans.split import Measure, match, number_rows, plan_split, quantiles, running
+from chronotape.plans.split import Measure, match, number_rows, plan_split, quantiles, running, target_rows
 
 EPSILON = 2.220446049250313e-16  # float64 machine epsilon, the clip of the log-loss
 
 
 def score_counts(rows: DataFrame, keys: Sequence[str] = (), weight: Column | None = None, score: str = "score") -> DataFrame:
-    """Positives and negatives per key and distinct score."""
+    """Positives and negatives per key and distinct score, written: all metrics read this table."""
     w = F.lit(1).cast("bigint") if weight is None else weight
     y = F.col("y") == 1
-    return rows.groupBy(*keys, F.col(score).alias("score")).agg(
+    counts = rows.groupBy(*keys, F.col(score).alias("score")).agg(
         F.coalesce(F.sum(F.when(y, w)), F.lit(0)).alias("pos"),
         F.coalesce(F.sum(F.when(~y, w)), F.lit(0)).alias("neg"),
     )
+    return written(counts, "scores")
 
 
 def _totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -111,40 +115,129 @@ def metrics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return area.select("*", precision.select("pr_auc").scalar().alias("pr_auc"), loss.select("log_loss").scalar().alias("log_loss"))
 
 
-# Cumulative chances of the Poisson distribution with mean 1, for 0, 1, 2, ... copies.
+# Cumulative chances of the Poisson distribution with mean 1, for 0, 1, 2, ... copies of a row.
 POISSON_ONE = (
     0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656,
     0.999405815182418, 0.999916758850712, 0.999989750803325, 0.999998874797402, 0.999999888574522,
 )
 
 
-def copies(draw: Column) -> Column:
-    """How often a row stands in a bootstrap draw."""
-    n = F.lit(0)
-    for i, edge in enumerate(POISSON_ONE):
-        n = F.when(draw >= edge, F.lit(i + 1)).otherwise(n)
-    return n.cast("bigint")
-
-
 #: Resamples of a paired comparison unless a caller asks for another number.
 DRAWS = 1000
 
 
+#: Rows whose copies in all draws are held as numbers at a time.
+CHUNK_ROWS = 2048
+
+
+def copy_counts(keys: Sequence[str], draws: int, seed: str) -> np.ndarray:
+    """Copies of every row in every draw, rows x draws: a Poisson number by the hash uniform(seed, draw, row)."""
+    begun = [hashlib.sha256(f"{seed}{SEPARATOR}{d}{SEPARATOR}".encode()) for d in range(draws)]
+    digests = bytearray()
+    for key in keys:
+        tail = key.encode()
+        for start in begun:
+            h = start.copy()
+            h.update(tail)
+            digests += h.digest()[:8]
+    bits = np.frombuffer(bytes(digests), ">u8").reshape(len(keys), draws) >> np.uint64(64 - 4 * DIGITS)
+    return np.searchsorted(np.array(POISSON_ONE), bits / float(16**DIGITS), side="right").astype(np.int64)
+
+
 def paired_draws(rows: DataFrame, row: str, draws: int = DRAWS, seed: str = "0") -> DataFrame:
     """ROC-AUC and PR-AUC of two scores (score_a, score_b) over the same bootstrap draws.
 
-    Each draw gives a row a Poisson number of copies by a hash of (draw, row). Both scores go through one
-    pass: rows are summed per (draw, score) before anything moves, and all metrics read those counts.
+    Each draw gives a row a Poisson number of copies by a hash of (draw, row). Rows are laid out once in ranges
+    of each score and never multiply: a task makes the copies of its rows as vectors over the draws, adds them
+    up per score and accumulates them from the highest score down. The first pass finds the totals of every
+    range, the second starts from what the ranges above hold. What is shuffled besides the rows are vectors,
+    one per range.
     """
-    drawn = rows.select(
-        row, "y", "score_a", "score_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    ).withColumn("w", copies(uniform(seed, F.col("draw"), F.col(row)))).filter("w > 0")
-    both = F.array(*[F.struct(F.lit(n).alias("which"), F.col(f"score_{n}").alias("score")) for n in ("a", "b")])
-    one = drawn.select("draw", "y", "w", F.explode(both).alias("x")).select("draw", "y", "w", "x.*")
-    keys = ["draw", "which"]
-    counts = written(score_counts(one, keys, F.col("w")), "draws")
-    found = auc(counts, keys).join(average_precision(counts, keys), keys)
-    wide = found.groupBy("draw").agg(
+    both = F.array(*[F.struct(F.lit(n).alias("which"), F.col(f"score_{n}").cast("double").alias("score")) for n in ("a", "b")])
+    one = rows.select(F.col(row).cast("string").alias("key"), (F.col("y") == 1).alias("y"), F.explode(both).alias("x")).select("key", "y", "x.*")
+    one = one.filter("key is not null and y is not null and score is not null")
+    slices = 2 * max(1, -(-rows.count() // target_rows(rows)))
+    ranged = one.repartitionByRange(slices, "which", "score", "key")
+    laid = written(ranged.withColumn("part", F.spark_partition_id()), "scores")
+    # Scores that go on in the next range, two per range at most: each is an element of the order by itself.
+    ends = laid.groupBy("which", "part").agg(F.array_distinct(F.array(F.min("score"), F.max("score"))).alias("ends"))
+    shared = ends.select("which", F.explode("ends").alias("tie")).groupBy("which", "tie").agg(F.count(F.lit(1)).alias("n"))
+    shared = written(shared.filter("n > 1").select(F.col("which").alias("tied"), "tie"), "ties")
+    laid = laid.join(F.broadcast(shared), (laid["which"] == F.col("tied")) & (laid["score"] == F.col("tie")), "left").drop("tied")
+
+    def totals(group: pa.Table) -> pa.Table:
+        pos, neg = np.zeros(draws, np.int64), np.zeros(draws, np.int64)
+        for begin in range(0, group.num_rows, CHUNK_ROWS):
+            some = group.slice(begin, CHUNK_ROWS)
+            weights, y = copy_counts(some.column("key").to_pylist(), draws, seed), some.column("y").to_numpy()
+            pos, neg = pos + weights[y].sum(axis=0), neg + weights[~y].sum(axis=0)
+        head = [group.column(c).slice(0, 1).combine_chunks() for c in ("which", "part", "tie")]
+        top = pa.array([max(group.column("score").to_numpy())])
+        return pa.table([*head, top, pa.array([pos.tolist()]), pa.array([neg.tolist()])], names=["which", "part", "tie", "top", "pos", "neg"])
+
+    vector = "which string, part int, tie double, top double, pos array<bigint>, neg array<bigint>"
+    sums = written(laid.groupBy("which", "part", "tie").applyInArrow(totals, vector), "totals")
+    long = sums.select("which", F.when(F.col("tie").isNull(), F.col("part")).alias("part"), "top", F.posexplode(F.arrays_zip("pos", "neg")).alias("draw", "n"))
+    long = long.groupBy("which", "part", "top", "draw").agg(F.sum("n.pos").alias("pos"), F.sum("n.neg").alias("neg"))
+    above = Window.partitionBy("which", "draw").orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("which", "draw")
+    carried = long.select(
+        "which", "part", "draw", "pos", "neg",
+        *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("pos", "neg")],
+        *[F.sum(c).over(whole).alias(f"{c}_all") for c in ("pos", "neg")],
+    )
+    carried = written(carried, "carried")
+    names = ["pos_above", "neg_above", "pos_all", "neg_all"]
+    packed = F.array_sort(F.collect_list(F.struct("draw", *names)))
+    # A list has one entry per draw.
+    carry = carried.filter("part is not null").groupBy("which", "part").agg(packed.alias("d")).select("which", "part", *[F.col(f"d.{n}").alias(n) for n in names])
+
+    def areas(group: pa.Table, start: pa.Table) -> pa.Table:
+        group = group.sort_by([("score", "descending")])
+        tp, fp, positives, negatives = (np.array(start.column(n)[0].as_py(), np.int64) for n in names)
+        scores = group.column("score").to_numpy()
+        pairs, steps = np.zeros(draws, np.int64), np.zeros(draws)
+        open_pos, open_neg = np.zeros(draws, np.int64), np.zeros(draws, np.int64)
+        for begin in range(0, len(scores), CHUNK_ROWS):
+            some = group.slice(begin, CHUNK_ROWS)
+            weights, y = copy_counts(some.column("key").to_pylist(), draws, seed), some.column("y").to_numpy()[:, None]
+            mine = scores[begin : begin + CHUNK_ROWS]
+            cuts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            pos, neg = np.add.reduceat(weights * y, cuts), np.add.reduceat(weights * ~y, cuts)
+            pos[0], neg[0] = pos[0] + open_pos, neg[0] + open_neg
+            # A score that goes on in the next rows is counted with them.
+            after = begin + CHUNK_ROWS
+            if after < len(scores) and scores[after] == mine[-1]:
+                open_pos, open_neg, pos, neg = pos[-1], neg[-1], pos[:-1], neg[:-1]
+            else:
+                open_pos, open_neg = np.zeros(draws, np.int64), np.zeros(draws, np.int64)
+            if len(pos):
+                upto, false = tp + np.cumsum(pos, axis=0), fp + np.cumsum(neg, axis=0)
+                pairs += (pos * (2 * (negatives - false) + neg)).sum(axis=0)
+                steps += np.where(pos > 0, pos * (upto / np.maximum(upto + false, 1)), 0.0).sum(axis=0)
+                tp, fp = upto[-1], false[-1]
+        columns = [pa.array([x.tolist()]) for x in (pairs, steps, positives, negatives)]
+        return pa.table([group.column("which").slice(0, 1).combine_chunks(), *columns], names=["which", "pairs", "steps", "positives", "negatives"])
+
+    found = laid.filter("tie is null").drop("tie").groupBy("which", "part").cogroup(carry.groupBy("which", "part")).applyInArrow(
+        areas, "which string, pairs array<bigint>, steps array<double>, positives array<bigint>, negatives array<bigint>"
+    )
+    cells = found.select("which", F.posexplode(F.arrays_zip("pairs", "steps", "positives", "negatives")).alias("draw", "n")).select("which", "draw", "n.*")
+    false = F.col("neg_above") + F.col("neg")
+    precision = (F.col("pos_above") + F.col("pos")) / F.greatest(F.col("pos_above") + F.col("pos") + false, F.lit(1))
+    ties = carried.filter("part is null").select(
+        "which", "draw", (F.col("pos") * (2 * (F.col("neg_all") - false) + F.col("neg"))).alias("pairs"), (F.col("pos") * precision).alias("steps"),
+        F.col("pos_all").alias("positives"), F.col("neg_all").alias("negatives"),
+    )
+    cells = cells.unionByName(ties)
+    measured = cells.groupBy("which", "draw").agg(
+        F.sum(F.col("pairs").cast("decimal(19,0)")).cast("double").alias("pairs"), F.sum("steps").alias("steps"),
+        F.max("positives").cast("double").alias("P"), F.max("negatives").cast("double").alias("N"),
+    )
+    both_classes = measured.filter((F.col("P") > 0) & (F.col("N") > 0)).select(
+        "which", "draw", (F.col("pairs") / (2.0 * F.col("P") * F.col("N"))).alias("auc"), (F.col("steps") / F.col("P")).alias("pr_auc")
+    )
+    wide = both_classes.groupBy("draw").agg(
         *[F.max(F.when(F.col("which") == n, F.col(m))).alias(f"{m}_{n}") for m in ("auc", "pr_auc") for n in ("a", "b")]
     )
     # A draw without both classes measures nothing.

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronotape.operators import logistic
 from chronotape.operators.evaluate import best_threshold, folds, holdout, score_counts
+from chronotape.plans.shared import written
 from chronotape.plans.split import quantiles
 
 # Inverse regularisation strengths tried, and folds.
@@ -29,59 +30,58 @@ def scored(predicted: DataFrame, *columns: str) -> DataFrame:
     return predicted.select(*columns, "y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
 
 
-def _head(strength: float, rows: int) -> Pipeline:
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-    head = LogisticRegression(featuresCol="scaled", labelCol="y", regParam=1.0 / (strength * rows), maxIter=100)
-    return Pipeline(stages=[scaler, head])
+def fitted_heads(
+    rows: DataFrame, others: DataFrame, row: str, sets: dict[str, Sequence[int]], strengths: Sequence[float] = STRENGTHS, k: int = FOLDS
+) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+    """Logistic heads on several sets of places in the `features` array, all fitted together.
 
-
-def choose_strength(
-    rows: DataFrame, row: str, strengths: Sequence[float] = STRENGTHS, k: int = FOLDS
-) -> tuple[float, list[tuple[float, float]], DataFrame]:
-    """Strength with the lowest mean log-loss over the folds, all means, and out-of-fold scores of the best.
-
-    Scaling is learned inside every fold, so a fold never sees its own mean.
+    Scaling is learned inside every fold. Returns the scores of `others` (name, row, y, score) under the fit on
+    all rows with the strength of the lowest mean log-loss, that strength, and the threshold of the largest F1
+    on out-of-fold scores.
     """
-    parted = folds(rows, row, k).cache()
-    sizes = {r["fold"]: r["n"] for r in parted.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    judge = MulticlassClassificationEvaluator(labelCol="y", metricName="logLoss")
-    means, kept = [], {}
-    for strength in strengths:
-        losses, parts = [], []
-        for fold in sorted(sizes):
-            model = _head(strength, total - sizes[fold]).fit(parted.filter(F.col("fold") != fold))
-            predicted = model.transform(parted.filter(F.col("fold") == fold))
-            losses.append(judge.evaluate(predicted))
-            parts.append(scored(predicted, row))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        means.append((float(strength), sum(losses) / len(losses)))
-        kept[float(strength)] = out
-    best = min(means, key=lambda m: (m[1], m[0]))[0]
-    return best, means, kept[best]
+    marked = written(folds(rows.select(row, "y", "features"), row, k).drop("_u"), "folds")
+    fits = logistic.fit_all(marked, sets, strengths, k)
+    best = logistic.best_strengths(fits)
+    chosen = [f for f in fits if f.strength == best[f.name]]
+    outside = logistic.scores(marked, [f for f in chosen if f.fold >= 0], row, out_of_fold=True)
+    found = best_threshold(score_counts(outside, ["name"]), ["name"]).collect()
+    thresholds = {r["name"]: r["threshold"] for r in found}
+    return logistic.scores(others, [f for f in chosen if f.fold < 0], row), best, thresholds
 
 
 def probe(
     train: DataFrame, others: DataFrame, vector: str, row: str, strengths: Sequence[float] = STRENGTHS
 ) -> tuple[DataFrame, float, float]:
     """A logistic head on vectors: scores of `others`, the chosen strength, the threshold from out-of-fold scores."""
-    ready = lambda df: df.withColumn("features", array_to_vector(F.col(vector)))
-    return fitted_head(ready(train), ready(others), row, strengths)
+    ready = lambda df: df.withColumn("features", F.col(vector).cast("array<double>"))
+    width = train.select(F.size(vector).alias("n")).first()["n"]
+    scores, best, thresholds = fitted_heads(ready(train), ready(others), row, {"head": range(width)}, strengths)
+    return scores.drop("name"), best["head"], thresholds["head"]
 
 
-def fitted_head(
-    rows: DataFrame, others: DataFrame, row: str, strengths: Sequence[float] = STRENGTHS
-) -> tuple[DataFrame, float, float]:
-    """The probe on a `features` column."""
-    strength, _, out_of_fold = choose_strength(rows, row, strengths)
-    threshold = best_threshold(score_counts(out_of_fold)).first()["threshold"]
-    model = _head(strength, rows.count()).fit(rows)
-    return scored(model.transform(others), row), strength, threshold
+def arrays(train: DataFrame, others: Sequence[DataFrame], numeric: Sequence[str], categorical: Sequence[str]) -> tuple[list[DataFrame], list[str]]:
+    """The tables with all inputs in one array `features`, and the column that each place comes from.
 
-
-def mixed_features(numeric: Sequence[str], categorical: Sequence[str], one_hot: bool = False) -> list:
+    Numbers are signed logs with the median of the training rows in place of a gap (0 without any value) and a
+    flag for it; a text is one place per value of the training rows and one for all other texts. Medians and
+    values come from one aggregate; a text column has few values.
+    """
+    ready = [prepared(df, numeric, categorical, log=True) for df in (train, *others)]
+    facts = ready[0].agg(
+        *[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in numeric], *[F.array_sort(F.collect_set(c)).alias(c) for c in categorical]
+    ).first()
+    cells: list[Column] = []
+    names: list[str] = []
+    for c in numeric:
+        cells += [F.coalesce(F.col(c), F.lit(facts[c] if facts[c] is not None else 0.0)), F.col(f"{c}_missing")]
+        names += [c, c]
+    for c in categorical:
+        cells += [(F.col(c) == v).cast("double") for v in facts[c]] + [(~F.col(c).isin(*facts[c])).cast("double")]
+        names += [c] * (len(facts[c]) + 1)
+    return [df.withColumn("features", F.array(*cells)) for df in ready], names
+
+
+def mixed_features(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     """Stages that turn numeric and text columns into one vector; gaps take the median, unseen texts a class of their own."""
     filled = [f"_f_{c}" for c in numeric]
     indexed = [f"_i_{c}" for c in categorical]
@@ -89,12 +89,7 @@ def mixed_features(numeric: Sequence[str], categorical: Sequence[str], one_hot:
     inputs = list(filled)
     if categorical:
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"))
-        if one_hot:
-            hot = [f"_h_{c}" for c in categorical]
-            stages.append(OneHotEncoder(inputCols=indexed, outputCols=hot, handleInvalid="keep"))
-            inputs += hot
-        else:
-            inputs += indexed
+        inputs += indexed
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return stages
 
@@ -119,12 +114,15 @@ def empty_as_zero(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
 
 
 def fill_hand_features(rows: DataFrame, numeric: Sequence[str], row: str) -> DataFrame:
-    """Signed logs with the median in place of a gap, and a flag for it."""
+    """Signed logs with the exact median of the column in place of a gap, and a flag for it; all columns in one plan."""
     logged = rows.select(row, *[signed_log(F.col(c).cast("double")).alias(c) for c in numeric])
-    medians = {c: quantiles(logged, [], c, {"median": 0.5}) for c in numeric}
-    return logged.select(
+    long = logged.unpivot([], list(numeric), "column", "value")
+    medians = quantiles(long, ["column"], "value", {"median": 0.5})
+    # One row per column.
+    wide = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", "median"))).alias("medians"))
+    return logged.join(F.broadcast(wide)).select(
         row,
-        *[F.coalesce(F.col(c), medians[c].scalar(), F.lit(0.0)).alias(c) for c in numeric],
+        *[F.coalesce(F.col(c), F.element_at("medians", F.lit(c)), F.lit(0.0)).alias(c) for c in numeric],
         *[F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in numeric],
     )
 

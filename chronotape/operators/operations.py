@@ -71,11 +71,11 @@ def hours_between(now: Column, then: Column) -> Column:
     return (now - then) / F.lit(float(HOUR))
 
 
-def novelty(tape: DataFrame) -> DataFrame:
+def novelty(tape: DataFrame, clients: Split | None = None) -> DataFrame:
     """Per operation: hours since the client last used the same code, merchant, country or payee.
 
     One row per (operation, field) is enough: the four fields are stacked and
-    share a single pass over (client, field, value).
+    share a single pass over (client, field, value). `clients` is a split of the tape by client.
     """
     purchase, outgoing = p.is_purchase(), kind("transfer_out", "p2p_out")
     past = {"mcc": purchase, "merchant": purchase, "country": purchase, "counterparty": outgoing}
@@ -92,7 +92,7 @@ def novelty(tape: DataFrame) -> DataFrame:
     stacked = tape.select(
         "client", "id", "t", operation.alias("scored"), F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")
     ).select("client", "id", "t", "scored", "m.*")
-    split = plan_split(stacked, ["client", "name", "value"], "t")
+    split = plan_split(stacked, ["client", "name", "value"], "t", like=clients)
     seen = running(stacked, split, [Measure("before", "max", F.when(F.col("past"), F.col("t")))])
     hours = hours_between(F.col("t"), F.col("before"))
     return (
@@ -110,10 +110,10 @@ def novelty(tape: DataFrame) -> DataFrame:
     )
 
 
-def profile_at_rows(tape: DataFrame, fields=PROFILE_FIELDS) -> DataFrame:
+def profile_at_rows(tape: DataFrame, fields=PROFILE_FIELDS, clients: Split | None = None) -> DataFrame:
     """Old value of the first change at or after each row, per field: `<f>_hit`, `<f>_old`."""
     turned = tape.withColumn("_neg", -F.col("t"))
-    split = plan_split(turned, ["client"], "_neg")
+    split = plan_split(turned, ["client"], "_neg", like=clients)
     measures = [
         Measure(
             f"_{f}",
@@ -194,7 +194,9 @@ def history_features() -> dict[str, Column]:
 def operation_features(tape: DataFrame, snapshot: DataFrame, eligible_from: int) -> DataFrame:
     """One row per operation from `eligible_from` on, with every feature."""
     scored = p.is_operation() & (F.col("t") >= eligible_from)
-    rows = profile_at_rows(history(tape)).filter(scored).join(novelty(tape), "id", "left")
+    # Clients are counted once; all ordered passes follow that count.
+    clients = plan_split(tape, ["client"], "t")
+    rows = profile_at_rows(history(tape, clients), clients=clients).filter(scored).join(novelty(tape, clients), "id", "left")
     snap = snapshot.select(
         "client", "gender", "birth_day", "lifelong", *[F.col(f).alias(f"snap_{f}") for f in PROFILE_FIELDS]
     )

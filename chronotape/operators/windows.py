@@ -78,7 +78,6 @@ def spells(transitions: DataFrame, until: int, carried: Sequence[str] = ()) -> D
     rows = following(
         transitions, "started_at", ["client"], {"_next_at": "started_at", "next_stage": "stage"}, ["id"]
     )
-    # `following` compares the negated order, so moments come back as they are.
     ended = F.coalesce(F.col("_next_at"), F.lit(until))
     return rows.select(
         "client", "id", "started_at", "stage", *carried, "next_stage",
@@ -273,7 +272,7 @@ def episodes(transitions: DataFrame, opening: str, closing: str, until: int) ->
     turned = previous(relevant, split, {"_before": "stage"}, ["id"]).filter(
         F.col("_before").isNull() | (F.col("_before") != F.col("stage"))
     )
-    ends = following(turned, "started_at", ["client"], {"_end": "started_at"}, ["id"])
+    ends = following(turned, "started_at", ["client"], {"_end": "started_at"}, ["id"], like=split)
     return ends.filter(F.col("stage") == opening).select(
         "client", F.col("started_at").alias("opened_at"), F.coalesce(F.col("_end"), F.lit(until)).alias("closed_at")
     )

@@ -1,66 +1,77 @@
 """Ordered work per key that holds when one key owns a third of all rows.
 
-A window partitioned by client puts a client into one task. Here every plan counts the rows of each key.
-A key over the target size of a slice is cut into slices of its order column at approximate quantiles, as
-many as its rows ask for; the window then runs per (key, slice), and the totals of the slices, accumulated
-over the earlier ones, are joined back as the carry. The other keys are one slice each. It is one lazy plan
-at every size: nothing runs while it is built, nothing comes to the driver.
-
-Two bounds hold without a cap. Only a key with more than 1 / MOST_SLICES of all rows is cut, so at most
-MOST_SLICES keys have cut points, at most MOST_SLICES each: that table is broadcast. And no key that stays
-whole, nor a slice, has more than about that share of all rows, or the target, whichever is larger. Rows of
-one instant of one key stay in one slice.
+A window partitioned by client puts a client into one task. So the rows of each key are counted first, once for
+all operators that work on them. Keys of up to TARGET_ROWS rows go through a plain window. The rows of heavier
+keys are laid out once more: range-partitioned by key, order and tie-breakers and written, so that a slice is a
+range of the whole order. The window then runs per (key, slice), and the totals of the slices, accumulated over
+the earlier ones, are joined back as the carry.
+
+There are as many slices as the rows ask for, without an end. Slices are cut by the total order, so the rows of
+one instant are cut as well. Where an operator compares moments only, rows are first added up per instant, the
+instants are laid out, and every row takes the value of its instant.
+
+The driver gets two numbers per plan: how many keys are heavy, and how many rows they have.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotape.plans.shared import written
+
 #: Rows of a slice, more or less.
 TARGET_CONF = "spark.chronotape.splitRows"
 TARGET_ROWS = 1_000_000
-MOST_SLICES = 2048
+#: Heavy keys that are sent to every task; more of them are joined by a shuffle.
+SENT_KEYS = 100_000
 
 _SLICE = "_slice"
-_CUTS = "_cuts"
-_MANY = "_many"
-_STEPS = [1 << i for i in range(MOST_SLICES.bit_length() - 2, -1, -1)]
 
 
 @dataclass(frozen=True)
 class Split:
-    """How the rows of `keys` are ordered by `at`; `cuts` has the cut points of the heavy keys."""
+    """How the rows of `keys` are ordered by `at`, and which keys are heavy.
+
+    `rows` is how many rows the heavy keys have together, 0 if there are none; `heavy` is the table of them
+    (none without keys: then all rows are one group).
+    """
 
     keys: tuple[str, ...]
     at: str
-    cuts: DataFrame
+    rows: int = 0
+    heavy: DataFrame | None = None
+    sent: bool = True
 
 
 def target_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(TARGET_CONF, str(TARGET_ROWS)))
 
 
-def plan_split(df: DataFrame, keys: Sequence[str], at: str) -> Split:
-    """Cut points of the keys with many rows, by `at` (a number, never null); a table that nothing computes yet."""
+def plan_split(df: DataFrame, keys: Sequence[str], at: str, like: Split | None = None) -> Split:
+    """Count the rows of every key, to be ordered by `at` (a number, never null).
+
+    `like` is the split of a table of which every row gives one row of a key here, at most. With the same keys
+    it is taken over; with fewer keys and none heavy, none can be heavy here. So a table is counted once.
+    """
     keys = tuple(keys)
-    slim = df.select(*keys, at)
+    if like is not None:
+        if like.keys == keys:
+            return replace(like, at=at)
+        if not like.rows and set(like.keys) <= set(keys):
+            return Split(keys, at)
     target = target_rows(df)
-    counted = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target)
-    if keys:
-        total = slim.agg(F.count(F.lit(1)).alias("n")).scalar()
-        counted = counted.filter(F.col("_n") * MOST_SLICES > total)
-    heavy = counted.select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys], F.least(F.lit(MOST_SLICES), F.ceil(F.col("_n") / target)).cast("int").alias(_MANY)
-    )
-    # At most MOST_SLICES keys hold more than 1 / MOST_SLICES of the rows.
-    rows = slim.join(F.broadcast(heavy), _same(slim, heavy, keys, "_h_"))
-    points = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(at, points, 4 * MOST_SLICES).alias(_CUTS), F.max(_MANY).alias(_MANY))
-    return Split(keys, at, cuts)
+    if not keys:
+        rows = df.select(F.lit(1)).count()
+        return Split(keys, at, rows if rows > target else 0)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target)
+    many, rows = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if not many:
+        return Split(keys, at)
+    return Split(keys, at, int(rows), written(counted.select(*keys), "heavy"), many <= SENT_KEYS)
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
@@ -70,22 +81,14 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -
     return condition
 
 
-def _sliced(df: DataFrame, split: Split, at: Column | None = None) -> DataFrame:
-    """Add the slice of every row: the number of cut points below `at`, in as many groups as the key has slices.
-
-    Equal moments fall into one slice: it is a function of `at` alone. Keys without cut points are slice -1.
-    """
-    at = F.col(split.at) if at is None else at
-    renamed = split.cuts.select(*[F.col(k).alias(f"_c_{k}") for k in split.keys], _CUTS, _MANY)
-    joined = df.join(F.broadcast(renamed), _same(df, renamed, split.keys, "_c_"), "left").drop(*[f"_c_{k}" for k in split.keys])
-    # The cut points are sorted, one fewer than a power of two: a binary search.
-    below = F.aggregate(
-        F.array(*[F.lit(s) for s in _STEPS]),
-        F.lit(0),
-        lambda low, step: F.when(F.get(_CUTS, low + step - 1) < at, low + step).otherwise(low),
-    )
-    place = F.floor(below * F.col(_MANY) / MOST_SLICES).cast("int")
-    return joined.withColumn(_SLICE, F.when(F.col(_CUTS).isNull(), F.lit(-1)).otherwise(place)).drop(_CUTS, _MANY)
+def _parted(df: DataFrame, split: Split) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of the light keys (none without keys) and of the heavy ones, these written once."""
+    if split.heavy is None:
+        return None, written(df, "heavy")
+    heavy = split.heavy.select(*[F.col(k).alias(f"_h_{k}") for k in split.keys])
+    heavy = F.broadcast(heavy) if split.sent else heavy
+    same = _same(df, heavy, split.keys, "_h_")
+    return df.join(heavy, same, "left_anti"), written(df.join(heavy, same, "left_semi"), "heavy")
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -109,6 +112,12 @@ class Measure:
 _AGGREGATE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def _framed(keys: Sequence[str], order: Sequence[Column | str], by_row: bool, through: bool):
+    window = Window.partitionBy(*keys).orderBy(*order)
+    last = 0 if through else -1
+    return window.rowsBetween(Window.unboundedPreceding, last) if by_row else window.rangeBetween(Window.unboundedPreceding, last)
+
+
 def running(
     df: DataFrame,
     split: Split,
@@ -124,54 +133,60 @@ def running(
     With `then_by` the order is total and works row by row. `through` includes
     the current row.
     """
+    if not split.rows:
+        return _plain(df, split, measures, through, then_by)
+    light, heavy = _parted(df, split)
     if then_by is None:
-        order = [F.col(split.at).asc()]
-        last = 0 if through else -1
-        framed = lambda w: w.rangeBetween(Window.unboundedPreceding, last)
+        done = _by_instant(heavy, heavy, split.at, split, measures, through)
     else:
-        order = [F.col(split.at).asc(), *then_by]
-        last = 0 if through else -1
-        framed = lambda w: w.rowsBetween(Window.unboundedPreceding, last)
-
-    raw = {m.name: f"_raw_{m.name}" for m in measures}
-    base = df.select("*", *[m.value.alias(raw[m.name]) for m in measures])
-    return _accumulate(_sliced(base, split), df.columns, list(split.keys), order, framed, measures, raw)
+        done = _by_slices(heavy, split, measures, through, then_by)
+    return done if light is None else _plain(light, split, measures, through, then_by).unionByName(done)
 
 
-def _zero(measure: Measure, value: Column) -> Column:
-    return F.coalesce(value, F.lit(0)) if measure.how == "sum" else value
+def _plain(df: DataFrame, split: Split, measures: Sequence[Measure], through: bool, then_by) -> DataFrame:
+    """All rows of a key in one window."""
+    window = _framed(split.keys, [F.col(split.at).asc(), *(then_by or [])], then_by is not None, through)
+    found = [_AGGREGATE[m.how](m.value).over(window) for m in measures]
+    return df.select("*", *[(F.coalesce(v, F.lit(0)) if m.how == "sum" else v).alias(m.name) for m, v in zip(measures, found, strict=True)])
 
 
-def _accumulate(cut, columns, keys, order, framed, measures, raw):
-    totals = (
-        cut.filter(F.col(_SLICE) >= 0)
-        .groupBy(*keys, _SLICE)
-        .agg(*[_AGGREGATE[m.how](raw[m.name]).alias(raw[m.name]) for m in measures])
-    )
+def _by_slices(df: DataFrame, split: Split, measures: Sequence[Measure], through: bool, then_by: Sequence[Column | str]) -> DataFrame:
+    """Rows in ranges of the total order; each range adds what the earlier ones of its key have."""
+    keys, order = list(split.keys), [F.col(split.at).asc(), *then_by]
+    raw = {m.name: f"_raw_{m.name}" for m in measures}
+    slices = -(-split.rows // target_rows(df))
+    ranged = df.select("*", *[m.value.alias(raw[m.name]) for m in measures]).repartitionByRange(slices, *[F.col(k) for k in keys], *order)
+    laid = written(ranged.withColumn(_SLICE, F.spark_partition_id()), "layout")
+    totals = laid.groupBy(*keys, _SLICE).agg(*[_AGGREGATE[m.how](raw[m.name]).alias(raw[m.name]) for m in measures])
     before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         *[F.col(k).alias(f"_ckey_{k}") for k in keys],
         F.col(_SLICE).alias("_cslice_"),
         *[_AGGREGATE[m.how](raw[m.name]).over(before).alias(f"_cval_{m.name}") for m in measures],
     )
-    condition = cut[_SLICE] == carry["_cslice_"]
-    for key in keys:
-        condition = condition & cut[key].eqNullSafe(carry[f"_ckey_{key}"])
-    # One carry row per slice of a heavy key.
-    joined = cut.join(carry, on=condition, how="left")
-    window = framed(Window.partitionBy(*keys, _SLICE).orderBy(*order))
+    # One carry row per key and slice.
+    joined = laid.join(carry, _same(laid, carry, keys, "_ckey_") & (laid[_SLICE] == carry["_cslice_"]))
+    window = _framed([*keys, _SLICE], order, True, through)
     found = []
     for m in measures:
-        local = _AGGREGATE[m.how](raw[m.name]).over(window)
-        carried = F.col(f"_cval_{m.name}")
+        local, carried = _AGGREGATE[m.how](raw[m.name]).over(window), F.col(f"_cval_{m.name}")
         if m.how == "sum":
             value = F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
-        elif m.how == "max":
-            value = F.greatest(local, carried)
         else:
-            value = F.least(local, carried)
+            value = F.greatest(local, carried) if m.how == "max" else F.least(local, carried)
         found.append(value.alias(m.name))
-    return joined.select(*columns, *found)
+    return joined.select(*df.columns, *found)
+
+
+def _by_instant(rows: DataFrame, source: DataFrame, at: str, split: Split, measures: Sequence[Measure], through: bool) -> DataFrame:
+    """`rows` with the measures of `source` before (or through) the moment split.at: `source` is added up per moment `at` first."""
+    keys = list(split.keys)
+    instants = source.groupBy(*keys, F.col(at).alias("_instant")).agg(*[_AGGREGATE[m.how](m.value).alias(m.name) for m in measures])
+    parts = [Measure(f"_upto_{m.name}", m.how, F.col(m.name)) for m in measures]
+    done = _by_slices(instants, replace(split, at="_instant"), parts, through, [])
+    done = done.select(*[F.col(k).alias(f"_i_{k}") for k in keys], F.col("_instant").alias("_i_"), *[f"_upto_{m.name}" for m in measures])
+    joined = rows.join(done, _same(rows, done, keys, "_i_") & (rows[split.at] == done["_i_"]))
+    return joined.select(*rows.columns, *[F.col(f"_upto_{m.name}").alias(m.name) for m in measures])
 
 
 def rolling_sums(
@@ -189,44 +204,46 @@ def rolling_sums(
     rolling sum is a running sum: its cost does not grow with the frame.
     """
     pairs = list(pairs) if pairs is not None else [(v, w) for v in values for w in windows]
-    used = {w for _, w in pairs}
-    windows = {name: size for name, size in windows.items() if name in used}
-    keys = list(split.keys)
-    raw = {name: f"_raw_{name}" for name in values}
-    rest = [c for c in df.columns if c not in keys]
-    base = df.select(
-        *keys,
-        F.struct(*rest).alias("_row"),
-        F.col(split.at).alias("_at"),
-        *[F.coalesce(v, F.lit(0)).alias(raw[n]) for n, v in values.items()],
-    )
-    sizes = sorted(set(windows.values()))
-    # What leaves is only needed where something entered, and carries no payload.
-    entered = F.lit(False)
-    for n in values:
-        entered = entered | (F.col(raw[n]) != 0)
-    shifts = F.array(*[F.lit(s).cast("bigint") for s in sizes])
-    moved = base.select(
-        "*",
-        F.explode(F.concat(F.array(F.lit(0).cast("bigint")), F.when(entered, shifts).otherwise(F.array().cast("array<bigint>")))).alias("_shift"),
-    ).withColumns({"_moment": F.col("_at") + F.col("_shift"), "_row": F.when(F.col("_shift") == 0, F.col("_row"))})
-    deltas, names = [], []
-    for v, w in pairs:
-        name = f"{v}_{w}"
-        names.append(name)
-        sign = F.when(F.col("_shift") == 0, 1).when(F.col("_shift") == windows[w], -1).otherwise(0)
-        deltas.append((sign * F.col(raw[v])).alias(f"_raw_{name}"))
-    moved = _sliced(moved.select(*keys, "_row", "_moment", *deltas), split, F.col("_moment"))
-    measures = [Measure(name, "sum", F.col(f"_raw_{name}")) for name in names]
-    framed = lambda w: w.rangeBetween(Window.unboundedPreceding, -1)
-    out = _accumulate(moved, [*keys, "_row"], keys, [F.col("_moment").asc()], framed, measures, {name: f"_raw_{name}" for name in names})
-    return out.filter("_row is not null").select(
-        *[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns], *names
-    )
+    keys, at = list(split.keys), split.at
+    sizes = sorted({windows[w] for _, w in pairs})
+    names = [f"{v}_{w}" for v, w in pairs]
+    measures = [Measure(n, "sum", F.col(f"_raw_{n}")) for n in names]
+
+    def moved(rows: DataFrame, payload: list[Column]) -> DataFrame:
+        """Every row at its moment, with its payload, and again where its values leave a window."""
+        base = rows.select(*keys, F.col(at).alias("_at"), *payload, *[F.coalesce(v, F.lit(0)).alias(f"_raw_{n}") for n, v in values.items()])
+        # What leaves is only needed where something entered.
+        entered = F.lit(False)
+        for n in values:
+            entered = entered | (F.col(f"_raw_{n}") != 0)
+        now, later = F.array(F.lit(0).cast("bigint")), F.array(*[F.lit(x).cast("bigint") for x in sizes])
+        shifted = base.select("*", F.explode(F.when(entered, F.concat(now, later)).otherwise(now)).alias("_shift"))
+        deltas = []
+        for v, w in pairs:
+            sign = F.when(F.col("_shift") == 0, 1).when(F.col("_shift") == windows[w], -1).otherwise(0)
+            deltas.append((sign * F.col(f"_raw_{v}")).alias(f"_raw_{v}_{w}"))
+        carried = [F.when(F.col("_shift") == 0, F.col("_row")).alias("_row")] if payload else []
+        return shifted.select(*keys, *carried, (F.col("_at") + F.col("_shift")).alias("_moment"), *deltas)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        packed = F.struct(*[c for c in df.columns if c not in keys]).alias("_row")
+        summed = _plain(moved(rows, [packed]), replace(split, at="_moment"), measures, False, None)
+        return summed.filter("_row is not null").select(
+            *[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns], *names
+        )
+
+    if not split.rows:
+        return plain(df)
+    light, heavy = _parted(df, split)
+    done = _by_instant(heavy, moved(heavy, []), "_moment", split, measures, False)
+    return done if light is None else plain(light).unionByName(done)
 
 
 def number_rows(df: DataFrame, split: Split, then_by: Sequence[Column | str], name: str = "ordinal") -> DataFrame:
     """Number the rows of each key from 0 in a total order."""
+    if not split.rows:
+        order = Window.partitionBy(*split.keys).orderBy(F.col(split.at).asc(), *then_by)
+        return df.withColumn(name, (F.row_number().over(order) - 1).cast("bigint"))
     return running(df, split, [Measure(name, "sum", F.lit(1).cast("bigint"))], then_by=then_by).withColumn(
         name, F.col(name).cast("bigint")
     )
@@ -236,26 +253,31 @@ def previous(
     df: DataFrame, split: Split, values: dict[str, Column | str], then_by: Sequence[str]
 ) -> DataFrame:
     """`lag` by one row: the values of the row before in the total order (at, then_by)."""
-    names = list(values)
-    packed = F.struct(
-        F.col(split.at).alias("_at"),
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(then_by)],
-        *[(F.col(v) if isinstance(v, str) else v).alias(n) for n, v in values.items()],
-    )
-    out = running(df, split, [Measure("_previous", "max", packed)], then_by=list(then_by))
-    return out.select(*df.columns, *[F.col(f"_previous.{n}").alias(n) for n in names])
+    return _neighbour(df, split, values, then_by, F.lag)
 
 
 def following(
-    df: DataFrame, split_at: str, keys: Sequence[str], values: dict[str, Column | str], then_by: Sequence[str]
+    df: DataFrame, split_at: str, keys: Sequence[str], values: dict[str, Column | str], then_by: Sequence[str], like: Split | None = None
 ) -> DataFrame:
-    """`lead` by one row: `previous` over the reversed order (order columns are numbers)."""
+    """`lead` by one row: the values of the row after in the total order (order columns are numbers)."""
+    split = plan_split(df, keys, split_at, like)
+    if not split.rows:
+        return _neighbour(df, split, values, then_by, F.lead)
+    turned = df.select("*", (-F.col(split_at)).alias("_neg"), *[(-F.col(c)).alias(f"_neg{i}") for i, c in enumerate(then_by)])
     reverse = [f"_neg{i}" for i in range(len(then_by))]
-    turned = df.withColumn("_neg", -F.col(split_at))
-    for name, column in zip(reverse, then_by):
-        turned = turned.withColumn(name, -F.col(column))
-    split = plan_split(turned, keys, "_neg")
-    return previous(turned, split, values, reverse).drop("_neg", *reverse)
+    return _neighbour(turned, replace(split, at="_neg"), values, reverse, F.lag).drop("_neg", *reverse)
+
+
+def _neighbour(df: DataFrame, split: Split, values: dict[str, Column | str], then_by: Sequence[str], step) -> DataFrame:
+    names = list(values)
+    picked = [(F.col(v) if isinstance(v, str) else v).alias(n) for n, v in values.items()]
+    if not split.rows:
+        order = Window.partitionBy(*split.keys).orderBy(split.at, *then_by)
+        out = df.withColumn("_beside", step(F.struct(*picked)).over(order))
+    else:
+        packed = F.struct(F.col(split.at).alias("_at"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(then_by)], *picked)
+        out = running(df, split, [Measure("_beside", "max", packed)], then_by=list(then_by))
+    return out.select(*df.columns, *[F.col(f"_beside.{n}").alias(n) for n in names])
 
 
 def quantiles(
@@ -272,10 +294,8 @@ def quantiles(
     other rule returns the first value whose share of rows reaches p.
     """
     keys = list(keys)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "values"
     )
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     below = running(

@@ -635,31 +635,37 @@ def m5_partners(spark, sf):
 
 # --- batches, order, ablations, drift ---------------------------------------------------
 
-BUDGET = 3000
-SHARD = 64
-COSTS = "costs as (select doc_id, row_number() over (order by doc_id) - 1 as place, 1 + n_chars // 4 as cost from documents)"
-PACKED = f"""recursive {COSTS}, pack as (select place // {SHARD} as shard, place, cost, 0::bigint as batch, cost as spent from costs where place % {SHARD} = 0
- union all select p.shard, c.place, c.cost, case when p.spent + c.cost > {BUDGET} then p.batch + 1 else p.batch end, case when p.spent + c.cost > {BUDGET} then c.cost else p.spent + c.cost end
- from pack p join costs c on c.place = p.place + 1 and c.place // {SHARD} = p.shard)"""
+BUDGET = 500
+SAMPLE_COST = "(case when key_ids = '' then 0 else len(key_ids) - len(replace(key_ids, ',', '')) + 1 end + profile_tokens + 1)::bigint"
+COSTS = f"costs as (select client, row_number() over (order by client) - 1 as place, {SAMPLE_COST} as cost from sampled)"
+PACK = f"""pack as (select place, cost, 0::bigint as batch, cost as spent from costs where place = 0
+ union all select c.place, c.cost, case when p.spent + c.cost > {BUDGET} then p.batch + 1 else p.batch end, case when p.spent + c.cost > {BUDGET} then c.cost else p.spent + c.cost end
+ from pack p join costs c on c.place = p.place + 1)"""
+PACKED = (*VOCAB, CODED, ENCODED, SAMPLED, COSTS.replace("costs as (", "costs as materialized (", 1), PACK)
 
 
 def packed(spark, sf):
+    """The samples of V11 in the order of their clients, by event and profile tokens and one more."""
     from chronotape.plans.split import number_rows, plan_split
 
-    rows = read(spark, sf, "documents").select("doc_id", (1 + F.floor(F.col("n_chars") / 4)).cast("bigint").alias("cost"))
-    costs = number_rows(rows, plan_split(rows, [], "doc_id"), [], "place")
-    return bx.packed(costs, BUDGET, shard_rows=SHARD)
+    cost = (F.size("key_ids") + F.col("profile_tokens") + 1).cast("bigint")
+    rows = written(sampled(spark, sf).select("client", cost.alias("cost"), F.lit(0).alias("same")), "costs")
+    costs = number_rows(rows, plan_split(rows, [], "same"), ["client"], "place")
+    return bx.packed(costs, BUDGET)
 
 
-@query("M6_token_batches", f"with {PACKED} select shard, place, cost, batch from pack")
+@query("M6_token_batches", with_tape("select place, cost, batch from pack", *PACKED).replace("with ", "with recursive ", 1))
 def m6(spark, sf):
     return packed(spark, sf)
 
 
 @query(
     "M6_batching_summary",
-    f"""with {PACKED} select count(*) as batches, sum(n)::bigint as samples, count(*) filter (where c > {BUDGET}) as oversize, max(n) as largest, sum(c) / (count(*) * {BUDGET}) as fill
- from (select shard, batch, count(*) as n, sum(cost) as c from pack group by 1, 2)""",
+    with_tape(
+        f"""select count(*) as batches, sum(n)::bigint as samples, count(*) filter (where c > {BUDGET}) as oversize, max(n) as largest, sum(c) / (count(*) * {BUDGET}) as fill
+ from (select batch, count(*) as n, sum(cost) as c from pack group by 1)""",
+        *PACKED,
+    ).replace("with ", "with recursive ", 1),
 )
 def m6_summary(spark, sf):
     return bx.packing_summary(packed(spark, sf), BUDGET)

@@ -444,22 +444,15 @@ def group_of(column):
 def e15(spark, sf):
     rows = model_rows(spark, sf)
     train, held = parted(rows)
+    (fit_on, others), names = ml.arrays(train, [held], numeric(rows), CATEGORICAL)
     groups = {}
-    for column in (*numeric(rows), *CATEGORICAL):
-        groups.setdefault(group_of(column), []).append(column)
-    found = None
-    for name, columns in groups.items():
-        texts = [c for c in columns if c in CATEGORICAL]
-        numbers = [c for c in columns if c not in CATEGORICAL]
-        inputs = [*numbers, *[f"{c}_missing" for c in numbers]]
-        ready = lambda df: ml.prepared(df, numbers, texts, log=True)  # noqa: B023, E731
-        fit_on = ml.empty_as_zero(ready(train), inputs) if inputs else ready(train)
-        stages = ml.Pipeline(stages=ml.mixed_features(inputs, texts, one_hot=True)).fit(fit_on)
-        vectors = [stages.transform(df).select("client", "y", "features") for df in (fit_on, ready(held))]
-        scores, strength, _ = ml.fitted_head(*vectors, "client")
-        one = ev.metrics(scores).select(F.lit(name).alias("features"), "*", F.lit(strength).alias("strength"))
-        found = one if found is None else found.unionByName(one)
-    return found
+    for place, column in enumerate(names):
+        groups.setdefault(group_of(column), []).append(place)
+    scores, strengths, _ = ml.fitted_heads(fit_on, others, "client", groups)
+    # One strength per group.
+    chosen = F.create_map(*[x for name, strength in strengths.items() for x in (F.lit(name), F.lit(strength))])
+    found = ev.metrics(scores.withColumnRenamed("name", "features"), ["features"])
+    return found.withColumn("strength", F.element_at(chosen, F.col("features")))
 
 
 RUNS = """runs as (select seed, scenario, sum(cents) / count(*) as value from (select o_orderkey // 4 % 50 as seed, case when o_orderkey % 2 = 0 then 'a' else 'b' end as scenario, round(o_totalprice * 100)::bigint as cents from orders) group by 1, 2)"""

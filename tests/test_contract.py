@@ -125,19 +125,18 @@ def test_packing_equals_a_greedy_loop(spark):
     import random
 
     draw = random.Random(2)
-    costs = [draw.choice([1, 5, 40, 250]) for _ in range(300)]
-    df = spark.createDataFrame(list(enumerate(costs)), "place bigint, cost bigint")
-    got = {r["place"]: (r["shard"], r["batch"]) for r in bx.packed(df, 100, shard_rows=70).collect()}
-    want, spent, batch = {}, 0, 0
-    for i, c in enumerate(costs):
-        if i % 70 == 0:
-            spent, batch = c, 0
-        elif spent + c > 100:
-            spent, batch = c, batch + 1
-        else:
-            spent += c
-        want[i] = (i // 70, batch)
-    assert got == want
+    for costs, budget in (([draw.choice([1, 5, 40, 250]) for _ in range(300)], 100), ([7] * 65, 7), ([3], 1), ([1] * 50, 1000)):
+        df = spark.createDataFrame(list(enumerate(costs)), "place bigint, cost bigint").repartition(4)
+        got = {r["place"]: r["batch"] for r in bx.packed(df, budget).collect()}
+        want, spent, batch = {}, 0, 0
+        for i, c in enumerate(costs):
+            if i and spent + c > budget:
+                spent, batch = c, batch + 1
+            else:
+                spent += c
+            want[i] = batch
+        assert got == want
+    assert bx.packed(df.limit(0), 10).count() == 0
 
 
 def mask_rows(spark, n=3000):

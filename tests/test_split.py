@@ -1,4 +1,4 @@
-"""Ordered work on a key that is cut into slices equals the plain window."""
+"""Ordered work on heavy keys, laid out in slices, equals the plain window."""
 
 import random
 
@@ -23,7 +23,7 @@ def brute(data, window):
 def test_rolling_sums_of_a_heavy_key(splitting):
     data, df = rows(splitting)
     split = sp.plan_split(df, ["client"], "t")
-    assert split.cuts.count() > 0
+    assert split.rows > 0 and split.heavy.count() > 0
     got = sp.rolling_sums(df, split, {"w": 7}, {"x": F.col("x"), "n": F.lit(1)}).collect()
     want = brute(data, 7)
     assert len(got) == len(data)
@@ -41,7 +41,7 @@ def test_plain_and_heavy_agree_on_every_measure(spark):
     for limit in ("1000000", "20"):
         spark.conf.set(sp.TARGET_CONF, limit)
         split = sp.plan_split(df, ["client"], "t")
-        assert (split.cuts.count() > 0) == (limit == "20")
+        assert (split.rows > 0) == (limit == "20")
         for through in (False, True):
             for then_by in (None, ["id"]):
                 out = sp.running(df, split, measures, through=through, then_by=then_by).collect()
@@ -51,29 +51,64 @@ def test_plain_and_heavy_agree_on_every_measure(spark):
         assert plain == heavy
 
 
-def test_one_instant_is_never_cut(splitting):
-    df = splitting.createDataFrame([("a", 5, i, 1) for i in range(80)], "client string, t bigint, id bigint, x bigint")
-    out = sp.running(df, sp.plan_split(df, ["client"], "t"), [sp.Measure("n", "sum", F.col("x"))])
+def layouts(monkeypatch):
+    """The stored layouts that operators make, as they make them."""
+    made = []
+
+    def keep(df, name="step"):
+        out = real(df, name)
+        if name == "layout":
+            made.append(out)
+        return out
+
+    real = sp.written
+    monkeypatch.setattr(sp, "written", keep)
+    return made
+
+
+def test_one_instant_is_cut_by_the_tie(splitting, monkeypatch):
+    made = layouts(monkeypatch)
+    df = splitting.createDataFrame([("a", 5, i, 1) for i in range(800)], "client string, t bigint, id bigint, x bigint")
+    split = sp.plan_split(df, ["client"], "t")
+    out = sp.running(df, split, [sp.Measure("n", "sum", F.col("x"))], then_by=["id"])
+    assert {(r["id"], r["n"]) for r in out.collect()} == {(i, i) for i in range(800)}
+    assert made[0].groupBy("_slice").count().agg(F.max("count")).first()[0] < 100
+    out = sp.running(df, split, [sp.Measure("n", "sum", F.col("x"))])
     assert {r["n"] for r in out.collect()} == {0}
+    assert made[1].count() == 1
 
 
-def test_slices_grow_with_the_rows(spark):
-    df = spark.range(6000).selectExpr("'a' as client", "id * id as t", "id")
-    slices = {}
-    for target in (3000, 1000, 100):
+def test_slices_grow_with_the_rows(spark, monkeypatch):
+    made = layouts(monkeypatch)
+    df = spark.range(60_000).selectExpr("'a' as client", "id * id as t", "id")
+    for target in (30_000, 1000, 20):
         spark.conf.set(sp.TARGET_CONF, str(target))
-        cut = sp._sliced(df, sp.plan_split(df, ["client"], "t")).groupBy("_slice").count().collect()
-        slices[target] = len(cut)
-        assert max(r["count"] for r in cut) <= 1.2 * target
+        sp.number_rows(df, sp.plan_split(df, ["client"], "t"), ["id"])
+        sizes = [r["count"] for r in made[-1].groupBy("_slice").count().collect()]
+        assert len(sizes) > 0.8 * 60_000 / target and max(sizes) <= 3 * target
     spark.conf.unset(sp.TARGET_CONF)
-    assert slices == {3000: 2, 1000: 6, 100: 60}
 
 
-def test_nothing_runs_while_a_plan_is_built(spark):
+def test_light_keys_stay_in_a_plain_window(spark, monkeypatch):
+    made = layouts(monkeypatch)
     _, df = rows(spark)
-    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
-    sp.running(df, sp.plan_split(df, ["client"], "t"), [sp.Measure("n", "sum", F.col("x"))])
-    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    split = sp.plan_split(df, ["client"], "t")
+    assert split.rows == 0 and split.heavy is None
+    sp.running(df, split, [sp.Measure("n", "sum", F.col("x"))]).collect()
+    assert not made
+    # A table that is counted is not counted again for what comes from it.
+    assert sp.plan_split(df, ["client", "id"], "t", like=split) == sp.Split(("client", "id"), "t")
+    assert sp.plan_split(df, ["client"], "id", like=split) == sp.Split(("client",), "id")
+
+
+def test_null_keys_and_global_order(splitting):
+    data = [(None if i % 3 else "a", i % 7, i) for i in range(200)]
+    df = splitting.createDataFrame(data, "client string, t bigint, id bigint")
+    for keys in (["client"], []):
+        got = sp.number_rows(df, sp.plan_split(df, keys, "t"), ["id"]).collect()
+        for key in {r["client"] for r in got} if keys else {0}:
+            mine = sorted((r["t"], r["id"], r["ordinal"]) for r in got if not keys or r["client"] == key)
+            assert [n for _, _, n in mine] == list(range(len(mine)))
 
 
 def test_a_client_inside_one_window_is_not_quadratic(spark):
