@@ -308,15 +308,28 @@ def total_variation(
 EVENTS_PER_VALUE = 20
 
 
+def paired(one: DataFrame, value: str | None = None) -> DataFrame:
+    """Pairs of keys a < b of one event (id, key, and with `value` their values av and bv), from a list per event.
+
+    An event has at most its declared keys.
+    """
+    item = F.struct("key", value) if value else F.struct("key")
+    listed = one.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("keys"))
+    first = listed.select("keys", F.posexplode("keys").alias("place", "x"))
+    rest = F.slice("keys", F.col("place") + 2, F.size("keys"))
+    pairs = first.select("x", F.explode(rest).alias("y"))
+    more = [F.col(f"x.{value}").alias("av"), F.col(f"y.{value}").alias("bv")] if value else []
+    return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), *more)
+
+
 def dependent_pairs(values: DataFrame, events_per_value: int = EVENTS_PER_VALUE) -> DataFrame:
     """H(B|A) / H(B) for keys of one event, where A has enough events per value and B varies.
 
-    The pairs of keys are formed inside an event, which has one row per key.
+    The keys of an event, which has one row per key, are paired once; the counts are then read both ways.
     """
     one = values.groupBy("id", "key").agg(F.max("value").alias("value"))
-    a = one.select("id", F.col("key").alias("a"), F.col("value").alias("av"))
-    b = one.select("id", F.col("key").alias("b"), F.col("value").alias("bv"))
-    joint = a.join(b, "id").filter("a <> b").groupBy("a", "b", "av", "bv").agg(F.count(F.lit(1)).alias("n"))
+    joint = written(paired(one, "value").groupBy("a", "b", "av", "bv").agg(F.count(F.lit(1)).alias("n")), "joint")
+    joint = joint.unionByName(joint.toDF("b", "a", "bv", "av", "n"))
 
     def spread(rows: DataFrame, name: str) -> DataFrame:
         total = rows.groupBy("a", "b").agg(F.sum("n").alias("_t"))

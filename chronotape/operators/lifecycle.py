@@ -8,14 +8,12 @@ however many events it has.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotape.functions.clock import DAY, LOCAL_OFFSET, end_of_day, local_day, month_number
+from chronotape.functions.clock import DAY, end_of_day, local_day, month_number
 from chronotape.operators import predicates as p
 from chronotape.operators.features import with_actions
 from chronotape.operators.predicates import kind
@@ -172,136 +170,130 @@ def daily_facts(
     )
 
 
-TRANSITIONS = "client string, started_at bigint, stage string, previous_stage string, reason string"
 LADDER = ("new", "activated", "growing", "core", "loyal")
+#: What is carried from one day of a client to the next.
+STATE = (
+    "struct<stage:string,reason:string,anchor:bigint,grew:boolean,risk_since:bigint,months:array<bigint>,"
+    "found:array<struct<started_at:bigint,stage:string,previous_stage:string,reason:string>>>"
+)
 
 
-class _Walk:
-    """The stage of one client while its days go by."""
-
-    def __init__(self, rules: Rules) -> None:
-        self.rules = rules
-        self.stage, self.reason = "new", "registered"
-        self.anchor: int | None = None
-        self.grew = False
-        self.risk_since = 0
-        self.months: set[int] = set()
-
-    def rebuilt(self, day, since: int) -> str:
-        """The active stage that the facts since a moment support."""
-        if not day.active:
-            return "new"
-        if not self.grew or day.last_visit < since:
-            month = _month_of(since)
-            self.anchor = month if self.anchor is None else max(self.anchor, month)
-            return "activated"
-        if day.core and day.high_start >= _week_of(since):
-            return "loyal" if day.premium else "core"
-        return "growing"
-
-    def cured(self, day) -> bool:
-        return {
-            "new_no_target_action_7d": day.active,
-            "activated_no_action_14d": day.last_action >= self.risk_since,
-            "growing_not_in_mau": day.last_visit >= self.risk_since,
-            "core_wau_decline": day.calm,
-            "loyal_premium_closed": day.premium,
-        }[self.reason]
-
-    def risk(self, day) -> str | None:
-        """Why an active client is at risk today, if it is."""
-        r = self.rules
-        age = day.moment - day.registered
-        if self.stage == "new" and not day.active and age >= r.new_days * DAY:
-            return "new_no_target_action_7d"
-        if self.stage == "activated" and age >= r.activated_days * DAY:
-            early = day.activated_t < day.registered + r.activated_days * DAY
-            if early and day.last_action <= day.activated_t:
-                return "activated_no_action_14d"
-        if self.stage == "loyal" and day.premium_closed and not day.premium:
-            return "loyal_premium_closed"
-        if self.stage in ("core", "loyal") and day.declined:
-            return "core_wau_decline"
-        if self.stage == "growing" and day.month_empty:
-            return "growing_not_in_mau"
-        return None
-
-    def promoted(self, day) -> str:
-        gates = {
-            "new": day.active,
-            "activated": self.anchor is not None and self.anchor + 1 in self.months,
-            "growing": day.core,
-            "core": day.premium,
-        }
-        stage = self.stage
-        while stage != LADDER[-1] and gates[stage]:
-            stage = LADDER[LADDER.index(stage) + 1]
-        return stage
-
-    def step(self, day) -> tuple[str, str]:
-        if day.moment - day.last_action >= self.rules.churn_days * DAY:
-            return ("churn", "no_action_60d") if self.stage != "churn" else (self.stage, self.reason)
-        if self.stage == "churn":
-            return self.rebuilt(day, day.last_action), "reactivated"
-        if self.stage == "at_risk":
-            if self.cured(day):
-                return self.rebuilt(day, self.risk_since), "recovered"
-            return self.stage, self.reason
-        why = self.risk(day)
-        if why is not None:
-            return "at_risk", why
-        return self.promoted(day), "promoted"
-
-
-def _week_of(t: int) -> int:
-    return ((t + LOCAL_OFFSET) // DAY + 3) // 7
-
-
-def _month_of(t: int) -> int:
-    date = pd.Timestamp((t + LOCAL_OFFSET) // DAY, unit="D")
-    return date.year * 12 + date.month - 1
-
-
-NEVER = 2**62
-
-
-def _walked(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.DataFrame]:
-    """Walk the days of one client after another; a client may continue in the next batch."""
-    client, walk = None, None
-    for days in batches:
-        rows = []
-        for day in days.itertuples(index=False):
-            if day.client != client:
-                client, walk = day.client, _Walk(rules)
-            if day.active and walk.anchor is None:
-                walk.anchor = day.activated_month
-            if day.visit_day:
-                walk.months.add(day.month)
-            stage, reason = walk.step(day)
-            walk.grew |= stage == "growing"
-            if stage == "at_risk" and walk.stage != "at_risk":
-                walk.risk_since = day.moment
-            if stage != walk.stage:
-                rows.append((client, day.moment, stage, walk.stage, reason))
-                walk.stage, walk.reason = stage, reason
-        yield pd.DataFrame(rows, columns=["client", "started_at", "stage", "previous_stage", "reason"])
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _decision(stage: Column | str, reason: str, anchor: Column) -> Column:
+    stage = F.lit(stage) if isinstance(stage, str) else stage
+    return F.struct(stage.alias("stage"), F.lit(reason).alias("reason"), anchor.cast("bigint").alias("anchor"))
+
+
+def _rebuilt(day: Column, state: Column, anchor: Column, since: Column, reason: str) -> Column:
+    """The active stage that the facts since a moment support."""
+    month = month_number(since)
+    week = F.floor((local_day(since) + 3) / 7)
+    top = F.when(day["premium"], "loyal").otherwise("core")
+    return (
+        F.when(~day["active"], _decision("new", reason, anchor))
+        .when(~state["grew"] | (day["last_visit"] < since), _decision("activated", reason, F.greatest(anchor, month)))
+        .when(day["core"] & (day["high_start"] >= week), _decision(top, reason, anchor))
+        .otherwise(_decision("growing", reason, anchor))
+    )
+
+
+def _cured(day: Column, state: Column) -> Column:
+    reason, since = state["reason"], state["risk_since"]
+    return (
+        F.when(reason == "new_no_target_action_7d", day["active"])
+        .when(reason == "activated_no_action_14d", day["last_action"] >= since)
+        .when(reason == "growing_not_in_mau", day["last_visit"] >= since)
+        .when(reason == "core_wau_decline", day["calm"])
+        .otherwise(day["premium"])
+    )
+
+
+def _risk(day: Column, stage: Column, rules: Rules) -> Column:
+    """Why an active client is at risk today, null if it is not."""
+    age = day["moment"] - day["registered"]
+    early = day["activated_t"] < day["registered"] + rules.activated_days * DAY
+    idle = (age >= rules.activated_days * DAY) & early & (day["last_action"] <= day["activated_t"])
+    return (
+        F.when((stage == "new") & ~day["active"] & (age >= rules.new_days * DAY), "new_no_target_action_7d")
+        .when((stage == "activated") & idle, "activated_no_action_14d")
+        .when((stage == "loyal") & day["premium_closed"] & ~day["premium"], "loyal_premium_closed")
+        .when(stage.isin("core", "loyal") & day["declined"], "core_wau_decline")
+        .when((stage == "growing") & day["month_empty"], "growing_not_in_mau")
+    )
+
+
+def _promoted(day: Column, stage: Column, anchor: Column, months: Column) -> Column:
+    """As far up the ladder as the facts of the day lead."""
+    gates = (day["active"], F.coalesce(F.array_contains(months, anchor + 1), F.lit(False)), day["core"], day["premium"])
+    for low, high, gate in zip(LADDER, LADDER[1:], gates, strict=False):
+        stage = F.when((stage == low) & gate, high).otherwise(stage)
+    return stage
+
+
+def _next_day(state: Column, day: Column, rules: Rules) -> Column:
+    """The state after one more day."""
+    anchor = F.when(day["active"] & state["anchor"].isNull(), day["activated_month"]).otherwise(state["anchor"]).cast("bigint")
+    months = F.when(day["visit_day"], F.array_union(state["months"], F.array(day["month"].cast("bigint")))).otherwise(state["months"])
+
+    def decide(now: Column) -> Column:
+        stage, anchor = state["stage"], now["anchor"]
+        stay = F.struct(stage.alias("stage"), state["reason"].alias("reason"), anchor.alias("anchor"))
+        quiet = day["moment"] - day["last_action"] >= rules.churn_days * DAY
+        why = _risk(day, stage, rules)
+        at_risk = F.struct(F.lit("at_risk").alias("stage"), why.alias("reason"), anchor.alias("anchor"))
+        choice = (
+            F.when(quiet & (stage == "churn"), stay)
+            .when(quiet, _decision("churn", "no_action_60d", anchor))
+            .when(stage == "churn", _rebuilt(day, state, anchor, day["last_action"], "reactivated"))
+            .when((stage == "at_risk") & _cured(day, state), _rebuilt(day, state, anchor, state["risk_since"], "recovered"))
+            .when(stage == "at_risk", stay)
+            .when(why.isNotNull(), at_risk)
+            .otherwise(_decision(_promoted(day, stage, anchor, now["months"]), "promoted", anchor))
+        )
+        return _let(choice, lambda after: moved(after, now["months"]))
+
+    def moved(after: Column, months: Column) -> Column:
+        changed = after["stage"] != state["stage"]
+        row = F.struct(
+            day["moment"].alias("started_at"), after["stage"].alias("stage"), state["stage"].alias("previous_stage"), after["reason"].alias("reason")
+        )
+        return F.struct(
+            after["stage"].alias("stage"),
+            F.when(changed, after["reason"]).otherwise(state["reason"]).alias("reason"),
+            after["anchor"].alias("anchor"),
+            (state["grew"] | (after["stage"] == "growing")).alias("grew"),
+            F.when(changed & (after["stage"] == "at_risk"), day["moment"]).otherwise(state["risk_since"]).alias("risk_since"),
+            months.alias("months"),
+            F.when(changed, F.concat(state["found"], F.array(row))).otherwise(state["found"]).alias("found"),
+        ).cast(STATE)
+
+    return _let(F.struct(anchor.alias("anchor"), months.alias("months")), decide)
 
 
 def transitions(
     tape: DataFrame, registered: DataFrame, families: DataFrame, until: int, rules: Rules = Rules()
 ) -> DataFrame:
-    """Stage transitions of every registered client: one row each, the first at registration."""
-    facts = daily_facts(tape, registered, families, until, rules).withColumn(
-        "active", F.coalesce(F.col("activated_t") < F.col("moment"), F.lit(False))
-    )
-    # Plain numbers for the walk: a missing activation is never. The facts are partitioned by client
-    # and in order already; the sort says so and costs nothing.
-    ready = facts.withColumns(
-        {
-            "activated_t": F.coalesce("activated_t", F.lit(NEVER)),
-            "activated_month": F.coalesce("activated_month", F.lit(0)),
-        }
-    ).sortWithinPartitions("client", "day")
+    """Stage transitions of every registered client: one row each, the first at registration.
+
+    The days of a client, as many as the calendar has, are folded in order; the state of a day is the stage
+    with its reason, what the stage remembers, and the transitions so far.
+    """
+    facts = daily_facts(tape, registered, families, until, rules)
+    day = F.struct(
+        "day", "moment", "month", "registered", "last_action", "last_visit", "activated_t", "activated_month", "visit_day", "month_empty",
+        "premium", (F.col("premium_closed") > 0).alias("premium_closed"), "declined", F.coalesce("calm", F.lit(False)).alias("calm"), "high_start",
+        F.coalesce("core", F.lit(False)).alias("core"), F.coalesce(F.col("activated_t") < F.col("moment"), F.lit(False)).alias("active"),
+    )
+    start = F.struct(
+        F.lit("new"), F.lit("registered"), F.lit(None).cast("bigint"), F.lit(False), F.lit(0).cast("bigint"),
+        F.array().cast("array<bigint>"), F.array().cast("array<struct<started_at:bigint,stage:string,previous_stage:string,reason:string>>"),
+    ).cast(STATE)
+    days = facts.groupBy("client").agg(F.array_sort(F.collect_list(day)).alias("days"))
+    walked = days.select("client", F.aggregate("days", start, lambda state, d: _next_day(state, d, rules)).alias("end"))
     begun = registered.filter(F.col("registered") < until).select(
         "client",
         F.col("registered").alias("started_at"),
@@ -309,7 +301,7 @@ def transitions(
         F.lit(None).cast("string").alias("previous_stage"),
         F.lit("registered").alias("reason"),
     )
-    return begun.unionByName(ready.mapInPandas(lambda batches: _walked(batches, rules), TRANSITIONS))
+    return begun.unionByName(walked.select("client", F.explode("end.found").alias("x")).select("client", "x.*"))
 
 
 def outcomes(spells: DataFrame, risk: str, lost: str) -> DataFrame:

@@ -13,6 +13,7 @@ from chronotape.functions.clock import DAY
 from chronotape.functions.text import is_blank
 from chronotape.plans.shared import new_path
 from chronotape.sources.raw import event_type_of, parse_time
+from chronotape.streaming.telemetry import drained
 
 
 def event_stream(spark: SparkSession, folder: str, file: str, schema: str) -> DataFrame:
@@ -51,6 +52,29 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     )
 
 
+def all_activity(events: DataFrame, size: str, slide: str, late: str, amount: str = "amount") -> DataFrame:
+    """Rolling activity at the end of the input: the windows that the watermark closed and those still open in the state."""
+    closed, state = drained(rolling_activity(events, size, slide, late, amount), "rolling")
+    still = state.load().select(
+        "key.client",
+        F.unix_micros("key.window.start").alias("start"),
+        F.unix_micros("key.window.end").alias("stop"),
+        F.col("value.count").alias("n"),
+        F.coalesce("value.sum", F.lit(0)).alias("total"),
+    )
+    return closed.unionByName(still)
+
+
+def all_sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
+    """Sessions at the end of the input: those that the watermark closed and those still open in the state."""
+    closed, state = drained(sessions(events, gap, late), "sessions")
+    window = "value.session_window"
+    still = state.load().select(
+        "value.client", F.unix_micros(f"{window}.start").alias("start"), F.unix_micros(f"{window}.end").alias("stop"), F.col("value.count").alias("n")
+    )
+    return closed.unionByName(still)
+
+
 SILENCE = "client string, moment bigint, change string"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,6 +31,14 @@ def records(lines: DataFrame) -> DataFrame:
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything that is there, into a table of the shared folder, and read the table."""
+    return drained(stream, name, mode)[0]
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, DataFrameReader]:
+    """What a stateful stream has emitted at the end of the input, and a reader of the state that it still holds (key, value).
+
+    Append mode emits a window or session when the watermark has passed it; the others are in the state.
+    """
     spark = stream.sparkSession
     path, state = new_path(spark, name), new_path(spark, f"{name}-state")
     query = (
@@ -42,7 +50,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(path), spark.read.format("statestore").option("path", state)
 
 
 def effective(rows: DataFrame, run: str, place: str) -> DataFrame:

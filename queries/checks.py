@@ -51,7 +51,7 @@ def q2(spark, sf):
     return cx.row_count_mismatch({"events": events, "customer": customers, "orders": orders}, manifest)
 
 
-@query("Q3_blank_client", with_tape("select id, client_id from raw where client_id is null or trim(client_id) = ''", RAW))
+@query("Q3_blank_client", with_tape("select id, client_id from raw where client_id is null or regexp_full_match(client_id, '[\\s\\x{0B}\\x{85}\\p{Z}]*')", RAW))
 def q3(spark, sf):
     return cx.blank_client(raw(spark, sf)).select("id", "client_id")
 

@@ -388,10 +388,10 @@ joint as (select a.key as a, b.key as b, a.value as av, b.value as bv, count(*)
 )
 def j13(spark, sf):
     one = train(spark, sf).filter("kind = 'categorical'").select("id", "key").distinct()
-    other = one.select("id", F.col("key").alias("b"))
-    return one.withColumnRenamed("key", "a").join(other, "id").filter("a <> b").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("events")
-    )
+    pairs = cx.paired(one).groupBy("a", "b").agg(F.count(F.lit(1)).alias("events"))
+    # Every pair is counted once and read both ways.
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")
+    return pairs.select(both, "events").select("p.a", "p.b", "events")
 
 
 @query(

@@ -10,7 +10,7 @@ from chronotape.operators import operations as ops
 from chronotape.operators import predicates as p
 from chronotape.operators.predicates import kind
 from chronotape.plans.shared import written
-from queries.features import ACTS, OPERATION_SQL
+from queries.features import ACTS, BALANCE_CTE, DAYS_CTE, FEATURE_ROWS, FEATURES_CTE, LABELS_CTE, OPERATION_SQL, PAST
 from queries.registry import query
 from queries.tables import CUTOFF, DAY, END, FAMILIES, LOCAL, SNAPSHOT, families, read, snapshot, tape, with_tape
 
@@ -376,31 +376,29 @@ def e13(spark, sf):
     return ev.in_band(measured, targets)
 
 
-SINGLE = f"""feats as (select client, (count(*) filter (where action and t > {CUTOFF} and t <= {CUTOFF + 7 * DAY}) = 0)::int as y,
- count(*) filter (where action and t < {CUTOFF} and t >= {CUTOFF - 30 * DAY}) as act_30, count(*) filter (where type='fraud_alert' and t < {CUTOFF}) as alerts,
- ({CUTOFF} - max(t) filter (where type='purchase' and t < {CUTOFF})) / {float(DAY)!r} as purchase_age, 1 as constant from acts group by client),
-longf as (select y, 'act_30' as feature, act_30::double as score from feats union all select y, 'alerts', alerts::double from feats union all select y, 'purchase_age', purchase_age from feats where purchase_age is not null),
-countf as (select feature, score, count(*) filter (where y = 1) as pos, count(*) filter (where y = 0) as neg from longf group by 1, 2)"""
+# All features of the client table and a constant, against the churn label; equal to nine digits is equal.
+SINGLE = f"""feats as (select l.churned::int as y, 1 as constant, f.* exclude (client) from ({FEATURE_ROWS}) f join labelled l using (client) where l.in_population),
+wide as (select y, round(columns(* exclude (y))::double, 9) from feats),
+longf as (unpivot wide on columns(* exclude (y)) into name feature value score),
+countf as (select feature, score, count(*) filter (where y = 1) as pos, count(*) filter (where y = 0) as neg from longf group by 1, 2),
+varied as (select * from countf where feature in (select feature from countf group by 1 having count(*) > 1))"""
 
 
 @query(
     "E14_single_feature_auc",
     with_tape(
-        """select feature, sum(pos)::bigint as "P", sum(neg)::bigint as "N", sum(pos * (2 * coalesce(below, 0) + neg))::double / (2.0 * sum(pos) * sum(neg)) as auc
- from (select *, sum(neg) over (partition by feature order by score rows between unbounded preceding and 1 preceding) as below from countf) group by feature""",
-        ACTS, SINGLE,
+        """select feature, sum(pos)::bigint as "P", sum(neg)::bigint as "N", case when sum(pos) > 0 and sum(neg) > 0 then sum(pos * (2 * coalesce(below, 0) + neg))::double / (2.0 * sum(pos) * sum(neg)) end as auc
+ from (select *, sum(neg) over (partition by feature order by score rows between unbounded preceding and 1 preceding) as below from varied) group by feature""",
+        SNAPSHOT, ACTS, PAST, DAYS_CTE, BALANCE_CTE, FEATURES_CTE, LABELS_CTE, SINGLE,
     ),
 )
 def e14(spark, sf):
-    t, act = F.col("t"), F.col("action")
-    rows = fx.with_actions(tape(spark, sf)).groupBy("client").agg(
-        (F.count_if(act & (t > CUTOFF) & (t <= CUTOFF + 7 * DAY)) == 0).cast("int").alias("y"),
-        F.count_if(act & (t < CUTOFF) & (t >= CUTOFF - 30 * DAY)).alias("act_30"),
-        F.count_if(kind("fraud_alert") & (t < CUTOFF)).alias("alerts"),
-        ((F.lit(CUTOFF) - F.max(F.when(kind("purchase") & (t < CUTOFF), t))) / F.lit(float(DAY))).alias("purchase_age"),
-        F.lit(1).alias("constant"),
-    )
-    return ev.feature_aucs(rows, ["act_30", "alerts", "purchase_age", "constant"])
+    rows = tape(spark, sf)
+    table = fx.client_features(rows, CUTOFF)
+    features = [c for c in table.columns if c != "client"]
+    labels = fx.churn_labels(rows, CUTOFF).filter("in_population").select("client", F.col("churned").cast("int").alias("y"))
+    ready = labels.join(table, "client").select("y", F.lit(1).alias("constant"), *[F.round(F.col(c).cast("double"), 9).alias(c) for c in features])
+    return ev.feature_aucs(ready, ["constant", *features])
 
 
 FRICTION = {
@@ -515,14 +513,16 @@ def f10(spark, sf):
     return tape(spark, sf).filter(p.is_operation()).select("id", *[columns[n].alias(n) for n in wanted])
 
 
+NUMBERS = ("amount", "balance_after", "days_past_due")
+
+
 @query(
     "F15_hand_features",
     with_tape(
-        """select id, round(coalesce(x, (select median(x) from logged), 0.0), 9) as balance_after, (x is null)::int as balance_after_missing from logged""",
-        "logged as (select id, sign(balance_after) * ln(1 + abs(balance_after::double)) as x from tape)",
+        "select id, " + ", ".join(f"round(coalesce({c}, (select median({c}) from logged), 0.0), 9) as {c}, ({c} is null)::int as {c}_missing" for c in NUMBERS) + " from logged",
+        "logged as (select id, " + ", ".join(f"sign({c}) * ln(1 + abs({c}::double)) as {c}" for c in NUMBERS) + " from tape)",
     ),
 )
 def f15(spark, sf):
-    filled = ml.fill_hand_features(tape(spark, sf), ["balance_after"], "id")
-    return filled.select("id", F.round("balance_after", 9).alias("balance_after"), "balance_after_missing")
-
+    filled = ml.fill_hand_features(tape(spark, sf), NUMBERS, "id")
+    return filled.select("id", *[x for c in NUMBERS for x in (F.round(c, 9).alias(c), f"{c}_missing")])

@@ -224,7 +224,7 @@ _payload = """case when k=91 then null when k=92 then '{"type":"purchase","amo'
 _duck_time = "strftime(make_timestamp(t + 18000000000), '%Y-%m-%dT%H:%M:%S.%g')"
 _bad_time = """case when k=95 then left({x}, 19) when k=96 then '2024-02-30T10:00:00+05:00' when k=97 then 'yesterday'
  else {x} || '+05:00' end"""
-RAW = f"""raw as (select id, case when k=98 then ' ' when k=99 then null else client end as client_id,
+RAW = f"""raw as (select id, case when k=98 then chr(9) || chr(160) when k=99 then null else client end as client_id,
  {_bad_time.format(x=_duck_time)} as event_time,
  case when k=90 then 'unknown_system' else source end as source, {_payload} as payload from tape)"""
 
@@ -234,7 +234,7 @@ def raw(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFr
     text = "date_format(timestamp_micros(t + 18000000000), \"yyyy-MM-dd'T'HH:mm:ss.SSS\")"
     return tape(spark, sf, events).selectExpr(
         "id",
-        "case when k=98 then ' ' when k=99 then null else client end as client_id",
+        "case when k=98 then chr(9) || chr(160) when k=99 then null else client end as client_id",
         f"{_bad_time.format(x=text)} as event_time",
         "case when k=90 then 'unknown_system' else source end as source",
         f"{_payload} as payload",
