@@ -9,8 +9,8 @@ are updated, pieces that no gap takes open sequences, as many to each as fit, an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ BATCH_IDS = 1 << 20
 _PIECE, _SLOT = 0, 1
 _NEVER = -(1 << 62)
 
-Encoder = Callable[[list[str]], list[list[int]]]
+#: Ids of every text.
+Encoder = Callable[[list[str]], list[Sequence[int]]]
 
 
 def pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, end: int) -> DataFrame:
@@ -44,7 +45,7 @@ def pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, end:
         for rows, ids in encoded(batches, encode):
             out: list[tuple] = []
             for row, values in zip(rows, ids, strict=True):
-                data = np.array([*values, end], "<u4")
+                data = np.append(np.asarray(values, "<u4"), np.uint32(end)).astype("<u4", copy=False)
                 start, piece = 0, 0
                 until = len(data) % capacity or capacity
                 while start < len(data):
@@ -58,7 +59,7 @@ def pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, end:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
-def encoded(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[tuple[list, list[list[int]]]]:
+def encoded(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[tuple[list, list[Sequence[int]]]]:
     """Document identifiers and ids, a few texts at a time; a long text is alone."""
     for batch in batches:
         rows, texts, held = [], [], 0
@@ -264,34 +265,37 @@ def sequences(cut: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def library_encoder(tokenizer_file: str) -> Callable[[], Encoder]:
-    """Ids as the tokenizers library has them for a byte-level BPE file, without added special tokens.
+@cache
+def byte_level(content: str) -> Encoder:
+    """The encoder of a byte-level BPE file, made once per Python worker."""
+    import json
 
-    The merges of a byte-level file are ranks of its vocabulary, which the tiktoken library walks several times
-    faster. A text with one of the file's added tokens in it goes to the tokenizers library itself.
-    """
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
 
-    def make() -> Encoder:
-        import json
+    model = json.loads(content)
+    added = [t["content"] for t in model["added_tokens"]]
+    # The bytes that the file writes as themselves; it writes the others as the letters from 256 on, in order.
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
+    ranks = {bytes(letters[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in added}
+    fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    library = cache(lambda: Tokenizer.from_str(content))
 
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
+    def encode(texts: list[str]) -> list[Sequence[int]]:
+        return [library().encode(t, add_special_tokens=False).ids if any(a in t for a in added) else fast(t) for t in texts]
 
-        slow = Tokenizer.from_str(content)
-        model = json.loads(content)
-        added = [t["content"] for t in model["added_tokens"]]
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
-        ranks = {bytes(letters[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in added}
-        fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return encode
 
-        def encode(texts: list[str]) -> list[list[int]]:
-            return [slow.encode(t, add_special_tokens=False).ids if any(a in t for a in added) else fast(t) for t in texts]
 
-        return encode
+def library_encoder(tokenizer_file: str) -> Callable[[], Encoder]:
+    """Ids as the tokenizers library has them for a byte-level BPE file, without added special tokens.
 
+    The merges of a byte-level file are ranks of its vocabulary, which the tiktoken library walks several times
+    faster. A text with one of the file's added tokens in it goes to the tokenizers library itself.
+    """
     # Read where the plan is made: tasks get the file with their code.
     with open(tokenizer_file, encoding="utf-8") as file:
         content = file.read()
-    return make
+    return lambda: byte_level(content)
