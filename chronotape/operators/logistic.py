@@ -21,6 +21,7 @@ CHUNK_ROWS = 4096
 FAN_IN = 32
 MOST_STEPS = 100
 TOLERANCE = 1e-9
+LEAST_GAIN = 1e-15
 
 
 @dataclass
@@ -185,7 +186,8 @@ def _newton(rows: DataFrame, fits: list[Fit], size: list[float], penalty: list[n
             step = np.zeros(d)
             step[use] = np.linalg.solve(bend, slope)
             f.weights = f.weights - step
-            if np.abs(step).max() > TOLERANCE:
+            # Where the loss is flat, steps need not shrink: what counts is by how much they lower the loss.
+            if np.abs(step).max() > TOLERANCE and slope @ step[use] > LEAST_GAIN:
                 still.append(i)
         going = still
 
