@@ -43,8 +43,9 @@ def source_targets(sizes: DataFrame, cycle: int = 3) -> DataFrame:
         (F.sum("full").over(rising.rowsBetween(Window.unboundedPreceding, 0)) - F.col("full")).alias("full_before"),
         F.sum("weight").over(rising.rowsBetween(0, Window.unboundedFollowing)).alias("weight_left"),
     ).withColumn("level", (F.col("all_words") - F.col("full_before")) / F.col("weight_left"))
-    # The common level is that of the first source that stays below its limit.
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(everything)["level"]
+    # The common level is that of the first source, in this order, that stays below its limit.
+    shared = shared.withColumn("place", F.row_number().over(rising))
+    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("place", "level"))).over(everything)["level"]
     return shared.withColumn("common", level).select(
         "source",
         "source_size",

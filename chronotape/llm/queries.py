@@ -109,8 +109,9 @@ bytes as (select *, sum(size) over (partition by source) as source_size from siz
 src as (select source, max(source_size) as s, (row_number() over (order by source nulls last) - 1) % 3 + 1 as wt from bytes group by 1),
 lev as (select *, 3.0 * s / wt as full_at, sum(s) over () as total,
   sum(3 * s) over (order by 3.0 * s / wt, source nulls last rows between unbounded preceding and current row) - 3 * s as before,
-  sum(wt) over (order by 3.0 * s / wt, source nulls last rows between current row and unbounded following) as left_wt from src),
-com as (select min_by((total - before) / left_wt, full_at) as common from lev where (total - before) / left_wt <= full_at),
+  sum(wt) over (order by 3.0 * s / wt, source nulls last rows between current row and unbounded following) as left_wt,
+  row_number() over (order by 3.0 * s / wt, source nulls last) as place from src),
+com as (select min_by((total - before) / left_wt, place) as common from lev where (total - before) / left_wt <= full_at),
 tgt as (select source, s::bigint as source_size, least(3.0 * s, coalesce(common * wt, 3.0 * s))::double as target from lev, com),
 drawn as (select doc_id, size, t.source_size, t.target, z.source,
   -ln((('0x' || substr(md5(concat_ws('|', 'mix', doc_id, size)), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double) / w as draw

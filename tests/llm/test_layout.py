@@ -4,7 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-from chronotape.llm import mixing, sharding
+from chronotape.llm import exact_dedup, mixing, quality_rules, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -35,11 +35,37 @@ def test_shards(table, odd_rows):
 
 
 def test_written_shards_hold_every_document(table, odd_rows, spark, clashing, tmp_path):
-    docs = clashing(table(odd_rows))
-    sharding.write_shards(docs, str(tmp_path / "out"), 4)
-    back = spark.read.parquet(*[str(tmp_path / f"out/shard={s}") for s in range(4)])
-    assert sorted(back.columns) == sorted(docs.columns)
-    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in back.collect()) == Counter((r["doc_id"], r["text"], r["lang"]) for r in docs.collect())
+    for name, docs, folder in (("plain", table(odd_rows + odd_rows[4:7]), "shard"), ("clash", clashing(table(odd_rows)), "_shard")):
+        out = str(tmp_path / name)
+        sharding.write_shards(docs, out, 4)
+        assert {f.name for f in (tmp_path / name).glob("*=*")} <= {f"{folder}={s}" for s in range(4)}
+        back = spark.read.parquet(out).drop(folder)
+        assert back.columns == docs.columns
+        assert Counter(map(tuple, back.collect())) == Counter(map(tuple, docs.collect()))
+        placed = Counter((r["shard"], r["text_crc32"]) for r in sharding.shards(docs, 4).collect())
+        again = spark.read.parquet(out).selectExpr(folder, "crc32(cast(coalesce(text, '') as binary)) as c").collect()
+        assert Counter((r[0], r["c"]) for r in again) == placed
+
+
+def test_rows_of_equal_id_and_text_stay_themselves(spark, tmp_path):
+    """Only the source and another column tell two rows apart."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", "a", len(text), "x"), (1, text, "en", "b", len(text), "y"), (1, text, "en", "b", len(text), "y"), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, note string")
+    kept = quality_rules.filter_quality(docs)
+    assert Counter(map(tuple, kept.collect())) == Counter(rows[:3])
+    none = spark.createDataFrame([], "doc_id bigint, weight double")
+    mixed = Counter((r["source"], r["note"]) for r in mixing.mixture(docs, none).collect())
+    assert {("a", "x"): mixed["a", "x"], ("b", "y"): mixed["b", "y"]} == {("a", "x"): 1, ("b", "y"): 2}
+    sharding.write_shards(docs, str(tmp_path / "s"), 3)
+    assert Counter(map(tuple, spark.read.parquet(str(tmp_path / "s")).drop("shard").collect())) == Counter(rows)
+    assert Counter(map(tuple, exact_dedup.deduplicate(docs.limit(3)).collect())).total() == 1
+
+
+def test_ids_that_are_texts(spark):
+    docs = spark.createDataFrame([("x1", "one two", "en", "a"), ("x2", "one  two", "en", "a"), (None, "three", "en", "b")], "doc_id string, text string, lang string, source string")
+    assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup.decisions(docs).collect()} == {("x1", "x2"), ("x2", "x2"), (None, None)}
+    assert sharding.shards(docs, 2).count() == quality_rules.judged(docs).count() == 3
 
 
 def targets(sizes):
@@ -84,6 +110,13 @@ def test_mix(table, odd_rows, spark):
     assert mixing.mix(table([]), weights).count() == 0
 
 
+def test_sources_that_fill_at_the_same_level(spark):
+    """Sizes in the ratio of the weights: the tie must not lower the common level."""
+    sizes = {"a": 80, "b": 160, None: 0}
+    out = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size bigint")).collect()
+    assert {r["source"]: r["target"] for r in out} == targets(sizes) == {"a": 80, "b": 160, None: 0}
+
+
 def test_heavier_documents_are_taken_more_often(table, spark):
     rows = [(i, "w " * 10, "en", "a" if i < 2000 else "b") for i in range(4000)]
     weights = spark.createDataFrame([(i, 5.0) for i in range(0, 4000, 2)], "doc_id bigint, weight double")

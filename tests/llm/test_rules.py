@@ -197,6 +197,48 @@ def test_classifier_without_labels_or_classes(spark, table, odd_rows):
     assert quality_classifier.scored(table([]), quality_classifier.fit(table([]), none)).count() == 0
 
 
+def test_repeated_ids_and_bounds_of_the_fit(spark, table):
+    """One id on many texts is one row of the fit, and the order of rows does not change the model."""
+    rows, marks = classed_rows()
+    rows += [(1, f"{t} again", "en", "a") for _, t, *_ in rows[:60]] * 2
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int")
+    known = quality_classifier.training_marks(labels)
+    models = [quality_classifier.fit(table(r, n), known) for r, n in ((rows, 3), (rows[::-1], 7))]
+    assert models[0].bias == models[1].bias and (models[0].scaled == models[1].scaled).all()
+    few = quality_classifier.fit(table(rows), known, fit_features=3000)
+    assert (few.scaled != models[0].scaled).any()
+
+
+def test_descent_equals_a_plain_dual_solver():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(60)]
+    y = np.array([1 if (r < 20).mean() + rng.normal() * 0.2 > 0.5 else -1 for r in rows])
+    ratios = quality_classifier.log_count_ratios(rows, y)
+    for j in range(40):
+        inside = [sum(j in r for r, s in zip(rows, y, strict=True) if s == sign) + 1 for sign in (1, -1)]
+        whole = [sum(len(r) for r, s in zip(rows, y, strict=True) if s == sign) + quality_classifier.BUCKETS for sign in (1, -1)]
+        assert abs(ratios[j] - np.log(inside[0] / whole[0] * whole[1] / inside[1])) < 1e-9
+    x = np.zeros((60, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r] / np.linalg.norm(ratios[r])
+        x[i, 40] = 1
+    most = np.array([quality_classifier.COST * 60 / (2 * (y == s).sum()) for s in y])
+    gram = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha = np.zeros(60)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, most)
+
+    def loss(w):
+        return 0.5 * w @ w + (most * np.maximum(0, 1 - y * (x @ w))).sum()
+
+    weights, bias = quality_classifier.descend(rows, y, ratios)
+    mine, best = np.append(weights[:40], bias), x.T @ (alpha * y)
+    assert loss(mine) <= 1.02 * loss(best)
+    assert np.corrcoef(x @ mine, x @ best)[0, 1] > 0.99
+
+
 def test_descent_separates():
     import numpy as np
 
