@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronotape.plans.shared import new_path
 from chronotape.plans.split import Measure, plan_split, running
+from chronotape.sources.growing import growing_lines
 from chronotape.sources.raw import read_jsonl
 
 RECORD = (
@@ -20,8 +21,8 @@ RECORD = (
 
 
 def tail_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of a folder of JSONL files as a stream; offsets live in the query's checkpoint."""
-    return spark.readStream.text(folder)
+    """Complete lines of a folder of growing JSONL files as a stream; offsets live in the query's checkpoint."""
+    return growing_lines(spark, folder).select("value")
 
 
 def records(lines: DataFrame) -> DataFrame:
