@@ -243,8 +243,10 @@ def profile_tokens(spark, sf, cutoff=CUTOFF, attributes=None):
     )
     every = snap.select(F.explode("lifelong.type").alias("value")).distinct()
     domain = long(snap).select("key", "value").distinct().unionByName(every.select(F.lit("profile_lifelong").alias("key"), "value"))
-    keys = vx.key_ids(domain.select("key"))
-    ids = vx.value_ids(domain.withColumn("vtype", F.lit("str")), keys)
+    # The vocabulary of the profile is written: all that follows reads it instead of the snapshot.
+    domain = written(domain, "domain")
+    keys = written(vx.key_ids(domain.select("key")), "keys")
+    ids = written(vx.value_ids(domain.withColumn("vtype", F.lit("str")), keys), "values")
     a = long(snap if attributes is None else attributes)
     coded = a.join(keys.withColumnRenamed("id", "key_id"), "key").join(ids.select("key", "value", "id"), ["key", "value"], "left")
     coded = coded.select("client", "key_id", F.array(F.coalesce("id", F.lit(vx.UNK))).alias("ids"))
