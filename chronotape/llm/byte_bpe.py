@@ -18,7 +18,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotape.llm.rows import fresh, shuffle_partitions
@@ -34,6 +34,8 @@ PART_ROWS = 256
 PART_BYTES = 1 << 20
 #: Entries of a literal table that share a bucket, about.
 PER_BUCKET = 4
+#: Characters that the description of a plan with literal tables may have; the driver keeps it for every query.
+PLAN_CHARACTERS = 20_000
 
 
 def letter(rank: int) -> str:
@@ -77,7 +79,7 @@ def bucketed(entries: dict[str, str]) -> tuple[Column, int]:
     buckets: list[dict] = [{} for _ in range(size)]
     for key, value in entries.items():
         buckets[zlib.crc32(key.encode()) % size][key] = value
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>"), size
+    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>"), size
 
 
 def found(table: Column, size: int, key: Column) -> Column:
@@ -220,6 +222,12 @@ def block_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Literal tables would fill the descriptions of plans: without a limit of the session's own they are cut."""
+    if spark.conf.get("spark.sql.maxPlanStringLength", None) in (None, str(2**31 - 1 - 15)):
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARACTERS))
+
+
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, column: str | None = None, scan: bool = False) -> DataFrame:
     """The rows of `docs` with the ids of their whole text, array<int>, in a column named ids (or `column`).
 
@@ -231,6 +239,7 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, column: str | None = Non
     `scan`. Any other table is written first. Distinct words are shuffled by word and back by block, documents
     once as compressed Arrow; the driver gets nothing.
     """
+    short_plans(docs.sparkSession)
     ids = column or fresh(docs, "ids")[0]
     if not scan:
         docs = written(docs, "documents")
