@@ -1,5 +1,6 @@
 """The stages on a small table, and the queries that have SQL."""
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -35,6 +36,29 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
 
 
+def run_stages(spark, docs, folder, sf):
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+    return docs
+
+
+def test_chain_on_odd_rows_and_on_nothing(spark, table, odd_rows, clashing, tmp_path):
+    """Nulls in every column, empty, blank and long texts, repeated rows, columns of the operators' own names."""
+    sf = str(tmp_path)
+    labels = [(i, int(i % 2 == 0), 0) for i, *_ in odd_rows if i is not None] + [(None, 1, None), (4, None, 1)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    clashing(table(odd_rows + odd_rows[:6])).write.parquet(f"{sf}/odd.parquet")
+    docs = spark.read.parquet(f"{sf}/odd.parquet")
+    out = run_stages(spark, docs, f"{sf}/out", sf)
+    assert out.columns == [*docs.columns, "_ids", "decoded_sha256"]
+    known = {r["text"] for r in docs.select("text").collect()}
+    rows = out.collect()
+    assert all(r["text"] in known and r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in rows)
+    docs.limit(0).write.parquet(f"{sf}/none.parquet")
+    assert run_stages(spark, spark.read.parquet(f"{sf}/none.parquet"), f"{sf}/empty", sf).count() == 0
+
+
 def test_every_operator_has_a_query():
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
     assert sorted(names) == sorted(f"op{n}" for n in range(1, 14))
