@@ -128,10 +128,12 @@ DRAWS = 1000
 
 #: Rows whose copies in all draws are held as numbers at a time.
 CHUNK_ROWS = 2048
+#: Rows of a task that makes or adds up copies: each of them stands for a number per draw.
+DRAWN_ROWS = 8192
 
 
 def copy_counts(keys: Sequence[str], draws: int, seed: str) -> np.ndarray:
-    """Copies of every row in every draw, rows x draws: a Poisson number by the hash uniform(seed, draw, row)."""
+    """Copies of every row in every draw, rows x draws: a Poisson number by the hash uniform(seed, draw, row), never over 10."""
     begun = [hashlib.sha256(f"{seed}{SEPARATOR}{d}{SEPARATOR}".encode()) for d in range(draws)]
     digests = bytearray()
     for key in keys:
@@ -141,23 +143,46 @@ def copy_counts(keys: Sequence[str], draws: int, seed: str) -> np.ndarray:
             h.update(tail)
             digests += h.digest()[:8]
     bits = np.frombuffer(bytes(digests), ">u8").reshape(len(keys), draws) >> np.uint64(64 - 4 * DIGITS)
-    return np.searchsorted(np.array(POISSON_ONE), bits / float(16**DIGITS), side="right").astype(np.int64)
+    return np.searchsorted(np.array(POISSON_ONE), bits / float(16**DIGITS), side="right").astype(np.uint8)
+
+
+def _drawn_rows(rows: DataFrame, row: str, draws: int, seed: str, tasks: int) -> DataFrame:
+    """Rows (key, y, score_a, score_b) with their copies in all draws, a byte per draw: hashed once per row and written."""
+    scores = [F.col(f"score_{n}").cast("double").alias(f"score_{n}") for n in ("a", "b")]
+    some = rows.select(F.col(row).cast("string").alias("key"), (F.col("y") == 1).alias("y"), *scores)
+    some = some.filter("key is not null and y is not null and (score_a is not null or score_b is not null)")
+
+    def counted(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(begin, CHUNK_ROWS)
+                copies = [x.tobytes() for x in copy_counts(part.column("key").to_pylist(), draws, seed)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(copies, pa.binary())], [*part.schema.names, "copies"])
+
+    # A row costs a hash per draw: it is the number of rows, not of bytes, that makes the tasks.
+    dealt = some.repartition(tasks, "key", "score_a", "score_b")
+    return written(dealt.mapInArrow(counted, "key string, y boolean, score_a double, score_b double, copies binary"), "copies")
+
+
+def _copies(group: pa.Table, draws: int) -> np.ndarray:
+    """The copies of the rows of a group, rows x draws."""
+    return np.frombuffer(b"".join(group.column("copies").to_pylist()), np.uint8).reshape(group.num_rows, draws).astype(np.int64)
 
 
 def paired_draws(rows: DataFrame, row: str, draws: int = DRAWS, seed: str = "0") -> DataFrame:
     """ROC-AUC and PR-AUC of two scores (score_a, score_b) over the same bootstrap draws.
 
-    Each draw gives a row a Poisson number of copies by a hash of (draw, row). Rows are laid out once in ranges
-    of each score and never multiply: a task makes the copies of its rows as vectors over the draws, adds them
-    up per score and accumulates them from the highest score down. The first pass finds the totals of every
-    range, the second starts from what the ranges above hold. What is shuffled besides the rows are vectors,
-    one per range.
+    Each draw gives a row a Poisson number of copies by a hash of (draw, row), made once per row: a byte per draw
+    travels with the row. Rows are laid out in ranges of each score, as many as the rows ask for: a task adds up the
+    copies of its rows as vectors over the draws and accumulates them from the highest score down. The first pass
+    finds the totals of every range, the second starts from what the ranges above hold. What is shuffled besides the
+    rows are vectors, one per range.
     """
-    both = F.array(*[F.struct(F.lit(n).alias("which"), F.col(f"score_{n}").cast("double").alias("score")) for n in ("a", "b")])
-    one = rows.select(F.col(row).cast("string").alias("key"), (F.col("y") == 1).alias("y"), F.explode(both).alias("x")).select("key", "y", "x.*")
-    one = one.filter("key is not null and y is not null and score is not null")
-    slices = 2 * max(1, -(-rows.count() // target_rows(rows)))
-    ranged = one.repartitionByRange(slices, "which", "score", "key")
+    slices = max(1, -(-rows.count() // min(target_rows(rows), DRAWN_ROWS)))
+    both = F.array(*[F.struct(F.lit(n).alias("which"), F.col(f"score_{n}").alias("score")) for n in ("a", "b")])
+    one = _drawn_rows(rows, row, draws, seed, slices).select("key", "y", "copies", F.explode(both).alias("x"))
+    one = one.select("key", "y", "copies", "x.*").filter("score is not null")
+    ranged = one.repartitionByRange(2 * slices, "which", "score", "key")
     laid = written(ranged.withColumn("part", F.spark_partition_id()), "scores")
     # Scores that go on in the next range, two per range at most: each is an element of the order by itself.
     ends = laid.groupBy("which", "part").agg(F.array_distinct(F.array(F.min("score"), F.max("score"))).alias("ends"))
@@ -169,7 +194,7 @@ def paired_draws(rows: DataFrame, row: str, draws: int = DRAWS, seed: str = "0")
         pos, neg = np.zeros(draws, np.int64), np.zeros(draws, np.int64)
         for begin in range(0, group.num_rows, CHUNK_ROWS):
             some = group.slice(begin, CHUNK_ROWS)
-            weights, y = copy_counts(some.column("key").to_pylist(), draws, seed), some.column("y").to_numpy()
+            weights, y = _copies(some, draws), some.column("y").to_numpy()
             pos, neg = pos + weights[y].sum(axis=0), neg + weights[~y].sum(axis=0)
         head = [group.column(c).slice(0, 1).combine_chunks() for c in ("which", "part", "tie")]
         top = pa.array([max(group.column("score").to_numpy())])
@@ -200,7 +225,7 @@ def paired_draws(rows: DataFrame, row: str, draws: int = DRAWS, seed: str = "0")
         open_pos, open_neg = np.zeros(draws, np.int64), np.zeros(draws, np.int64)
         for begin in range(0, len(scores), CHUNK_ROWS):
             some = group.slice(begin, CHUNK_ROWS)
-            weights, y = copy_counts(some.column("key").to_pylist(), draws, seed), some.column("y").to_numpy()[:, None]
+            weights, y = _copies(some, draws), some.column("y").to_numpy()[:, None]
             mine = scores[begin : begin + CHUNK_ROWS]
             cuts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
             pos, neg = np.add.reduceat(weights * y, cuts), np.add.reduceat(weights * ~y, cuts)

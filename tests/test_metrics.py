@@ -62,3 +62,28 @@ def test_bootstrap_skips_draws_with_one_class(spark):
     df = spark.createDataFrame([(i, int(i == 0), 0.1 * i, 0.2) for i in range(4)], "id bigint, y int, score_a double, score_b double")
     drawn = ev.paired_draws(df, "id", 30).collect()
     assert 0 < len(drawn) < 30
+
+
+def test_bootstrap_hashes_every_row_once_in_many_tasks(spark, monkeypatch):
+    """Draws equal plain counting; a row is hashed once for both scores and passes, and tasks grow with the rows."""
+    draw = random.Random(5)
+    data = [(i, int(draw.random() < 0.4), draw.randrange(9) / 9, draw.random() if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame(data, "id bigint, y int, score_a double, score_b double")
+    hashed, tasks, plain = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), ev.copy_counts
+
+    def counting(keys, draws, seed):
+        hashed.add(len(keys))
+        tasks.add(1)
+        return plain(keys, draws, seed)
+
+    monkeypatch.setattr(ev, "copy_counts", counting)
+    monkeypatch.setattr(ev, "DRAWN_ROWS", 50)
+    found = {r["draw"]: r for r in ev.paired_draws(df, "id", 20).collect()}
+    assert hashed.value == len(data) and 4 <= tasks.value <= 6
+    copies = plain([str(i) for i, *_ in data], 20, "0")
+    assert copies.max() < 255
+    for d in range(20):
+        for name, place in (("a", 2), ("b", 3)):
+            some = [(None, r[1], r[place]) for r in data for _ in range(copies[r[0], d]) if r[place] is not None]
+            assert abs(found[d][f"auc_{name}"] - pair_auc(some)) < 1e-9
+            assert abs(found[d][f"pr_auc_{name}"] - step_precision(some)) < 1e-9
