@@ -18,7 +18,8 @@ def coded_values(values: DataFrame, vocab: Vocabulary, texts: DataFrame | None =
     Categories and numbers give one id, unknown ones [UNK]; a text gives its
     pieces and an empty text no row. Keys outside the vocabulary give no row.
     """
-    known = values.join(vocab.keys.select("key", F.col("id").alias("key_id")), "key")
+    # The keys are declared ones: they are sent to the tasks, and the values stay where they are.
+    known = values.join(F.broadcast(vocab.keys.select("key", F.col("id").alias("key_id"))), "key")
     carried = [c for c in known.columns]
     category = known.filter("kind = 'categorical'").join(
         vocab.values.select("key", "value", F.col("id").alias("_id")), ["key", "value"], "left"
@@ -59,7 +60,7 @@ def encoded_events(events: DataFrame, coded: DataFrame) -> DataFrame:
 
     An event has at most one pair per declared key, so the list is short.
     """
-    pairs = coded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("key_id", "ids"))).alias("_pairs"))
+    pairs = coded.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("key_id", "ids"))).alias("_pairs"))
     joined = events.join(pairs, "id", "left").withColumn("_pairs", F.coalesce("_pairs", F.array().cast(NO_PAIRS)))
     return joined.withColumns(_record(F.col("_pairs"), EVT)).drop("_pairs").withColumn(
         "n_tokens", F.size("key_ids")

@@ -33,17 +33,21 @@ def stacked(tape: DataFrame, fields: Sequence[str], carried: Sequence[str]) -> D
         )
         for f in fields
     ]
-    cell = F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")
-    return tape.select(*carried, cell).select(*carried, "c.*")
+    # Absent cells are dropped after the explode, in generated code; a filter over the array is interpreted.
+    return tape.select(*carried, F.explode(F.array(*cells)).alias("c")).filter("c is not null").select(*carried, "c.*")
 
 
 def resolved(cells: DataFrame, registry: DataFrame) -> DataFrame:
-    """Give every cell its key: the entry of its own source, else the one for any source."""
+    """Give every cell its key: the entry of its own source, else the one for any source.
+
+    The registry is a declared table of a few rows whose size Spark cannot know: it is sent to the tasks, and the
+    cells stay where they are.
+    """
     own = registry.filter("source is not null").select("field", "source", F.col("key").alias("_key"), F.col("kind").alias("_kind"))
     common = registry.filter("source is null").select("field", F.col("key").alias("_any"), F.col("kind").alias("_any_kind"))
     return (
-        cells.join(own, ["field", "source"], "left")
-        .join(common, "field", "left")
+        cells.join(F.broadcast(own), ["field", "source"], "left")
+        .join(F.broadcast(common), "field", "left")
         .withColumns({"key": F.coalesce("_key", "_any"), "kind": F.coalesce("_kind", "_any_kind")})
         .drop("_key", "_kind", "_any", "_any_kind")
     )

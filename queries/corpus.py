@@ -53,12 +53,13 @@ VALUES = """vals as (select c.*, coalesce(o.key, a.key) as key, coalesce(o.kind,
 LONG = (REGISTRY_CTE, CELLS, VALUES)
 
 
-def cells(spark, sf):
-    return rx.stacked(tape(spark, sf), FIELDS, ["id", "client", "t", "type", "source"])
+def cells(spark, sf, rows=None):
+    return rx.stacked(tape(spark, sf) if rows is None else rows, FIELDS, ["id", "client", "t", "type", "source"])
 
 
-def values(spark, sf):
-    found = rx.resolved(cells(spark, sf), rx.registry_table(spark, REGISTRY))
+def values(spark, sf, rows=None):
+    """Long values of the tape, or of the stored tape `rows`."""
+    found = rx.resolved(cells(spark, sf, rows), rx.registry_table(spark, REGISTRY))
     return found.filter("key is not null")
 
 
@@ -66,8 +67,8 @@ def values(spark, sf):
 TRAIN = f"train as (select * from vals where key is not null and t < {CUTOFF})"
 
 
-def train(spark, sf):
-    return values(spark, sf).filter(F.col("t") < CUTOFF)
+def train(spark, sf, rows=None):
+    return values(spark, sf, rows).filter(F.col("t") < CUTOFF)
 
 
 @query("P1_allow_list", with_tape("select id, client, t, type, " + ", ".join(f for f in FIELDS if f != "type") + " from tape"))
@@ -349,7 +350,8 @@ def a25(spark, sf):
     ),
 )
 def a26(spark, sf):
-    weights = cx.value_weights(counts(spark, sf))
+    # One row per value: written once, read by the weights and their scale.
+    weights = written(cx.value_weights(written(counts(spark, sf), "counts")), "weights")
     scale = cx.weight_scale(weights).scalar()
     return weights.select("key", "value", F.round("value_weight", 8).alias("value_weight"), F.round(scale, 8).alias("scale"))
 

@@ -16,7 +16,7 @@ from chronotape.plans.split import quantiles
 from queries.corpus import FLOW, LONG, REGISTRY, train, values
 from queries.features import MILESTONES, PROFILE_FIELDS, profile_sql
 from queries.registry import query
-from queries.tables import CUTOFF, DAY, LOCAL, SNAPSHOT, read, snapshot, tape, with_tape
+from queries.tables import CUTOFF, DAY, LOCAL, SNAPSHOT, read, snapshot, stored_tape, tape, with_tape
 
 SCALES = [
     cx.Scale("transaction_amount", "quantile", bins=8, fallback=(1000, 5000, 20000), negative_invalid=True),
@@ -62,15 +62,15 @@ CODED = """coded as (select v.id, v.client, v.t, k.id as key_id, coalesce(vv.id,
  from vnum n join vkeys k on k.key = n.key left join vscales s on s.key = n.key and s.cond is not distinct from n.cond)"""
 
 
-def conditioned(spark, sf):
-    return values(spark, sf).withColumn("cond", F.expr(COND))
+def conditioned(spark, sf, rows=None):
+    return values(spark, sf, rows).withColumn("cond", F.expr(COND))
 
 
-def vocabulary(spark, sf):
-    """The vocabulary, fitted on the training part and written once; pass it on to share a fit."""
+def vocabulary(spark, sf, tape_rows=None):
+    """The vocabulary, fitted on the training part (of the stored tape) and written once; pass it on to share a fit."""
     keys = vx.key_ids(spark.createDataFrame([(k,) for _, _, k, _ in REGISTRY], "key string"))
     # The long training values feed every part of the fit: they are written once.
-    rows = written(train(spark, sf).select("id", "client", "t", "type", "key", "kind", "vtype", "value"), "train")
+    rows = written(train(spark, sf, tape_rows).select("id", "client", "t", "type", "key", "kind", "vtype", "value"), "train")
     found = written(vx.value_ids(cx.value_counts(rows.filter("kind = 'categorical'")), keys), "values")
     numbers = rows.filter("kind = 'numeric'").select(
         "id", "client", "key", F.expr(COND).alias("cond"), F.col("value").try_cast("double").alias("number")
@@ -139,9 +139,10 @@ NAMED = f"named as (select c.id, string_agg(k.short || '=' || v.short, '; ' orde
 
 @query("F16_token_names", with_tape("select * from named", *VOCAB, TOKENS, CODED, NAMED))
 def f16(spark, sf):
-    vocab = vocabulary(spark, sf)
+    tape_rows = stored_tape(spark, sf)
+    vocab = vocabulary(spark, sf, tape_rows)
     names = vocab.tokens(spark).select("id", vx.short_name(F.col("token")).alias("name"))
-    coded = ex.coded_values(conditioned(spark, sf), vocab).select("id", "key_id", F.element_at("ids", 1).alias("vid"))
+    coded = ex.coded_values(conditioned(spark, sf, tape_rows), vocab).select("id", "key_id", F.element_at("ids", 1).alias("vid"))
     k = names.select(F.col("id").alias("key_id"), F.col("name").alias("_k"))
     v = names.select(F.col("id").alias("vid"), F.col("name").alias("_v"))
     rows = coded.join(k, "key_id").join(v, "vid")
@@ -153,14 +154,17 @@ def f16(spark, sf):
 
 @query("V8_value_coding", with_tape("select id, key_id, vid from coded", *VOCAB, CODED))
 def v8(spark, sf):
-    coded = ex.coded_values(conditioned(spark, sf), vocabulary(spark, sf))
+    rows = stored_tape(spark, sf)
+    coded = ex.coded_values(conditioned(spark, sf, rows), vocabulary(spark, sf, rows))
     return coded.select("id", "key_id", F.element_at("ids", 1).alias("vid"))
 
 
-def events_encoded(spark, sf, vocab=None):
-    vocab = vocab or vocabulary(spark, sf)
-    coded = ex.coded_values(conditioned(spark, sf), vocab)
-    return ex.encoded_events(tape(spark, sf).select("id", "client", "t", "type"), coded)
+def events_encoded(spark, sf, vocab=None, rows=None):
+    """Every event encoded; `rows` is the stored tape, if the query has one."""
+    rows = stored_tape(spark, sf) if rows is None else rows
+    vocab = vocab or vocabulary(spark, sf, rows)
+    coded = ex.coded_values(conditioned(spark, sf, rows), vocab)
+    return ex.encoded_events(rows.select("id", "client", "t", "type"), coded)
 
 
 def _text(column):
@@ -197,9 +201,10 @@ TYPE_KEY = "(select id from vkeys where key = 'event_type')"
     ),
 )
 def v12(spark, sf):
-    vocab = vocabulary(spark, sf)
+    tape_rows = stored_tape(spark, sf)
+    vocab = vocabulary(spark, sf, tape_rows)
     type_key = vocab.keys.filter("key = 'event_type'").select("id").scalar()
-    rows = events_encoded(spark, sf, vocab).withColumn("_k", type_key)
+    rows = events_encoded(spark, sf, vocab, tape_rows).withColumn("_k", type_key)
     found = rows.select("id", ex.event_type_of("key_ids", "value_ids", "positions", F.col("_k")).alias("vid"))
     names = vocab.values.filter("key = 'event_type'").select(F.col("id").alias("vid"), F.col("value").alias("type"))
     return found.join(names, "vid").select("id", "type")
@@ -301,8 +306,8 @@ sampled as (select c.client, {empty}, {held}, case when p.profile_tokens > 0 the
 SAMPLED = ", ".join([SNAPSHOT, PROFILE_CTE, samples_sql(CUTOFF, PERIOD_SQL, f"({TARGET_SQL} and not {SOURCE_SQL})")])
 
 
-def everyone(spark, sf):
-    return tape(spark, sf).select("client").unionByName(snapshot(spark, sf).select("client")).distinct()
+def everyone(spark, sf, rows=None):
+    return (tape(spark, sf) if rows is None else rows).select("client").unionByName(snapshot(spark, sf).select("client")).distinct()
 
 
 def calendared(rows):
@@ -311,8 +316,9 @@ def calendared(rows):
     return rows.withColumn("calendar", F.array(*six))
 
 
-def sampled(spark, sf, encoded=None):
-    rows = encoded if encoded is not None else events_encoded(spark, sf)
+def sampled(spark, sf, encoded=None, tape_rows=None):
+    tape_rows = stored_tape(spark, sf) if tape_rows is None else tape_rows
+    rows = encoded if encoded is not None else events_encoded(spark, sf, rows=tape_rows)
     # The event of a dated milestone stays context.
     marks = snapshot(spark, sf).select("client", F.col("app_registered").alias("t"), F.lit(True).alias("milestone")).filter("t is not null")
     past = calendared(rows.filter(F.col("t") < CUTOFF)).join(marks, ["client", "t"], "left")
@@ -320,7 +326,7 @@ def sampled(spark, sf, encoded=None):
     allowed = (F.col("type") != "profile_change") & F.col("milestone").isNull()
     return ex.samples(
         past, LIMIT_EVENTS, LIMIT_TOKENS, period, allowed,
-        clients=everyone(spark, sf), profiles=profile_tokens(spark, sf), max_event_tokens=LIMIT_TOKENS, max_profile_tokens=50,
+        clients=everyone(spark, sf, tape_rows), profiles=profile_tokens(spark, sf), max_event_tokens=LIMIT_TOKENS, max_profile_tokens=50,
     )
 
 
@@ -337,7 +343,8 @@ def sample_arrays(rows):
     with_tape(f"select client, {', '.join(ARRAYS)}, excluded_events, excluded_targets from sampled", *VOCAB, CODED, ENCODED, SAMPLED),
 )
 def v11(spark, sf, vocab=None):
-    rows = sampled(spark, sf, events_encoded(spark, sf, vocab))
+    tape_rows = stored_tape(spark, sf)
+    rows = sampled(spark, sf, events_encoded(spark, sf, vocab, tape_rows), tape_rows)
     return rows.select(
         "client",
         *sample_arrays(rows),
@@ -356,9 +363,10 @@ def v11_lost(spark, sf):
     with_tape("select count(*) as samples, 0::bigint as problems from sampled", *VOCAB, CODED, ENCODED, SAMPLED),
 )
 def q24(spark, sf):
-    vocab = vocabulary(spark, sf)
+    tape_rows = stored_tape(spark, sf)
+    vocab = vocabulary(spark, sf, tape_rows)
     size = vocab.tokens(spark).count()
-    rows = sampled(spark, sf, events_encoded(spark, sf, vocab))
+    rows = sampled(spark, sf, events_encoded(spark, sf, vocab, tape_rows), tape_rows)
     problems = ex.sample_problems(rows, size).agg(F.count(F.lit(1)).alias("n")).scalar()
     return rows.agg(F.count(F.lit(1)).alias("samples")).select("samples", problems.alias("problems"))
 
@@ -369,8 +377,9 @@ def q24(spark, sf):
 )
 def q25(spark, sf):
     # The samples are stored; then the tape is encoded anew, under a vocabulary of its own fit.
-    stored = written(sampled(spark, sf, events_encoded(spark, sf)), "samples")
-    again = events_encoded(spark, sf, vocabulary(spark, sf))
+    tape_rows = stored_tape(spark, sf)
+    stored = written(sampled(spark, sf, events_encoded(spark, sf, rows=tape_rows), tape_rows), "samples")
+    again = events_encoded(spark, sf, vocabulary(spark, sf, tape_rows), tape_rows)
     tail = stored.select(
         "client", F.posexplode(F.arrays_zip("event_ids", "event_starts", "event_lengths")).alias("place", "x"), "value_ids"
     ).select("client", F.col("x.event_ids").alias("id"), F.expr("slice(value_ids, x.event_starts + 1, x.event_lengths)").alias("stored"))
@@ -389,12 +398,14 @@ AT_EARLY = ", ".join([SNAPSHOT, profile_sql(EARLY), profile_cte("prof", EARLY),
 def v13(spark, sf):
     from chronotape.operators.profile import profile_at
 
-    past = events_encoded(spark, sf).filter(F.col("t") < EARLY)
-    changes = tape(spark, sf).filter(kind("profile_change"))
+    tape_rows = stored_tape(spark, sf)
+    # Written once: the samples and the check for leaks read it.
+    past = written(events_encoded(spark, sf, rows=tape_rows).filter(F.col("t") < EARLY), "past")
+    changes = tape_rows.filter(kind("profile_change"))
     then = profile_at(snapshot(spark, sf), changes, EARLY, PROFILE_FIELDS, MILESTONES)
     rows = ex.samples(
         calendared(past), LIMIT_EVENTS, LIMIT_TOKENS, F.lit(False),
-        clients=everyone(spark, sf), profiles=profile_tokens(spark, sf, EARLY, then),
+        clients=everyone(spark, sf, tape_rows), profiles=profile_tokens(spark, sf, EARLY, then),
     )
     leaked = ex.leaks(past, EARLY).agg(F.count(F.lit(1)).alias("n")).scalar()
     return rows.select(
@@ -416,8 +427,9 @@ def v13(spark, sf):
     ),
 )
 def a38(spark, sf):
-    encoded = written(events_encoded(spark, sf), "encoded")
-    return ex.counters(encoded, sampled(spark, sf, encoded))
+    tape_rows = stored_tape(spark, sf)
+    encoded = written(events_encoded(spark, sf, rows=tape_rows), "encoded")
+    return ex.counters(encoded, sampled(spark, sf, encoded, tape_rows))
 
 
 @query(
@@ -458,10 +470,10 @@ def p7(spark, sf):
 # --- subword pieces -------------------------------------------------------------------
 
 
-def corpus_texts(spark, sf):
+def corpus_texts(spark, sf, tape_rows=None):
     from chronotape.functions.text import normalized
 
-    rows = train(spark, sf).filter("kind = 'text'")
+    rows = train(spark, sf, tape_rows).filter("kind = 'text'")
     return cx.text_corpus(normalized(rows, "value")).filter("normalized is not null")
 
 
@@ -492,15 +504,16 @@ def v7(spark, sf):
 def v9_texts(spark, sf):
     from chronotape.functions.text import normalized
 
-    texts = written(corpus_texts(spark, sf), "texts")
+    tape_rows = stored_tape(spark, sf)
+    texts = written(corpus_texts(spark, sf, tape_rows), "texts")
     words = written(sx.word_counts(texts), "words")
     model = sx.freeze(words, sx.learn_merges(words, sx.merges_for(words, PIECES)))
-    vocab = vocabulary(spark, sf)
+    vocab = vocabulary(spark, sf, tape_rows)
     first = vocab.scales.agg(F.max(F.col("first_id") + F.col("n_buckets")).alias("n")).first()["n"]
-    rows = normalized(conditioned(spark, sf), "value")
+    rows = normalized(conditioned(spark, sf, tape_rows), "value")
     encoded = sx.encoded_texts(rows.filter("kind = 'text'"), model, first=first)
     coded = ex.coded_values(rows, vocab, encoded)
-    return ex.encoded_events(tape(spark, sf).select("id", "client", "t", "type"), coded).select(
+    return ex.encoded_events(tape_rows.select("id", "client", "t", "type"), coded).select(
         "id", _text("key_ids").alias("key_ids"), _text("value_ids").alias("value_ids"), _text("positions").alias("positions")
     )
 
@@ -535,8 +548,9 @@ MASKS = (*VOCAB, CODED, MASK_WEIGHTS, MASKED)
 
 
 def masked(spark, sf, vocab=None):
-    vocab = vocab or vocabulary(spark, sf)
-    coded = written(ex.coded_values(conditioned(spark, sf), vocab).select("id", "client", "t", "type", "key_id", "ids"), "coded")
+    tape_rows = stored_tape(spark, sf)
+    vocab = vocab or vocabulary(spark, sf, tape_rows)
+    coded = written(ex.coded_values(conditioned(spark, sf, tape_rows), vocab).select("id", "client", "t", "type", "key_id", "ids"), "coded")
     target = (F.col("t") >= TARGET_FROM) & (F.col("t") < CUTOFF) & ~kind("profile_change")
     rows = coded.withColumns({"target": target, "place": F.lit(0)})
     counts = coded.filter(F.col("t") < CUTOFF).groupBy(F.col("key_id").alias("key"), "ids").agg(

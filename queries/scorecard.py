@@ -12,7 +12,7 @@ from chronotape.operators.predicates import kind, sure
 from chronotape.operators.profile import age_at
 from chronotape.plans.split import quantiles
 from queries.registry import query
-from queries.tables import DAY, END, LOCAL, SNAPSHOT, START, read, snapshot, tape, with_tape
+from queries.tables import DAY, END, LOCAL, SNAPSHOT, START, read, snapshot, stored_tape, tape, with_tape
 from queries.windows import MONTHS, monthly_medians
 
 SPENT = "(type='purchase' and coalesce(status,'')='approved')"
@@ -198,7 +198,7 @@ NEAR = "type='transfer_out' and coalesce(counterparty,'')='Own account'"
     ),
 )
 def k8(spark, sf):
-    rows = tape(spark, sf)
+    rows = stored_tape(spark, sf)
     opened = rows.filter(kind("fraud_alert")).select(F.col("id").alias("row"), "client", "t")
     ended = jx.first_after(opened, rows.filter(kind("case_opened")), ["client"])
     spans = ended.select("row", "client", F.col("t").alias("start"), F.coalesce("stopped_at", F.lit(END)).alias("stop"))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronotape.plans.shared import written
+
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
 START = 1_704_067_200_000_000          # 2024-01-01 00:00 UTC
@@ -19,6 +21,8 @@ LOCAL = 5 * HOUR                        # fixed local offset
 CUTOFF = START + 290 * DAY              # T of the feature tables
 END = START + 360 * DAY                 # window end, snapshot moment
 HORIZON = 60
+#: Rows of a task that derives the tape.
+TAPE_ROWS = 250_000
 
 # Derived fields: name -> expression over e (event type), k, v (value), u (user), t, id.
 TYPE = """case
@@ -152,13 +156,20 @@ def tape(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataF
     return _tape(spark, sf, events)
 
 
+def stored_tape(spark: SparkSession, sf: str) -> DataFrame:
+    """The tape, derived and written once, for a query that reads it several times: reads take the columns they need."""
+    return written(tape(spark, sf), "tape")
+
+
 def _tape(spark: SparkSession, sf: str, events: DataFrame | None) -> DataFrame:
     moment = F.unix_micros(F.col("ts").cast("timestamp"))
     if events is None:
-        # The test table is one file with one row group, so one task: spread its rows over the cores.
+        # Files tell little of the rows: a file may be one row group, and a row makes many values. The number of
+        # tasks grows with the rows, so that what a task holds does not.
         events = read(spark, sf, "events")
-        if len(events.inputFiles()) == 1:
-            events = events.repartition(spark.sparkContext.defaultParallelism, "event_id")
+        tasks = max(spark.sparkContext.defaultParallelism, -(-events.count() // TAPE_ROWS))
+        if len(events.inputFiles()) < tasks:
+            events = events.repartition(tasks, "event_id")
     base = events.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("u"),
