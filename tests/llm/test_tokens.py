@@ -77,6 +77,69 @@ def test_blocks_of_long_and_rare_words(table, ranks, library, monkeypatch):
     assert all(r["ids"] == library.encode_ordinary(r["text"]) for r in out)
 
 
+def test_pieces_have_the_matches_of_their_text():
+    import regex
+
+    rng, split = random.Random(8), regex.compile(PATTERN).findall
+    pieces, parts = byte_bpe.cuts(PATTERN)
+    texts = ["".join(rng.choice("ab1.' \n\t\u00a0\u3000\x1cé日'sll") for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    texts += [" ".join(rng.choice(["a", "b's", "1,", "\x1c", "\n", "''t", "x\ny", "", "é日"]) for _ in range(6)) for _ in range(4000)]
+    for text in texts:
+        assert [w for p in pieces(text) for w in parts(p)] == split(text), text
+    held = {p for t in texts for p in pieces(t)}
+    assert byte_bpe.matches(held, PATTERN, split) == {w for t in texts for w in split(t)}
+
+
+def test_packs_of_words():
+    words = ["a", " é", "\n\n", "\x00", "日" * 40, "😀"]
+    assert byte_bpe.unpacked(byte_bpe.packed(words)) == words
+
+
+def test_words_travel_as_packs(spark, tmp_path, ranks, library):
+    """The exchanges carry a row per block and bucket and a row per part of a block, not one per word."""
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(9)) for _ in range(400)) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2).write.parquet(str(tmp_path / "docs"))
+    docs, buckets = spark.read.parquet(str(tmp_path / "docs")), 5
+    packs = byte_bpe.block_words(docs, ranks, PATTERN, buckets)
+    rows = byte_bpe.folded_words(packs, ranks, buckets).collect()
+    assert len(rows) <= buckets * docs.rdd.getNumPartitions()
+    table = byte_bpe.Words(ranks.ranks, byte_bpe.cuts(PATTERN)[1])
+    for r in rows:
+        table.learn(r["words"], r["ids"])
+    assert len(table) > 10_000
+    assert all(np.frombuffer(ids, np.int32).tolist() == library.encode_ordinary(w) for w, ids in table.items())
+
+
+def test_blocks_are_cut_by_the_order_of_rows_alone():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (5, 0, 9 << 20, 3, 8 << 20, 1)] + [None, "é" * (5 << 20), "end"]
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * len(texts), pa.int32()), pa.array(texts, pa.string())], names=["part", "text"])
+    numbers = []
+    for step in (1, 2, 4, 20):
+        batches = iter([rows.slice(i, step) for i in range(0, len(texts), step)])
+        numbers.append([n for n, some in byte_bpe.blocks(batches, 1) for _ in range(some.num_rows)])
+    assert numbers[0] == [(7 << 32) + k for k in (0, 0, 0, 1, 1, 2, 2, 2, 3)]
+    assert all(n == numbers[0] for n in numbers)
+
+
+def test_texts_of_several_blocks(table, ranks, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 1500)
+    rng = random.Random(10)
+    rows = [(i, " ".join("".join(rng.choice("abcdeé\n") for _ in range(7)) for _ in range(rng.randint(0, 200))), "en", "a") for i in range(60)]
+    out = byte_bpe.encode(table(rows), ranks, PATTERN).select("text", "ids").collect()
+    assert len(out) == 60 and all(r["ids"] == library.encode_ordinary(r["text"]) for r in out)
+
+
+def test_another_pattern(table):
+    letters = r"\p{L}|\P{L}+"
+    known = byte_bpe.Ranks(PATH)
+    library = tiktoken.Encoding("own", pat_str=letters, mergeable_ranks=known.ranks, special_tokens={})
+    out = byte_bpe.encode(table([(i, "some words é  1 \n x" * i, "en", "a") for i in range(5)]), known, letters).select("text", "ids").collect()
+    assert len(out) == 5 and all(r["ids"] == library.encode_ordinary(r["text"]) for r in out)
+
+
 def test_decoding_beside_a_column_decoded(table, ranks):
     docs = table([(1, "one é", "en", "a"), (2, None, "en", "a"), (2, None, "en", "a")]).selectExpr("*", "'kept' as decoded", "1 as ids")
     out = byte_bpe.decode(byte_bpe.encode(docs, ranks, PATTERN), ranks, "_ids")
